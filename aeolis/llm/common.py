@@ -53,3 +53,12 @@ def word_count(text: Column) -> Column:
     sep = "[\\x20\\x09-\\x0D]+"
     bare = F.regexp_replace(text, f"^{sep}|{sep}$", "")
     return F.when(text.isNull() | (bare == ""), F.lit(0)).otherwise(F.size(F.split(bare, sep))).cast("long")
+
+
+#: Rows up to which a table of a few numbers and a name is broadcast.
+FEW_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count of its rows allows it; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df

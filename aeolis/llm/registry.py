@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring_dedup
+from . import bpe, chat, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,9 +33,136 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: A conversation whose texts are control strings.
+PROBE = (-7, "</s>[INST] ok [/INST]", ("user", "assistant"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv, text, roles = PROBE
+    probe = spark.range(len(roles)).select(
+        F.lit(conv).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.element_at(F.array(*map(F.lit, roles)), F.col("id").cast("int") + 1).alias("role"),
+        F.lit(text).alias("text"),
+    )
+    log = chat.as_events(turns.unionByName(probe))
+    out = chat.render(chat.fold_events(log))
+    read = F.array_join(F.transform(chat.turns_of(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = chat.learned_text(F.col("formatted"), F.col("loss"))
+    return out.select(
+        "conv_id",
+        F.size(chat.turns_of(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(read, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'))
+          + length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b'))
+          + length('<s></s>') + length(CASE WHEN role = 'assistant' THEN '[/INST]' ELSE '[INST]' END) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs, 8).drop("text")
+
+
+#: The jump hash step by step, as the generator's and the jump's definitions read.
+OP8_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT list(crc ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc
+    FROM range(256) r(i))
+), docs AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h,
+         (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key
+  FROM documents
+), bytes AS (
+  SELECT n, doc_id, key, octet_length(encode(text)) + 1 AS size,
+         list_prepend(4294967295, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)) AS b
+  FROM docs
+), summed AS (
+  SELECT n, doc_id, key, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, bits
+), jumps AS (
+  SELECT n, key, -1::BIGINT AS place, 0::BIGINT AS "to", 0 AS step FROM docs
+  UNION ALL
+  SELECT n, key2, "to", floor(("to" + 1) * (2147483648.0::DOUBLE / (key2 // 8589934592 + 1)::DOUBLE))::BIGINT, step + 1
+  FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key2 FROM jumps WHERE "to" < 9)
+), places AS (
+  SELECT n, max(place) FILTER (place < 8) AS shard, max(place) FILTER (place < 9) AS grown_shard, max(key // 8589934592 % 1024) FILTER (step = 1) AS slice
+  FROM jumps WHERE step > 0 GROUP BY n
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       CAST(grown_shard AS INT) AS grown_shard
+FROM summed JOIN places USING (n)
+"""
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    each = planned.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size
+  FROM documents
+), grouped AS (SELECT doc_id, source, h, size, count(*) AS n, size * count(*) AS words FROM docs GROUP BY doc_id, source, h, size),
+sizes AS (
+  SELECT source, CAST(sum(words) AS HUGEINT) AS s, CAST(sum(n) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM grouped GROUP BY source
+), steps AS (
+  SELECT *, sum(s) OVER () - 3 * coalesce(sum(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, row_number() OVER (o) AS place
+  FROM sizes WINDOW o AS (ORDER BY s / w, source NULLS LAST)
+), stop AS (SELECT min(place) AS first FROM steps WHERE rest * w <= 3 * s * ws),
+goals AS (
+  SELECT source, s, n AS docs, CASE WHEN first IS NULL OR place < first THEN CAST(3 * s AS DOUBLE)
+         ELSE CAST((SELECT rest FROM steps, stop WHERE place = first) * w AS DOUBLE) / CAST((SELECT ws FROM steps, stop WHERE place = first) AS DOUBLE) END AS target
+  FROM steps, stop
+), placed AS (
+  SELECT g.*, s, target, CAST(round(target) AS HUGEINT) AS quota, g.size * docs <= s AS small
+  FROM grouped g JOIN goals ON g.source IS NOT DISTINCT FROM goals.source
+), run AS (
+  SELECT *, quota // greatest(s, 1) AS passes, quota - quota // greatest(s, 1) * s AS extra, sum(words) OVER (PARTITION BY source, small) AS class,
+         coalesce(sum(words) OVER (PARTITION BY source, small ORDER BY substr(h, 1, 2), h, doc_id NULLS FIRST, size
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed
+), large AS (
+  SELECT *, NOT small AND size > 0 AND 2 * before + words <= 2 * CAST(round(CAST(extra * class AS DOUBLE) / CAST(greatest(s, 1) AS DOUBLE)) AS HUGEINT) AS big FROM run
+), used AS (SELECT *, coalesce(sum(words) FILTER (big) OVER (PARTITION BY source), 0) AS used FROM large)
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (passes + CASE WHEN small THEN 2 * before + words <= 2 * (extra - used) ELSE big END::INT) END AS BIGINT) AS taken
+FROM used, LATERAL (SELECT unnest(range(used.n)) AS k)
+"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
+    "op8_jump_shards": op8_jump_shards,
+    "op10_mix": op10_mix,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_jump_shards": OP8_SQL, "op10_mix": OP10_SQL}
