@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sharding, simhash, substring_dedup
+from . import bpe, chat, kdtree, licenses, mixing, rpforest, sharding, simhash, substring_dedup
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -157,12 +157,79 @@ SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
 FROM used, LATERAL (SELECT unnest(range(used.n)) AS k)
 """
 
+#: Rows of `embeddings` that are queries.
+EVERY = 50
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kdtree.exact_top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0), 5)
+
+
+OP2_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q, v WHERE q.vec_id % {EVERY} = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return rpforest.nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0), 5)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+#: Words stand between two spaces each, so that neighbours don't share one.
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w
+  FROM documents
+), lines AS (SELECT doc_id, len(w) AS n_words, '  ' || array_to_string(w, '  ') || '  ' AS t FROM docs),
+phrases(phrase, label) AS (VALUES (' under  the  mit  license ', 'mit'), (' apache  license  version  2 ', 'apache-2'), (' cc  by  nc ', 'cc-by-nc')),
+parts AS (SELECT doc_id, label, string_split(t, phrase) AS p, len(string_split(trim(phrase), '  ')) AS k FROM lines, phrases WHERE contains(t, phrase)),
+places AS (
+  SELECT doc_id, label, list_sum(list_transform(p[:i], lambda s: len(list_filter(string_split(s, ' '), lambda x: x <> '')))) + k * (i - 1) AS place
+  FROM parts, LATERAL (SELECT unnest(range(1, len(p))) AS i)
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id
+), notices(pattern, label) AS (VALUES
+  (' (released|licensed|distributed|available)  under  the  (terms  of  the  )?mit  license ', 'mit-notice'),
+  (' licensed  under  the  apache  license  version  2 ', 'apache-2-notice'),
+  (' (released|licensed|distributed|available)  under  (the  )?(creative  commons  )?cc  by  nc ', 'cc-by-nc-notice'),
+  (' licensed  under  the  (terms  of  the  )?gnu  general  public  license  (as  published  by  the  free  software  foundation  )?(either  )?version  3 ', 'gpl-3'),
+  (' all  rights  reserved ', 'all-rights-reserved'),
+  (' permission  is  hereby  granted  free  of  charge  to  any  person  obtaining  a  copy  of  this  ([^ ]+  ){0,12}to  deal  in  the  software  without  restriction ', 'mit-text'),
+  (' redistribution  and  use  in  source  and  binary  forms  with  or  without  modification  are  permitted  ([^ ]+  ){0,6}following  conditions  are  met ', 'bsd-text')
+), own AS (SELECT doc_id, label FROM lines, notices WHERE regexp_matches(t, pattern)),
+labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM own) GROUP BY doc_id
+)
+SELECT l.doc_id, n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN l.doc_id IN (SELECT doc_id FROM own) THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM lines l LEFT JOIN base b ON b.doc_id = l.doc_id LEFT JOIN labels x ON x.doc_id = l.doc_id
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_jump_shards": op8_jump_shards,
+    "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
 }
-ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_jump_shards": OP8_SQL, "op10_mix": OP10_SQL}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_jump_shards": OP8_SQL, "op10_mix": OP10_SQL}
