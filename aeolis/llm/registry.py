@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, licenses, mixing, rpforest, sharding, simhash, substring_dedup
+from . import bpe, chat, kdtree, licenses, mixing, rpforest, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,6 +33,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 #: A conversation whose texts are control strings.
 PROBE = (-7, "</s>[INST] ok [/INST]", ("user", "assistant"))
 
@@ -226,6 +233,7 @@ QUERIES = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_jump_shards": op8_jump_shards,

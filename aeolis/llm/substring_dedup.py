@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,8 +131,19 @@ def _dealt(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     return some.mapInArrow(run, "bucket int, settled boolean, ids binary, hashes binary")
 
 
-def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, hashes): packed hashes of windows that a document with a smaller id holds too."""
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """As _group_of, for an array."""
+    u = ids.astype(np.int64).view(np.uint64)
+    return (u ^ u >> np.uint64(7) ^ u >> np.uint64(20)).view(np.int64) % groups
+
+
+def _group_of(doc_id: Column, groups: int) -> Column:
+    mixed = doc_id.bitwiseXOR(F.shiftrightunsigned(doc_id, 7)).bitwiseXOR(F.shiftrightunsigned(doc_id, 20))
+    return F.pmod(mixed, F.lit(groups)).cast("int")
+
+
+def later_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
+    """(grp, ids, hashes): packed hashes of windows that a document with a smaller id holds too, by groups of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, ids, hashes = [], [], []
@@ -148,35 +159,54 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         later = settled.copy()
         later[~settled] = _first_and_later(hashes[~settled], ids[~settled])[1]
         ids, hashes = ids[later], hashes[later]
-        order = np.argsort(ids, kind="stable")
-        ids, hashes = ids[order], hashes[order]
-        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
-        raw, ends = hashes.astype("<u8").tobytes(), np.r_[cuts, len(ids)] * 8
-        for a in range(0, len(cuts), 10_000):
-            lists = [raw[x:y] for x, y in zip(ends[a : a + 10_000], ends[a + 1 : a + 10_001], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[a : a + 10_000]]), pa.array(lists, pa.binary())], names=["doc_id", "hashes"])
+        group = _group(ids, groups)
+        order = np.lexsort((ids, group))
+        ids, hashes, group = ids[order], hashes[order], group[order]
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
+            row = [pa.array([group[a]], pa.int32()), pa.array([_packed(ids[a:b])]), pa.array([hashes[a:b].astype("<u8").tobytes()])]
+            yield pa.RecordBatch.from_arrays(row, names=["grp", "ids", "hashes"])
 
     n = shuffle_partitions(session(docs.sparkSession))
     dealt = _dealt(docs, n, window).repartitionById(n, F.col("bucket"))
-    return dealt.select("settled", "ids", "hashes").mapInArrow(run, "doc_id long, hashes binary")
+    return dealt.select("settled", "ids", "hashes").mapInArrow(run, "grp int, ids binary, hashes binary")
 
 
-def covered(words: list[bytes], later: list[bytes], window: int = WINDOW) -> np.ndarray:
+def covered(words: list[bytes], later: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each word whether a window with one of these hashes covers it."""
-    found = np.isin(window_hashes(words, window), np.frombuffer(b"".join(later), "<u8"))
+    found = np.isin(window_hashes(words, window), later)
     depth = np.zeros(len(words) + 1, np.int64)
     np.add.at(depth, np.flatnonzero(found), 1)
     np.add.at(depth, np.flatnonzero(found) + window, -1)
     return np.cumsum(depth)[:-1] > 0
 
 
+class LaterHashes:
+    """The hashes to cut by, by document, of one group."""
+
+    def __init__(self):
+        self.ids, self.hashes, self.sorted = [], [], None
+
+    def add(self, ids: bytes, hashes: bytes) -> None:
+        self.ids.append(_unpacked(ids))
+        self.hashes.append(np.frombuffer(hashes, "<u8"))
+
+    def of(self, doc: int) -> np.ndarray:
+        if self.sorted is None:
+            ids = np.concatenate([np.empty(0, np.int64), *self.ids])
+            order = np.argsort(ids, kind="stable")
+            self.sorted = ids[order], np.concatenate([np.empty(0, np.uint64), *self.hashes])[order]
+        ids, hashes = self.sorted
+        return hashes[np.searchsorted(ids, doc) : np.searchsorted(ids, doc, "right")]
+
+
 def intervals(cover: np.ndarray) -> list[int]:
     """Maximal runs of covered words: start, end, start, end, ... (ends excluded)."""
     return np.flatnonzero(np.diff(cover, prepend=False, append=False)).tolist()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: str = "") -> DataFrame:
-    """doc_id and kept text of every document, with n_words, n_removed, removed and changed.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, kept, n_words, n_removed, removed) of every document.
 
     Words are what stands between space, tab, newline, vertical tab, form feed and return. A
     word goes if a window of `window` words covers it that also starts in a document with a
@@ -184,28 +214,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: str = "") -> Da
     intervals of removed words (start, end, start, ...). Shorter texts lose nothing. Null and
     empty texts have no words and kept is empty. Rows without doc_id neither lose nor take
     words; rows of one doc_id are judged as one document, so they take none from each other,
-    and each row stays. extra: other columns to keep, with commas.
+    and each row stays. carry: other columns of docs to keep.
+
+    Hashes and texts meet by groups of ids; in each task the hashes come first and are held, the
+    texts stream by.
     """
-    session(docs.sparkSession)
-    carried = [c for c in extra.split(",") if c]
-    late = later_windows(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("hashes").alias("_later"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_text"), *carried)
-    rows = rows.join(late, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    groups = shuffle_partitions(session(docs.sparkSession))
+    doc_id = F.col("doc_id").cast("long")
+    own = F.when(doc_id.isNull(), F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")).otherwise(_group_of(doc_id, groups))
+    rows = docs.select(own.alias("grp"), F.lit(True).alias("is_text"), doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0), *carry).alias("other"))
+    late = later_windows(docs, groups, window).select("grp", F.lit(False).alias("is_text"), "ids", "hashes")
+    both = rows.unionByName(late, allowMissingColumns=True).repartitionById(groups, F.col("grp")).sortWithinPartitions("is_text")
     added = T.StructType().add("kept", "binary").add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.IntegerType()))
-    schema = T.StructType([*rows.drop("_text", "_later").schema, *added])
+    schema = T.StructType([*rows.select("doc_id", "other").schema, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later = LaterHashes()
         for batch in batches:
+            is_text = batch.column("is_text").to_numpy(zero_copy_only=False)
+            packs = batch.filter(pa.array(~is_text))
+            for ids, hashes in zip(packs.column("ids").to_pylist(), packs.column("hashes").to_pylist(), strict=True):
+                later.add(ids, hashes)
+            texts = batch.filter(pa.array(is_text))
             kept, n_words, n_removed, removed = [], [], [], []
-            for text, later in zip(batch.column("_text").to_pylist(), batch.column("_later").to_pylist(), strict=True):
-                words = text.split()
-                gone = covered(words, later, window) if later else np.zeros(len(words), bool)
+            for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
+                words, hashes = text.split(), () if doc is None else later.of(doc)
+                gone = covered(words, hashes, window) if len(hashes) else np.zeros(len(words), bool)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 removed.append(intervals(gone))
                 kept.append(b" ".join(compress(words, (~gone).tolist()) if n_removed[-1] else words))
-            own = [batch.column(c) for c in ("doc_id", *carried)]
             made = [pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=["doc_id", *carried, "kept", "n_words", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("other"), *made], names=["doc_id", "other", "kept", "n_words", "n_removed", "removed"])
 
-    return rows.mapInArrow(run, schema)
+    return both.drop("grp").mapInArrow(run, schema).select("doc_id", *(F.col("other")[c].alias(c) for c in carry), "kept", "n_words", "n_removed", "removed")
