@@ -210,9 +210,7 @@ def _ship(df: DataFrame, ranks_path: str) -> str:
 def _append(df: DataFrame, column: str, of: str, make: str, ranks_path: str, pattern: str, keep: bool) -> DataFrame:
     """df with one more binary column, made from column `of` by a method of the codec; of stays if keep."""
     name = _ship(df, ranks_path)
-    if column in df.columns:
-        raise ValueError(f"column {column} exists")
-    kept = [i for i, c in enumerate(df.columns) if keep or c != of]
+    kept = [i for i, c in enumerate(df.columns) if c != column and (keep or c != of)]
     schema = T.StructType([*(df.schema[i] for i in kept), T.StructField(column, T.BinaryType())])
     names = schema.names
 
@@ -232,7 +230,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", col
 
     A null or empty text has no ids. Every row stays, repeated rows too; other columns are
     untouched. Work is by row, so no row waits for another; texts of any length are walked in
-    linear time. A column named as the new one is an error.
+    linear time. A column named as the new one is replaced. Characters that the regex library's
+    Unicode tables don't know yet are cut as unassigned ones.
     """
     return _append(df, column, text, "encode", ranks_path, pattern, keep)
 

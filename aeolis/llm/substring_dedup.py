@@ -205,8 +205,8 @@ def intervals(cover: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(cover, prepend=False, append=False)).tolist()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *carry, kept, n_words, n_removed, removed) of every document.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), respace: bool = True) -> DataFrame:
+    """(doc_id, carried, kept, n_words, n_removed, removed) of every document.
 
     Words are what stands between space, tab, newline, vertical tab, form feed and return. A
     word goes if a window of `window` words covers it that also starts in a document with a
@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     intervals of removed words (start, end, start, ...). Shorter texts lose nothing. Null and
     empty texts have no words and kept is empty. Rows without doc_id neither lose nor take
     words; rows of one doc_id are judged as one document, so they take none from each other,
-    and each row stays. carry: other columns of docs to keep.
+    and each row stays. carry: other columns of docs to keep, in the struct carried, where no
+    name of theirs can clash. Without respace a text that loses nothing is kept as it stands.
 
     Hashes and texts meet by groups of ids; in each task the hashes come first and are held, the
     texts stream by.
@@ -243,8 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 removed.append(intervals(gone))
-                kept.append(b" ".join(compress(words, (~gone).tolist()) if n_removed[-1] else words))
+                kept.append(b" ".join(compress(words, (~gone).tolist())) if n_removed[-1] else b" ".join(words) if respace else text)
             made = [pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("other"), *made], names=["doc_id", "other", "kept", "n_words", "n_removed", "removed"])
 
-    return both.drop("grp").mapInArrow(run, schema).select("doc_id", *(F.col("other")[c].alias(c) for c in carry), "kept", "n_words", "n_removed", "removed")
+    return both.drop("grp").mapInArrow(run, schema).select("doc_id", F.col("other").alias("carried"), "kept", "n_words", "n_removed", "removed")

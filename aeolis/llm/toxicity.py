@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -27,9 +27,9 @@ from .common import session
 #: Labelled documents that are learned from, at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
 #: Letters of a word's start that make a stem.
-STEMS = (4, 5, 6)
-#: A word or stem insults if so many of its documents, at least, are toxic ...
-PURITY = 0.7
+STEMS = (8, 7, 6, 5, 4, 3)
+#: A word or stem insults, or insults mildly, if so many of its documents, at least, are toxic ...
+PURITY, MILD_PURITY = 0.9, 0.35
 #: ... and chance would make any of the words tried look like that with this probability.
 CHANCE = 0.1
 
@@ -43,9 +43,9 @@ REPORTS = "said says told called wrote quoted reported sagte sagt schrieb nannte
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 END = frozenset(".!?;:\n")
 
-# Symbols of words: Insult, tHreat, Target (you), Negation, Report, Other; of matches: Directed
-# insult, directed threat (A), Weakened by a negation, Quoted.
-WORDS, MATCHES = "IHTNRO", "DAIHWQ"
+# Symbols of words: Insult, Mild insult, tHreat, Target (you), Negation, Report, Other; of matches:
+# Directed insult, directed threat (A), Weakened by a negation, Quoted.
+WORDS, MATCHES = "IMHTNRO", "DAIHMWQ"
 
 
 class Transducer:
@@ -61,11 +61,13 @@ class Transducer:
 #: A negation reaches over the next three words.
 NEGATED = Transducer([
     *((s, "N", 3, "=") for s in range(4)),
-    *((s, "IH", s - 1, "W") for s in (1, 2, 3)),
+    *((s, "IMH", s - 1, "W") for s in (1, 2, 3)),
     *((s, "TRO", s - 1, "=") for s in (1, 2, 3)),
 ])
 #: Behind a reporting verb a clause is quoted.
-REPORTED = Transducer([(0, "R", 1, "="), (1, "IH", 1, "Q"), (1, "W", 1, "Q")])
+REPORTED = Transducer([(0, "R", 1, "="), (1, "IMHW", 1, "Q")])
+#: Of two mild insults in a clause the second is a full one.
+REPEATED = Transducer([(0, "M", 1, "="), (1, "M", 1, "I")])
 #: Behind a target, insults and threats are directed.
 DIRECTED = Transducer([(0, "T", 1, "="), (1, "I", 1, "D"), (1, "H", 1, "A")])
 
@@ -99,44 +101,45 @@ class Composed:
         return next((m for m in MATCHES if m in found), "")
 
 
-GRAMMAR = Composed(NEGATED, REPORTED, DIRECTED)
+GRAMMAR = Composed(NEGATED, REPORTED, REPEATED, DIRECTED)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Insulting words and stems, and the weight of each kind of clause (in order of MATCHES), the bias last."""
+    """Symbols of words and stems ("stem-"), and the weights of features(); the bias last."""
 
-    words: frozenset[str] = frozenset(INSULTS.split())
-    stems: frozenset[str] = frozenset()
-    weights: tuple[float, ...] = (4.0, 3.0, 3.0, 1.5, 0.5, 0.5, -3.0)
+    learned: dict[str, str] = field(default_factory=dict)
+    weights: tuple[float, ...] = (4.0, 3.0, 5.0, 1.5, 0.5, 0.5, 0.5, 0.0, -3.0)
 
     @cached_property
     def symbols(self) -> dict[str, str]:
         lists = (("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("H", THREATS))
-        return {w: s for s, listed in lists for w in listed.split()} | dict.fromkeys(self.words, "I")
+        return {w: s for s, listed in (*lists, ("I", INSULTS)) for w in listed.split()} | self.learned
 
     def symbol(self, word: str) -> str:
         found = self.symbols.get(word)
         if found is None:
-            found = "I" if any(word[:n] in self.stems for n in STEMS if len(word) > n) else "O"
+            get = self.learned.get
+            found = next((s for n in STEMS if len(word) > n and (s := get(f"{word[:n]}-"))), "O")
         return found
 
     def clauses(self, text: str) -> list[int]:
-        """How many clauses there are of each kind."""
-        kinds, clause, counts = self.symbol, [], Counter()
+        """How many clauses there are of each kind, and in all."""
+        kinds, clause, counts, n = self.symbol, [], Counter(), 0
         tokens = TOKEN.findall(text.lower())
         tokens.append(".")
         for token in tokens:
-            if token in END:
-                if "I" in clause or "H" in clause:
+            if token not in END:
+                clause.append(kinds(token))
+            elif clause:
+                n += 1
+                if "I" in clause or "M" in clause or "H" in clause:
                     counts[GRAMMAR.clause("".join(clause))] += 1
                 clause = []
-            else:
-                clause.append(kinds(token))
-        return [counts[m] for m in MATCHES]
+        return [*(counts[m] for m in MATCHES), n]
 
     def score(self, text: str) -> float:
-        x = self.clauses(text) if text else [0] * len(MATCHES)
+        x = self.clauses(text) if text else [0] * (len(MATCHES) + 1)
         z = sum(w * math.log1p(n) for w, n in zip(self.weights, x, strict=False)) + self.weights[-1]
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
@@ -182,14 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             return Model()
         counts = once.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
         tried = counts.count()
-        likely = counts.where((F.col("k") >= 3) & (F.col("k") >= PURITY * F.col("n"))).collect()
+        likely = counts.where((F.col("k") >= 3) & (F.col("k") >= MILD_PURITY * F.col("n"))).collect()
     finally:
         once.unpersist()
     limit = math.log(CHANCE / tried)
-    passed = {r["feature"] for r in likely if _tail(r["k"], r["n"], k / n) < limit}
-    stems = frozenset(f[:-1] for f in passed if f.endswith("-"))
-    words = frozenset(INSULTS.split()) | {f for f in passed if not f.endswith("-")}
-    model = Model(words, stems)
+    learned = {r["feature"]: "I" if r["k"] >= PURITY * r["n"] else "M" for r in likely if _tail(r["k"], r["n"], k / n) < limit}
+    model = Model(learned)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int64()))], names=["toxic", "x"])
 
     seen = texts.select(F.col("toxic").cast("int"), "text").mapInArrow(counted, "toxic int, x array<long>").groupBy("toxic", "x").count().collect()
-    return Model(words, stems, _logistic(seen))
+    return Model(learned, _logistic(seen))
 
 
 def _logistic(seen: list) -> tuple[float, ...]:
