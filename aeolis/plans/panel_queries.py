@@ -1,4 +1,338 @@
 """Registered queries over the panel operators, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import floor_hour, norm_id, parse_num, parse_ts
+from ..functions.schema import base_projection, canonicalize, drop_features, feature_lock, future_time
+from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
+from ..sources import tables
+from .lenses import AIR, BY_TIME, CUTS, ORDER, SERIES, SPLIT, TYPES, air, forecasts, geography, load, r6, series, stamp, weather
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    """Doubles to 6 places, times as text."""
+    kinds = dict(df.dtypes)
+    made = {"double": r6, "float": lambda c: r6(F.col(c).cast("double")), "timestamp_ntz": stamp}
+    return df.select(*(made.get(kinds[c], F.col)(c).alias(c) for c in df.columns))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.time_split(series(spark, sf_dir), *CUTS)
+
+
+P = SERIES + f", p AS (SELECT *, {SPLIT} AS split FROM s)"
+T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def stats(y: str, p: str) -> str:
+    """The four metrics in SQL."""
+    return (
+        f"round(sqrt(avg(({y}-{p})*({y}-{p}))), 6) AS rmse, round(avg(abs({y}-{p})), 6) AS mae, "
+        f"round(200*avg(abs({y}-{p})/(abs({y})+abs({p})+1e-12)), 6) AS smape, "
+        f"round(1 - sum(({y}-{p})*({y}-{p}))/(var_pop({y})*count({y})+1e-12), 6) AS r2"
+    )
+
+
+# -- the whole preparation --------------------------------------------------------------------
+@query(SERIES + f""", f AS (
+  SELECT *, last_value(y IGNORE NULLS) OVER ({BY_TIME} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS y1 FROM s
+), m AS (SELECT * EXCLUDE (y), coalesce(y1, avg(y1) OVER ({BY_TIME} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) AS y FROM f
+), l AS (SELECT *, lag(y, 1) OVER ({BY_TIME}) AS lag1, lag(y, 3) OVER ({BY_TIME}) AS lag3,
+  avg(y) OVER ({BY_TIME} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS roll_mean, stddev_pop(y) OVER ({BY_TIME} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS roll_std,
+  {SPLIT} AS split FROM m
+), g AS (SELECT avg(y) AS loc, stddev_pop(y) AS sc FROM l WHERE split = 'train'
+), q AS (SELECT station_id, avg(y) AS loc, stddev_pop(y) AS sc FROM l WHERE split = 'train' GROUP BY 1
+), x AS (SELECT l.*, coalesce(q.loc, g.loc) AS loc, coalesce(q.sc, g.sc) AS sc FROM l LEFT JOIN q USING (station_id), g)
+SELECT split, count(*) AS rows, count(DISTINCT station_id) AS stations,
+  round(avg(power((y - loc) / CASE WHEN abs(sc) < 1e-8 THEN 1e-8 ELSE sc END, 2)), 6) AS mean_square,
+  round(avg(lag1), 6) AS mean_lag1, round(avg(lag3), 6) AS mean_lag3, round(avg(roll_mean), 6) AS mean_roll, round(avg(roll_std), 6) AS mean_roll_std
+FROM x GROUP BY split""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = impute.impute(series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y"), ["y"], median=False, order=ORDER)
+    df = features.rolling(features.lags(df, "y", (1, 3), ORDER), ["y"], (6,), "past", ORDER)
+    df = split.time_split(df, *CUTS)
+    out = scale.scale(df, scale.fit_scaler(df, ["y"]), ["y"])
+    return rounded(out.groupBy("split").agg(
+        F.count("*").alias("rows"), F.countDistinct("station_id").alias("stations"), F.avg(F.col("y") * F.col("y")).alias("mean_square"),
+        F.avg("y_lag1h").alias("mean_lag1"), F.avg("y_lag3h").alias("mean_lag3"), F.avg("y_roll6h_mean_past").alias("mean_roll"), F.avg("y_roll6h_std_past").alias("mean_roll_std"),
+    ))
+
+
+# -- schema and sources -----------------------------------------------------------------------
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS norm_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS number, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events""")
+def parse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    raw_time = F.when(F.col("event_id") % 7 == 0, F.lit("no time")).otherwise(stamp("ts"))
+    raw_value = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    raw_id = F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".0"))
+    return e.select("event_id", norm_id(F.ltrim(raw_id)).alias("norm_id"), stamp(parse_ts(raw_time)).alias("parsed"), parse_num(raw_value).alias("number"), stamp(floor_hour(F.col("ts"))).alias("hour"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS station_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "Datetime", value AS "PM25_Concentration", event_id AS humidity FROM events""")
+def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    raw = e.select(F.col("user_id").cast("string").alias("Station ID"), F.col("ts").alias("Time"), F.col("value").alias("pm2.5"), F.col("event_id").alias("RH"), F.col("props").alias("note"))
+    aliases = {"station_id": ["Station ID", "station"], "Datetime": ["Time", "time"], "PM25_Concentration": ["PM2.5", "PM25"], "humidity": ["Humidity", "RH"]}
+    named = base_projection(canonicalize(raw, aliases, ignore_case=True), ["station_id", "Datetime"], "PM25_Concentration", ["humidity", "pressure", "note"])
+    out = drop_features(named, ["note", "not there"])
+    return out.withColumn("Datetime", stamp("Datetime"))
+
+
+@query(SERIES + """SELECT station_id, count(*) AS n, round(sum(value), 4) AS total, count(y) AS n_y FROM s GROUP BY 1""")
+def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.scratch_dir(spark, "csv")
+    tables.sink(series(spark, sf_dir).select("station_id", "Datetime", "event_id", "value", "y"), path, "csv")
+    found, _ = tables.ingest(spark, {"air": {"path": path, "read": {"inferSchema": "false"}}, "absent": None})
+    df = found["air"].select(norm_id(F.col("station_id")).alias("station_id"), parse_num(F.col("value")).alias("value"), parse_num(F.col("y")).alias("y"))
+    return df.groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count("y").alias("n_y"))
+
+
+@query("""SELECT 'events' AS key, 'read' AS status UNION ALL SELECT 'forecast', 'skipped'""")
+def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.ingest(spark, {"events": f"{sf_dir}/events.parquet", "forecast": {"read": {}}})[1]
+
+
+@query(SERIES + """SELECT station_id, strftime("Datetime", '%Y-%m-%d %H:%M:%S') AS "Datetime", event_id, y FROM s WHERE event_type <> 'signup'""")
+def roundtrip_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.scratch_dir(spark, "panel")
+    tables.write_panel(series(spark, sf_dir).where("event_type <> 'signup'").select("station_id", "Datetime", "event_id", "y"), path)
+    return tables.read_panel(spark, path).select("station_id", stamp("Datetime").alias("Datetime"), "event_id", "y")
+
+
+@query(SERIES + """, k AS (SELECT station_id FROM s GROUP BY 1 HAVING count(y) >= 50) SELECT s.station_id, count(*) AS n FROM s JOIN k USING (station_id) GROUP BY 1""")
+def keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, path = series(spark, sf_dir), tables.scratch_dir(spark, "keep")
+    tables.write_ids(s.groupBy("station_id").agg(F.count("y").alias("n")).where("n >= 50").select("station_id"), path)
+    return features.scope(s, tables.read_keep_list(spark, path)).groupBy("station_id").agg(F.count("*").alias("n"))
+
+
+@query(SERIES + """, r AS (SELECT * FROM s WHERE "Datetime" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10' AND station_id IN ('1', '2', '3'))
+SELECT station_id, strftime(min("Datetime"), '%Y-%m-%d %H:%M:%S') AS min_time, strftime(max("Datetime"), '%Y-%m-%d %H:%M:%S') AS max_time, count(*) AS n FROM r GROUP BY 1""")
+def time_range_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables.id_filter(tables.time_filter(series(spark, sf_dir), "Datetime", "2024-01-05", "2024-01-10"), "station_id", ["1", "2", "3"])
+    span = enrich.distinct_ids(s).join(s.groupBy("station_id").agg(F.min("Datetime").alias("min_time"), F.max("Datetime").alias("max_time"), F.count("*").alias("n")), "station_id")
+    return rounded(span)
+
+
+@query(SERIES + f"""SELECT {T('min("Datetime")')} AS min_time, {T('max("Datetime")')} AS max_time FROM s""")
+def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(enrich.time_range(series(spark, sf_dir), "Datetime"))
+
+
+@query(SERIES + """, k AS (SELECT DISTINCT station_id FROM s WHERE CAST(station_id AS INT) % 3 = 0), x AS (SELECT DISTINCT station_id FROM s WHERE CAST(station_id AS INT) % 5 = 0)
+SELECT station_id, count(*) AS n FROM s WHERE station_id IN (FROM k) AND station_id NOT IN (FROM x) AND year("Datetime") NOT IN (1970, 2023) GROUP BY 1""")
+def scope_keep_dropyears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir)
+    ids = s.select("station_id", F.col("station_id").cast("int").alias("n"))
+    out = features.scope(s, ids.where("n % 3 = 0").select("station_id"), ids.where("n % 5 = 0").select("station_id"), (1970, 2023))
+    return out.groupBy("station_id").agg(F.count("*").alias("n"))
+
+
+_LOCK = " UNION ALL ".join(f"SELECT {i} AS i, '{t}' AS \"column\", count(DISTINCT CASE WHEN \"{t}\" IS NOT NULL THEN split END) AS k FROM p WHERE event_type <> 'signup' OR split = 'train'" for i, t in enumerate(TYPES))
+
+
+@query(P + f""", c AS ({_LOCK}) SELECT row_number() OVER (ORDER BY i) - 1 AS pos, "column" FROM c WHERE k = 3 AND "column" <> 'error'""")
+def feature_lock_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_lock(panel(spark, sf_dir).where("event_type <> 'signup' or split = 'train'"), TYPES, ["error"])
+
+
+# -- joins ------------------------------------------------------------------------------------
+@query(AIR + """SELECT district_id, city_id, count(*) AS n, count(DISTINCT station_id) AS stations, round(sum(y), 2) AS total FROM air GROUP BY 1, 2""")
+def geo_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
+    return full.groupBy("district_id", "city_id").agg(F.count("*").alias("n"), F.countDistinct("station_id").alias("stations"), F.round(F.sum("y"), 2).alias("total"))
+
+
+@query(AIR + """, known AS (SELECT DISTINCT geo_id FROM met_d)
+SELECT o_orderkey, round(CASE WHEN k.geo_id IS NOT NULL THEN d.temperature ELSE c.temperature END, 6) AS temperature,
+  round(CASE WHEN k.geo_id IS NOT NULL THEN d.humidity ELSE c.humidity END, 6) AS humidity
+FROM air a LEFT JOIN known k ON k.geo_id = a.district_id LEFT JOIN met_d d ON d.geo_id = a.district_id AND d."Datetime" = a."Datetime"
+LEFT JOIN met_c c ON c.geo_id = a.city_id AND c."Datetime" = a."Datetime" """)
+def weather_join_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
+    both = weather(spark, sf_dir)
+    return rounded(enrich.join_by_geo(full, *both, ["temperature", "humidity"]).select("o_orderkey", "temperature", "humidity"))
+
+
+_FORECAST = """, fd AS (
+  SELECT 'd' || s_nationkey AS geo_id, "Datetime", l_extendedprice AS u, time_forecast FROM ship WHERE s_nationkey % 2 = 0 AND {when}
+), fc AS (SELECT 'c' || n_regionkey AS geo_id, "Datetime", l_extendedprice AS u, time_forecast FROM ship WHERE {when}
+), ld AS (SELECT geo_id, "Datetime", u FROM fd QUALIFY row_number() OVER (PARTITION BY geo_id, "Datetime" ORDER BY time_forecast DESC, u DESC) = 1
+), lc AS (SELECT geo_id, "Datetime", u FROM fc QUALIFY row_number() OVER (PARTITION BY geo_id, "Datetime" ORDER BY time_forecast DESC, u DESC) = 1
+), known AS (SELECT DISTINCT geo_id FROM fd)
+SELECT o_orderkey, CASE WHEN k.geo_id IS NOT NULL THEN d.u ELSE c.u END AS up_temperature
+FROM air a LEFT JOIN known k ON k.geo_id = a.district_id LEFT JOIN ld d ON d.geo_id = a.district_id AND d."Datetime" = a."Datetime"
+LEFT JOIN lc c ON c.geo_id = a.city_id AND c."Datetime" = a."Datetime" """
+
+
+def _forecast(spark: SparkSession, sf_dir: str, issued_before: bool) -> DataFrame:
+    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
+    return enrich.join_forecast(full, *forecasts(spark, sf_dir), ["up_temperature"], issued_before=issued_before).select("o_orderkey", "up_temperature")
+
+
+@query(AIR + _FORECAST.format(when="true"))
+def forecast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(spark, sf_dir, False)
+
+
+@query(AIR + _FORECAST.format(when='time_forecast <= "Datetime"'))
+def forecast_join_issued_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(spark, sf_dir, True)
+
+
+@query(AIR + """, h AS (SELECT "Datetime", max(geo_id) AS geo_id FROM met_c GROUP BY 1)
+SELECT o_orderkey, round(m.temperature, 6) AS temperature FROM air a LEFT JOIN h USING ("Datetime") LEFT JOIN met_c m ON m.geo_id = h.geo_id AND m."Datetime" = a."Datetime" """)
+def weather_hour_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = enrich.join_by_hour(air(spark, sf_dir), weather(spark, sf_dir)[1], ["temperature"], order=["geo_id"])
+    return rounded(out.select("o_orderkey", "temperature"))
+
+
+@query(AIR + """, few AS (SELECT * FROM air WHERE CAST(station_id AS INT) < 40), span AS (SELECT min("Datetime") AS a, max("Datetime") AS b FROM few),
+ids AS (SELECT district_id AS geo_id FROM few UNION SELECT city_id FROM few)
+SELECT geo_id, count(*) AS n, round(sum(temperature), 4) AS total FROM (FROM met_d UNION ALL FROM met_c), span WHERE geo_id IN (SELECT geo_id FROM ids) AND "Datetime" BETWEEN a AND b GROUP BY 1""")
+def weather_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = enrich.attach_geo(air(spark, sf_dir).where(F.col("station_id").cast("int") < 40), *geography(spark, sf_dir))
+    d, c = weather(spark, sf_dir)
+    return enrich.geo_slice(d.unionByName(c), few, "geo_id", "Datetime").groupBy("geo_id").agg(F.count("*").alias("n"), F.round(F.sum("temperature"), 4).alias("total"))
+
+
+@query(AIR + """, m AS (FROM met_d UNION ALL FROM met_c)
+SELECT 'district' AS grain, geo_id, count(*) AS n FROM m WHERE geo_id IN (SELECT 'd' || n_nationkey FROM nation) GROUP BY 2
+UNION ALL SELECT 'city', geo_id, count(*) FROM m WHERE geo_id IN (SELECT 'c' || r_regionkey FROM region) GROUP BY 2""")
+def geo_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, c = weather(spark, sf_dir)
+    _, districts, cities = geography(spark, sf_dir)
+    in_d, in_c = enrich.split_by_membership(d.unionByName(c), "geo_id", districts.select("district_id"), cities)
+    n = lambda df, grain: df.groupBy("geo_id").agg(F.count("*").alias("n")).select(F.lit(grain).alias("grain"), "geo_id", "n")
+    return n(in_d, "district").unionByName(n(in_c, "city"))
+
+
+@query(AIR + """SELECT geo_id AS id FROM (SELECT district_id AS geo_id FROM air UNION SELECT city_id FROM air)""")
+def geo_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
+    return enrich.union_ids(full.select("district_id"), full.select("city_id"))
+
+
+@query("""SELECT 'l_shipdate' AS "column", count(l_shipdate) AS n FROM lineitem""")
+def forecast_time_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem")
+    name = future_time(rows, "l_shipdate", ["Future Time"])
+    return rows.agg(F.lit(name).alias("column"), F.count(name).alias("n"))
+
+
+# -- aggregation and audit --------------------------------------------------------------------
+@query(SERIES + f""", h AS (SELECT *, date_trunc('hour', "Datetime") AS hr FROM s)
+SELECT station_id, {T('hr')} AS "Datetime", round(avg(y), 6) AS y, arg_min(event_type, event_id) AS event_type FROM h GROUP BY station_id, hr""")
+def coalesce_station_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).select("station_id", floor_hour(F.col("Datetime")).alias("Datetime"), "y", "event_type", "event_id")
+    return rounded(enrich.coalesce_station_time(s, order=["event_id"]).drop("event_id"))
+
+
+@query(SERIES + f""", h AS (SELECT *, date_trunc('hour', "Datetime") AS hr FROM s)
+SELECT station_id, {T('hr')} AS "Datetime", event_id, value FROM h QUALIFY row_number() OVER (PARTITION BY station_id, hr ORDER BY h."Datetime" DESC, event_id DESC) = 1""")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).select("station_id", floor_hour(F.col("Datetime")).alias("Datetime"), F.col("Datetime").alias("t"), "event_id", "value")
+    return rounded(enrich.latest_per_key(s, ["station_id", "Datetime"], ["t", "event_id"]).drop("t"))
+
+
+_COVER = ", ".join(f'count("{t}") AS {t}_non_null, round(count("{t}") / count(*), 3) AS {t}_coverage' for t in TYPES[:4])
+
+
+@query(SERIES + f"SELECT station_id, count(*) AS rowcount, {_COVER} FROM s GROUP BY 1")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage(series(spark, sf_dir), TYPES[:4])
+
+
+_FLAGS = SERIES + f""", c AS (SELECT station_id, count(*) AS rowcount, round(count(y) / count(*), 3) AS cy, round(count(value) / count(*), 3) AS cv, round(count("view") / count(*), 3) AS cw FROM s GROUP BY 1),
+f AS (SELECT station_id, rowcount, (cy + cv) / 2 AS core, cw AS fore, (cy + cv) / 2 < 0.9 AS flag FROM c) """
+
+
+@query(_FLAGS + "SELECT station_id, round(core, 6) AS overall_core_coverage, round(fore, 6) AS overall_forecast_coverage, flag AS flag_exclude FROM f")
+def coverage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = quality.coverage_flags(quality.coverage(series(spark, sf_dir), ["y", "value", "view"]), ["y", "value"], ["view"], 0.9)
+    return rounded(flagged.select("station_id", "overall_core_coverage", "overall_forecast_coverage", "flag_exclude"))
+
+
+@query(_FLAGS + """SELECT count(*) AS stations, CAST(sum(rowcount) AS BIGINT) AS rows, count(*) FILTER (NOT flag) AS kept, count(*) FILTER (flag) AS excluded,
+  round(avg(core), 6) AS mean_core_coverage, round(avg(fore), 6) AS mean_forecast_coverage FROM f""")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = quality.coverage_flags(quality.coverage(series(spark, sf_dir), ["y", "value", "view"]), ["y", "value"], ["view"], 0.9)
+    return rounded(quality.coverage_report(flagged))
+
+
+_HOURS = SERIES + """, n AS (SELECT station_id, date_trunc('hour', "Datetime") AS h, count(*) AS n FROM s GROUP BY 1, 2) """
+
+
+@query(_HOURS + "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_rows, count(*) FILTER (n > 1) AS duplicate_groups FROM n")
+def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_report(series(spark, sf_dir).withColumn("h", floor_hour(F.col("Datetime"))), ["station_id", "h"])
+
+
+@query(_HOURS + "SELECT station_id, CAST(sum(n) AS BIGINT) AS duplicate_rows FROM n WHERE n > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def dup_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_top(series(spark, sf_dir).withColumn("h", floor_hour(F.col("Datetime"))), ["station_id", "h"])
+
+
+_STATS = " UNION ALL ".join(
+    f"SELECT split, '{c}' AS \"column\", count(\"{c}\") AS n, round(avg(\"{c}\"), 6) AS mean, round(stddev_samp(\"{c}\"), 6) AS std, min(\"{c}\") AS min, max(\"{c}\") AS max FROM p GROUP BY split" for c in ("y", "view", "click")
+)
+
+
+@query(f"{P} {_STATS}")
+def quick_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.quick_stats(panel(spark, sf_dir), ["y", "view", "click"]))
+
+
+_SPAN = f"count(*) AS rows, count(DISTINCT station_id) AS stations, {T('min("Datetime")')} AS min_time, {T('max("Datetime")')} AS max_time"
+
+
+@query(f"{P} SELECT split, {_SPAN} FROM p GROUP BY 1")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(split.split_summary(panel(spark, sf_dir)))
+
+
+@query(f"{P} SELECT split, {_SPAN}, round(avg(CAST(y IS NULL AS INT)), 6) AS y_null_rate, round(avg(CAST(\"view\" IS NULL AS INT)), 6) AS view_null_rate FROM p GROUP BY 1")
+def split_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.split_health(panel(spark, sf_dir), "Datetime", ["y", "view"]))
+
+
+@query(f"{P} SELECT 'raw' AS label, {_SPAN}, 11 AS columns FROM s UNION ALL SELECT 'train', {_SPAN}, 12 FROM p WHERE split = 'train'".replace("11 AS columns", "CAST(11 AS BIGINT) AS columns"))
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, train = series(spark, sf_dir), panel(spark, sf_dir).where("split = 'train'")
+    return rounded(quality.check_report(quality.shape_line(raw, "raw", "Datetime"), quality.shape_line(train, "train", "Datetime")))
+
+
+_AUDIT = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", bool_or(h) AS in_any, bool_and(h) AS in_all, {str(c in ('y', 'view')).lower()} AS expected FROM (SELECT station_id, bool_or(\"{c}\" IS NOT NULL) AS h FROM s GROUP BY 1)" for c in ("y", *TYPES)
+)
+
+
+@query(f"{SERIES} {_AUDIT}")
+def schema_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.schema_audit(series(spark, sf_dir), ["y", *TYPES], ["y", "view"])
+
+
+@query(f"{P} SELECT split, station_id, count(*) AS n FROM p GROUP BY 1, 2")
+def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir)
+    whole = split.union_splits(df.where("split = 'train'").drop("props"), df.where("split = 'val'"), df.where("split = 'test'").withColumn("extra", F.lit(1)))
+    return whole.groupBy("split", "station_id").agg(F.count("*").alias("n"))
