@@ -17,7 +17,7 @@ def _predictions(df: DataFrame, y: str, horizons: Sequence[int], by: str, order:
     """(station, horizon, y_true, y_pred), where both are there; all horizons in one pass over a station."""
     w = in_order(by, order)
     made = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead(y, h).over(w).alias("y_true"), predictor(w, h).alias("y_pred")) for h in horizons))
-    rows = df.select(by, F.explode(made).alias("p")).select(by, "p.*")
+    rows = df.select(by, made.alias("made")).select(by, F.explode("made").alias("p")).select(by, "p.*")
     return rows.where("y_true is not null and y_pred is not null")
 
 

@@ -336,3 +336,401 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = panel(spark, sf_dir)
     whole = split.union_splits(df.where("split = 'train'").drop("props"), df.where("split = 'val'"), df.where("split = 'test'").withColumn("extra", F.lit(1)))
     return whole.groupBy("split", "station_id").agg(F.count("*").alias("n"))
+
+
+# -- features and imputation ------------------------------------------------------------------
+_LAGGED = ", ".join(f"lag(y, {h}) OVER ({BY_TIME}) AS y_lag{h}h" for h in (1, 3, 6, 12))
+
+
+@query(f"{SERIES} SELECT event_id, {_LAGGED} FROM s")
+def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = features.lags(series(spark, sf_dir), "y", (1, 3, 6, 12), ORDER)
+    return out.select("event_id", *(f"y_lag{h}h" for h in (1, 3, 6, 12)))
+
+
+@query(f"{SERIES} SELECT event_id, " + ", ".join(f"lag(y, {h}) OVER ({BY_TIME}) AS y_lag{h}" for h in range(1, 13)) + " FROM s")
+def lag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.lag_matrix(series(spark, sf_dir), "y", 12, ORDER).select("event_id", *(f"y_lag{h}" for h in range(1, 13)))
+
+
+@query(f"{SERIES} SELECT event_id, lead(y, 3) OVER ({BY_TIME}) AS y_true FROM s")
+def target_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.lead_target(series(spark, sf_dir), "y", 3, ORDER).select("event_id", "y_true")
+
+
+def _rolled(closed: str) -> str:
+    out = []
+    for n in (3, 6, 12):
+        frame = f"({BY_TIME} ROWS BETWEEN " + (f"{n - 1} PRECEDING AND CURRENT ROW)" if closed == "current" else f"{n} PRECEDING AND 1 PRECEDING)")
+        enough, std, end = (max(1, n // 2), "stddev_samp", "") if closed == "current" else (1, "stddev_pop", "_past")
+        for name, f in (("mean", "avg"), ("std", std)):
+            out.append(f"round(CASE WHEN count(y) OVER {frame} >= {enough} THEN {f}(y) OVER {frame} END, 6) AS y_roll{n}h_{name}{end}")
+    return ", ".join(out)
+
+
+def _roll(spark: SparkSession, sf_dir: str, closed: str) -> DataFrame:
+    s = series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y")
+    return rounded(features.rolling(s, ["y"], (3, 6, 12), closed, ORDER).drop("station_id", "Datetime", "y"))
+
+
+@query(f"{SERIES} SELECT event_id, {_rolled('current')} FROM s")
+def rolling_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roll(spark, sf_dir, "current")
+
+
+@query(f"{SERIES} SELECT event_id, {_rolled('past')} FROM s")
+def rolling_past(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roll(spark, sf_dir, "past")
+
+
+@query(SERIES + """SELECT event_id, round(sin(2 * pi() * hour("Datetime") / 24), 6) + 0 AS hour_sin, round(cos(2 * pi() * hour("Datetime") / 24), 6) + 0 AS hour_cos,
+  round(sin(2 * pi() * (isodow("Datetime") - 1) / 7), 6) + 0 AS dow_sin, round(cos(2 * pi() * (isodow("Datetime") - 1) / 7), 6) + 0 AS dow_cos FROM s""")
+def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rounded(features.calendar(series(spark, sf_dir).select("event_id", "Datetime")).drop("Datetime"))
+    return out.select("event_id", *((F.col(c) + 0.0).alias(c) for c in out.columns[1:]))
+
+
+def _filled(y: str, limit: int, width: int) -> str:
+    return f""", f AS (
+  SELECT *, last_value({y} IGNORE NULLS) OVER ({BY_TIME} ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW) AS y1 FROM s
+), m AS (SELECT *, coalesce(y1, avg(y1) OVER ({BY_TIME} ROWS BETWEEN {width} PRECEDING AND 1 PRECEDING)) AS y2 FROM f
+), d AS (SELECT *, coalesce(y2, median(y2) OVER ({BY_TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS y3 FROM m) """
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).select("station_id", "Datetime", "event_id", F.col("view").alias("y"))
+
+
+@query(SERIES + _filled("y", 6, 24) + "SELECT event_id, y1 AS y FROM f")
+def ffill6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.ffill(series(spark, sf_dir), ["y"], 6, ORDER).select("event_id", "y")
+
+
+@query(SERIES + _filled('"view"', 1, 2) + "SELECT event_id, round(y2, 6) AS y FROM m")
+def past_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(impute.impute(_sparse(spark, sf_dir), ["y"], 1, 2, median=False, order=ORDER).select("event_id", "y"))
+
+
+@query(SERIES + _filled('"view"', 1, 2) + "SELECT event_id, round(y3, 6) AS y FROM d")
+def past_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(impute.impute(_sparse(spark, sf_dir), ["y"], 1, 2, order=ORDER).select("event_id", "y"))
+
+
+@query(SERIES + _filled("y", 6, 24) + "SELECT event_id, round(y3, 6) AS y FROM d")
+def impute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(impute.impute(series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y"), ["y"], order=ORDER).select("event_id", "y"))
+
+
+# -- leakage ----------------------------------------------------------------------------------
+#: One lag in ten rows is stored wrong, so that the check has something to find.
+_WRONG = "CASE WHEN event_id % 10 = 0 THEN {x} + 1 ELSE {x} END"
+
+
+@query(f"""{SERIES}, l AS (SELECT event_id, lag(y, 1) OVER ({BY_TIME}) AS a, lag(y, 3) OVER ({BY_TIME}) AS b FROM s)
+SELECT 'lags' AS "check", 'y_lag1h' AS "column", 0.0::DOUBLE AS max_diff, CAST(0 AS BIGINT) AS mismatches, true AS ok
+UNION ALL SELECT 'lags', 'y_lag3h', round(coalesce(max(abs({_WRONG.format(x='b')} - b)), 0), 6), CAST(0 AS BIGINT), false FROM l""")
+def leak_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = features.lags(series(spark, sf_dir), "y", (1, 3), ORDER).withColumn("y_lag3h", F.expr(_WRONG.format(x="y_lag3h")))
+    return rounded(quality.lag_check(stored, "y", (1, 3), ORDER))
+
+
+@query("""SELECT 'rolls' AS "check", 'y_roll' || w || 'h_' || k AS "column", 0.0::DOUBLE AS max_diff, CAST(0 AS BIGINT) AS mismatches, true AS ok
+FROM (VALUES (3), (6)) AS a(w), (VALUES ('mean'), ('std')) AS b(k)""")
+def leak_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = features.rolling(series(spark, sf_dir), ["y"], (3, 6), "current", ORDER)
+    return rounded(quality.roll_check(stored, ["y"], (3, 6), ORDER))
+
+
+_SPLITS = f"""{P}, q AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'train' ELSE split END AS shown FROM p)
+SELECT 'splits' AS "check", x AS "column", 0.0::DOUBLE AS max_diff, count(*) FILTER (shown = x AND split <> x) AS mismatches, count(*) FILTER (shown = x AND split <> x) = 0 AS ok
+FROM q, (VALUES ('train'), ('val'), ('test')) AS v(x) GROUP BY x"""
+
+
+@query(_SPLITS)
+def leak_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir).withColumn("split", F.expr("case when event_id % 50 = 0 then 'train' else split end"))
+    return quality.split_check(df, "Datetime", *CUTS)
+
+
+@query(SERIES + """, l AS (SELECT station_id, "Datetime" < lag("Datetime") OVER (PARTITION BY station_id ORDER BY event_id % 97, event_id) AS back FROM s)
+SELECT station_id, count(*) FILTER (back) AS backwards FROM l GROUP BY 1""")
+def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = series(spark, sf_dir).withColumn("position", F.struct(F.col("event_id") % 97, "event_id"))
+    return quality.monotonic_check(stored, "Datetime", "position")
+
+
+@query("""SELECT * FROM (VALUES ('lags', true), ('rolls', true), ('rolls', true), ('splits', true), ('splits', true), ('splits', true)) AS v("check", ok)""")
+def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = features.rolling(features.lags(panel(spark, sf_dir), "y", (1,), ORDER), ["y"], (6,), "past", ORDER)
+    report = quality.check_report(quality.lag_check(df, "y", (1,), ORDER), quality.roll_check(df, ["y"], (6,), ORDER, closed="past"), quality.split_check(df, "Datetime", *CUTS))
+    return report.select("check", "ok")
+
+
+# -- scaling ----------------------------------------------------------------------------------
+_FITS = {
+    "standard": ("avg(y)", "stddev_pop(y)"),
+    "minmax": ("min(y)", "max(y) - min(y)"),
+    "robust": ("quantile_cont(y, 0.5)", "quantile_cont(y, 0.75) - quantile_cont(y, 0.25)"),
+}
+
+
+def _scaled(kind: str, where: str = "split = 'train'") -> str:
+    loc, sc = _FITS[kind]
+    return f"""{P}, g AS (SELECT {loc} AS loc, {sc} AS sc FROM p WHERE {where}), q AS (SELECT station_id, {loc} AS loc, {sc} AS sc FROM p WHERE {where} GROUP BY 1),
+x AS (SELECT p.*, coalesce(q.loc, g.loc) AS loc, coalesce(q.sc, g.sc) AS sc FROM p LEFT JOIN q USING (station_id), g)
+SELECT event_id, round((y - loc) / CASE WHEN abs(sc) < 1e-8 THEN 1e-8 ELSE sc END, 6) + 0 AS y FROM x"""
+
+
+def _scale(spark: SparkSession, sf_dir: str, kind: str, where: str = "true") -> DataFrame:
+    df = panel(spark, sf_dir)
+    out = rounded(scale.scale(df, scale.fit_scaler(df.where(where), ["y"], kind), ["y"]).select("event_id", "y"))
+    return out.select("event_id", (F.col("y") + 0.0).alias("y"))
+
+
+@query(_scaled("standard"))
+def scale_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scale(spark, sf_dir, "standard")
+
+
+@query(_scaled("minmax"))
+def scale_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scale(spark, sf_dir, "minmax")
+
+
+@query(_scaled("robust"))
+def scale_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scale(spark, sf_dir, "robust")
+
+
+@query(_scaled("standard", "split = 'train' AND CAST(station_id AS INT) % 4 <> 0"))
+def scale_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the stations isn't in the training rows and gets the global parameters."""
+    return _scale(spark, sf_dir, "standard", "cast(station_id as int) % 4 <> 0")
+
+
+@query(f"""{P}, t AS (SELECT * FROM p WHERE split = 'train')
+SELECT 'global' AS scope, NULL AS station_id, 'y' AS "column", round(avg(y), 6) AS loc, round(stddev_pop(y), 6) AS scale FROM t
+UNION ALL SELECT 'station', station_id, 'y', round(avg(y), 6), round(stddev_pop(y), 6) FROM t GROUP BY station_id""")
+def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scale.fit_scaler(panel(spark, sf_dir), ["y"]))
+
+
+@query(f"{P} SELECT event_id, y FROM p")
+def unscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir)
+    params = scale.fit_scaler(df, ["y"], "minmax")
+    return rounded(scale.unscale(scale.scale(df, params, ["y"]), params, ["y"]).select("event_id", "y"))
+
+
+# -- windows ----------------------------------------------------------------------------------
+def _windows(ratio: float, keys: str = "station_id", horizons: tuple[int, ...] = (1, 3)) -> str:
+    w = f'PARTITION BY {keys} ORDER BY "Datetime", event_id'
+    each = " UNION ALL ".join(
+        f"""SELECT station_id, split, CAST({h} AS INT) AS horizon, start, lead("Datetime", {11 + h}) OVER ({w}) AS target_time, lead(y, {11 + h}) OVER ({w}) AS y, vr, n FROM r""" for h in horizons
+    )
+    return f"""{P}, r AS (
+  SELECT *, row_number() OVER ({w}) - 1 AS start, count(*) OVER (PARTITION BY {keys}) AS n,
+    sum((y IS NOT NULL)::INT + (value IS NOT NULL)::INT) OVER ({w} ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) / 24 AS vr FROM p
+), e AS ({each}), i AS (SELECT * FROM e WHERE start % 3 = 0 AND start <= n - 12 - horizon AND y IS NOT NULL AND vr >= {ratio}) """
+
+
+def _index(spark: SparkSession, sf_dir: str, ratio: float, by_split: bool = False) -> DataFrame:
+    return windows.window_index(panel(spark, sf_dir), "y", ["y", "value"], 12, (1, 3), 3, ratio, ORDER, split="split" if by_split else None)
+
+
+@query(_windows(0.75) + f"SELECT station_id, horizon, start, {T('target_time')} AS target_time, y, round(vr, 6) AS valid_ratio FROM i")
+def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_index(spark, sf_dir, 0.75))
+
+
+@query(_windows(1.0) + "SELECT station_id, horizon, start, y FROM i")
+def window_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, 1.0).select("station_id", "horizon", "start", "y")
+
+
+@query(f"""{P}, n AS (SELECT split, station_id, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT split, CAST(sum(greatest(0, n - 12 - 3 + 1) // 3) AS BIGINT) AS upper_bound, CAST(sum((greatest(0, n - 12 - 3 + 1) + 2) // 3) AS BIGINT) AS exact FROM n GROUP BY 1""")
+def window_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_counts(panel(spark, sf_dir), 12, 3, 3, split=["split"])
+
+
+@query(_windows(0.75, "station_id, split") + """SELECT station_id, split, horizon, start FROM i
+QUALIFY row_number() OVER (PARTITION BY station_id, horizon, split ORDER BY md5('7|' || station_id || '|' || start), start)
+  <= greatest(2, ceil(CASE split WHEN 'train' THEN 0.3 WHEN 'val' THEN 0.5 ELSE 1.0 END * count(*) OVER (PARTITION BY station_id, horizon, split)))""")
+def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir, 0.75, by_split=True)
+    return windows.subsample(rows, {"train": 0.3, "val": 0.5, "test": 1.0}, 2, "7", keys=["horizon"]).select("station_id", "split", "horizon", "start")
+
+
+@query(_windows(0.75, horizons=(1,)) + """, o AS (SELECT *, row_number() OVER (ORDER BY station_id, start) AS k, count(*) OVER () AS m FROM i)
+SELECT 'head' AS "end", station_id, start FROM o WHERE k <= ceil(0.2 * m) UNION ALL SELECT 'tail', station_id, start FROM o WHERE k > m - ceil(0.2 * m)""")
+def window_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir, 0.75).where("horizon = 1")
+    ends = [windows.subsample_ends(rows, 0.2, e).select(F.lit(e).alias("end"), "station_id", "start") for e in ("head", "tail")]
+    return ends[0].unionByName(ends[1])
+
+
+def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir, 0.75, by_split=True)
+    return windows.window_tensors(panel(spark, sf_dir), index, ["y", "value"], 12, 24, ORDER, split="split")
+
+
+_SUMS = _windows(0.75, "station_id, split") + """, t AS (
+  SELECT i.split, i.horizon, i.station_id, i.start, i.y, sum(coalesce(r.y, 0)) AS sy, sum(r.value) AS sv, sum((r.start - i.start) * r.value) AS wv
+  FROM i JOIN r ON r.station_id = i.station_id AND r.split = i.split AND r.start BETWEEN i.start AND i.start + 11 GROUP BY ALL
+) """
+
+
+@query(_SUMS + "SELECT split, horizon, station_id, start, round(sy, 2) AS sum_y, round(sv, 2) AS sum_value, round(wv, 2) AS weighted FROM t")
+def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda f: F.aggregate(F.transform("X", f), F.lit(0.0), lambda a, x: a + x)
+    return _tensors(spark, sf_dir).select(
+        "split", "horizon", "station_id", "start",
+        F.round(total(lambda r: r[0].cast("double")), 2).alias("sum_y"),
+        F.round(total(lambda r: r[1].cast("double")), 2).alias("sum_value"),
+        F.round(total(lambda r, i: i * r[1].cast("double")), 2).alias("weighted"),
+    )
+
+
+@query(_SUMS + """SELECT split, horizon, count(*) AS windows, CAST(12 AS BIGINT) AS t_min, CAST(12 AS BIGINT) AS t_max, CAST(2 AS BIGINT) AS f_min, CAST(2 AS BIGINT) AS f_max,
+  min(y) AS y_min, max(y) AS y_max, CAST(0 AS BIGINT) AS mismatched FROM t GROUP BY 1, 2""")
+def window_tensor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_summary(_tensors(spark, sf_dir), 12, 2)
+
+
+@query(_windows(0.75, "station_id, split") + "SELECT split, horizon, count(*) AS windows FROM i GROUP BY 1, 2")
+def window_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.scratch_dir(spark, "windows")
+    tables.write_window_shards(_tensors(spark, sf_dir), path, 500)
+    return tables.window_manifest(spark, path).select("split", F.col("horizon").cast("int").alias("horizon"), "windows")
+
+
+# -- baselines and scores ---------------------------------------------------------------------
+def _pairs(predictor: str, split: str = "test") -> str:
+    each = " UNION ALL ".join(f"SELECT station_id, event_id, CAST({h} AS INT) AS horizon, lead(y, {h}) OVER ({BY_TIME}) AS t, {predictor} AS q FROM p WHERE split = '{split}'" for h in (1, 3))
+    return f"{P}, e AS ({each}), v AS (SELECT * FROM e WHERE t IS NOT NULL AND q IS NOT NULL) "
+
+
+def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).where("split = 'test'")
+
+
+def _persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.persistence(_test(spark, sf_dir), "y", (1, 3), order=ORDER)
+
+
+_BOTH = stats("t", "q")
+
+
+@query(_pairs("y") + f"SELECT horizon, count(*) AS n, {_BOTH} FROM v GROUP BY 1")
+def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score(_persisted(spark, sf_dir)))
+
+
+@query(_pairs(f"lag(y, 4) OVER ({BY_TIME})") + f"SELECT horizon, count(*) AS n, {_BOTH} FROM v GROUP BY 1")
+def seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score(forecast.seasonal(_test(spark, sf_dir), "y", (1, 3), 4, order=ORDER)))
+
+
+@query(_pairs("y") + f"SELECT count(*) AS n, {_BOTH} FROM v")
+def score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score(_persisted(spark, sf_dir), by=[]))
+
+
+@query(_pairs("y") + f"SELECT horizon, station_id, count(*) AS n, {_BOTH} FROM v GROUP BY 1, 2")
+def score_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score(_persisted(spark, sf_dir), ["horizon", "station_id"]))
+
+
+@query(_pairs("y") + """, r AS (SELECT horizon, station_id, round(sqrt(avg((t - q) * (t - q))), 6) AS rmse FROM v GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY horizon ORDER BY rmse, station_id) AS INT) AS b, CAST(row_number() OVER (PARTITION BY horizon ORDER BY rmse DESC, station_id) AS INT) AS w FROM r)
+SELECT horizon, 'best' AS which, b AS rank, station_id, rmse FROM o WHERE b <= 10 UNION ALL SELECT horizon, 'worst', w, station_id, rmse FROM o WHERE w <= 10""")
+def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.rank_stations(rounded(score.score(_persisted(spark, sf_dir), ["horizon", "station_id"], metrics=["rmse"])))
+
+
+@query(_pairs("y") + """, r AS (SELECT station_id, round(abs(t - q), 6) AS abs_err, CAST(row_number() OVER (PARTITION BY station_id ORDER BY abs(t - q) DESC, horizon, t, q) AS INT) AS rank FROM v)
+SELECT station_id, abs_err, rank FROM r WHERE rank <= 10""")
+def residual_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.top_residuals(_persisted(spark, sf_dir), tie=["horizon", "y_true", "y_pred"]).select("station_id", "abs_err", "rank"))
+
+
+_LOG = "ln(1 + greatest(least({x}, 60.0), 0)) "
+
+
+@query(_pairs("y") + f""", d AS (SELECT horizon, {_LOG.format(x='t')} - {_LOG.format(x='q')} AS e FROM v)
+SELECT horizon, round(avg(CASE WHEN abs(e) <= 0.5 THEN e * e / 2 ELSE 0.5 * (abs(e) - 0.25) END), 6) AS loss FROM d GROUP BY 1""")
+def loss_huber_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score_loss(_persisted(spark, sf_dir), kind="huber", delta=0.5, clip_max=60.0, log1p=True))
+
+
+@query(_pairs("y") + "SELECT horizon, round(avg((t - q) * (t - q)), 6) AS loss FROM v GROUP BY 1")
+def loss_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score_loss(_persisted(spark, sf_dir), kind="mse"))
+
+
+_RIDGE = f"""{P}, b AS (
+  SELECT station_id, split = 'test' AS te, lag(y, 1) OVER (PARTITION BY station_id, split = 'test' ORDER BY "Datetime", event_id) AS x,
+         lead(y, 1) OVER (PARTITION BY station_id, split = 'test' ORDER BY "Datetime", event_id) AS t FROM p
+), ok AS (SELECT * FROM b WHERE x IS NOT NULL AND t IS NOT NULL), c AS (SELECT avg(x) AS mx, avg(t) AS mt FROM ok WHERE NOT te),
+k AS (SELECT sum((x - mx) * (t - mt)) / (sum((x - mx) * (x - mx)) + 1) AS slope FROM ok, c WHERE NOT te),
+v AS (SELECT station_id, t, mt + slope * (x - mx) AS q FROM ok, c, k WHERE te) """
+
+
+def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir)
+    return forecast.ridge_direct(df.where("split <> 'test'"), df.where("split = 'test'"), "y", 1, 1, order=ORDER)
+
+
+@query(_RIDGE + f"SELECT CAST(1 AS INT) AS horizon, count(*) AS n, {_BOTH} FROM v")
+def ridge_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(score.score(_ridge(spark, sf_dir)))
+
+
+@query(_pairs("y").replace("v AS (", "v1 AS (") + f""", b AS (
+  SELECT station_id, split = 'test' AS te, lag(y, 1) OVER z AS x, lead(y, 1) OVER z AS t FROM p WINDOW z AS (PARTITION BY station_id, split = 'test' ORDER BY "Datetime", event_id)
+), ok AS (SELECT * FROM b WHERE x IS NOT NULL AND t IS NOT NULL), c AS (SELECT avg(x) AS mx, avg(t) AS mt FROM ok WHERE NOT te),
+k AS (SELECT sum((x - mx) * (t - mt)) / (sum((x - mx) * (x - mx)) + 1) AS slope FROM ok, c WHERE NOT te), v2 AS (SELECT t, mt + slope * (x - mx) AS q FROM ok, c, k WHERE te),
+m AS (SELECT 'persistence' AS method, horizon, {_BOTH} FROM v1 GROUP BY 2 UNION ALL SELECT 'ridge', CAST(1 AS INT), {_BOTH} FROM v2)
+SELECT a.method, CAST(h AS INT) AS horizon, rmse, mae, smape, r2, CASE WHEN rmse IS NULL THEN 'no valid rows for ' || a.method END AS note
+FROM (VALUES ('persistence'), ('ridge')) AS a(method), (VALUES (1), (3)) AS b(h) LEFT JOIN m ON m.method = a.method AND m.horizon = h""")
+def baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(forecast.baseline_report({"persistence": _persisted(spark, sf_dir), "ridge": _ridge(spark, sf_dir)}, (1, 3)))
+
+
+@query(SERIES + "SELECT event_id, greatest(-50.0, least(50.0, coalesce(CASE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE y END, 0))) AS y FROM s")
+def sanitize_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = series(spark, sf_dir).withColumn("y", F.when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).when(F.col("y").isNull(), F.lit(float("nan"))).otherwise(F.col("y")))
+    return score.sanitize(df, ["y"], 50.0).select("event_id", "y")
+
+
+@query(_pairs("y").replace("WHERE t IS NOT NULL AND q IS NOT NULL", "") + "SELECT horizon, count(*) FILTER (t IS NOT NULL AND q IS NOT NULL) AS kept, count(*) FILTER (t IS NULL OR q IS NULL) AS dropped FROM e GROUP BY 1")
+def finite_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _test(spark, sf_dir)
+    pairs = [features.lead_target(df, "y", h, ORDER).select(F.lit(h).alias("horizon"), "y_true", F.col("y").alias("y_pred")) for h in (1, 3)]
+    return quality.finite_pairs(pairs[0].unionByName(pairs[1]), by=["horizon"])[1]
+
+
+# -- distributions ----------------------------------------------------------------------------
+_BINS = f"""{P}, b AS (SELECT quantile_cont(y, 0.005) AS lo, quantile_cont(y, 0.995) AS hi FROM p) """
+
+
+@query(_BINS + """, n AS (SELECT split, least(CAST(floor((y - lo) / ((hi - lo) / 59)) AS BIGINT), 58) AS bin, count(*) AS n FROM p, b WHERE y BETWEEN lo AND hi GROUP BY 1, 2)
+SELECT split, bin, round(lo + (bin + 0.5) * (hi - lo) / 59, 6) AS mid, round(n / (sum(n) OVER (PARTITION BY split) * (hi - lo) / 59), 6) AS density FROM n, b""")
+def hist_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(distrib.histogram(panel(spark, sf_dir), "y"))
+
+
+@query(_BINS + """, w AS (SELECT split, count(y) AS n, CASE WHEN stddev_samp(y) > 0 THEN 1.06 * stddev_samp(y) * power(count(y), -0.2) ELSE 1.0 END AS bw FROM p GROUP BY 1),
+g AS (SELECT i AS bin, lo + (i + 0.5) * (hi - lo) / 59 AS mid FROM b, range(59) r(i))
+SELECT p.split, bin, round(mid, 6) AS mid, round(sum(exp(-0.5 * power((mid - y) / bw, 2))) / any_value(n) / (any_value(bw) * sqrt(2 * pi())), 6) AS density
+FROM p JOIN w ON w.split = p.split, g WHERE y IS NOT NULL GROUP BY p.split, bin, mid""")
+def kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(distrib.kde(panel(spark, sf_dir), "y"))
+
+
+@query(f"{P} SELECT split, count(*) AS rows FROM p GROUP BY 1")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tables.scratch_dir(spark, "reports")
+    tables.write_reports({"splits": split.split_summary(panel(spark, sf_dir))}, folder)
+    return tables.read_table(spark, f"{folder}/splits.json", "json").select("split", "rows")
