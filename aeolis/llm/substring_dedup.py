@@ -9,7 +9,7 @@ documents share reaches its task once a chunk, not once a document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,12 @@ def _unpacked(ids: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(ids), "<i8"))
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    edges = [*np.flatnonzero(np.diff(values, prepend=values[0] - 1)).tolist(), len(values)] if len(values) else []
+    return list(pairwise(edges))
+
+
 def _first_and_later(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row whether it is the first of its hash, and whether its document isn't that hash's smallest."""
     order = np.lexsort((docs, hashes))
@@ -107,8 +113,7 @@ def _dealt(docs: DataFrame, buckets: int, window: int) -> DataFrame:
         for settled, chosen in ((False, np.flatnonzero(first)), (True, np.flatnonzero(later))):
             at = chosen[np.argsort(docs[chosen], kind="stable")]
             at = at[np.argsort(bucket[at].astype(np.uint16) if buckets <= 1 << 16 else bucket[at], kind="stable")]
-            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1))
-            for a, b in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
+            for a, b in _runs(bucket[at]):
                 rows.append((int(bucket[at[a]]), settled, _packed(docs[at[a:b]]), hashes[at[a:b]].astype("<u8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -162,8 +167,7 @@ def later_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> DataFra
         group = _group(ids, groups)
         order = np.lexsort((ids, group))
         ids, hashes, group = ids[order], hashes[order], group[order]
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
+        for a, b in _runs(group):
             row = [pa.array([group[a]], pa.int32()), pa.array([_packed(ids[a:b])]), pa.array([hashes[a:b].astype("<u8").tobytes()])]
             yield pa.RecordBatch.from_arrays(row, names=["grp", "ids", "hashes"])
 

@@ -109,7 +109,7 @@ class Model:
     """Symbols of words and stems ("stem-"), and the weights of features(); the bias last."""
 
     learned: dict[str, str] = field(default_factory=dict)
-    weights: tuple[float, ...] = (4.0, 3.0, 5.0, 1.5, 0.5, 0.5, 0.5, 0.0, -3.0)
+    weights: tuple[float, ...] = (6.0, 5.0, 5.0, 2.0, 2.0, 0.5, 0.5, 0.0, -3.0)
 
     @cached_property
     def symbols(self) -> dict[str, str]:
