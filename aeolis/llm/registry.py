@@ -91,22 +91,26 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, 8).drop("text")
 
 
-#: The jump hash step by step, as the generator's and the jump's definitions read.
-OP8_SQL = """
-WITH RECURSIVE bits AS (
-  SELECT list(crc ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc
-    FROM range(256) r(i))
-), docs AS (
-  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h,
+def _crc_table() -> list[int]:
+    """CRC-32 of each half byte, by the reflected polynomial."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in table]
+    return table
+
+
+#: CRC-32 by half bytes, and the jump hash step by step, as the generator's and the jump's definitions read.
+OP8_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS raw,
          (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key
   FROM documents
-), bytes AS (
-  SELECT n, doc_id, key, octet_length(encode(text)) + 1 AS size,
-         list_prepend(4294967295, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)) AS b
+), halves AS (
+  SELECT n, doc_id, octet_length(raw) + 1 AS size,
+         list_prepend(4294967295, flatten(list_transform(regexp_extract_all(hex(raw), '..'), lambda x: [('0x' || x[2])::BIGINT, ('0x' || x[1])::BIGINT]))) AS b
   FROM docs
 ), summed AS (
-  SELECT n, doc_id, key, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, bits
+  SELECT n, doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 4, {_crc_table()}[(xor(c, x) & 15) + 1])), 4294967295) AS text_crc32 FROM halves
 ), jumps AS (
   SELECT n, key, -1::BIGINT AS place, 0::BIGINT AS "to", 0 AS step FROM docs
   UNION ALL
