@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS
+from ..functions.columns import EPS, safe_div
 
 KINDS = ("standard", "minmax", "robust")
 
@@ -54,9 +54,8 @@ def attach_params(df: DataFrame, params: DataFrame, cols: Sequence[str], by: str
 
 def scale(df: DataFrame, params: DataFrame, cols: Sequence[str], by: str = "station_id", eps: float = EPS) -> DataFrame:
     """(x - loc) / scale; a scale nearer to 0 than eps counts as eps."""
-    width = lambda c: F.when(F.abs(F.col(f"{c}__scale")) < eps, F.lit(eps)).otherwise(F.col(f"{c}__scale"))
-    out = attach_params(df, params, cols, by).withColumns({c: (F.col(c) - F.col(f"{c}__loc")) / width(c) for c in cols})
-    return out.select(*df.columns)
+    scaled = {c: safe_div(F.col(c) - F.col(f"{c}__loc"), F.col(f"{c}__scale"), eps) for c in cols}
+    return attach_params(df, params, cols, by).withColumns(scaled).select(*df.columns)
 
 
 def unscale(df: DataFrame, params: DataFrame, cols: Sequence[str], by: str = "station_id", eps: float = EPS) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.schema import CITY_ALIASES, DISTRICT_ALIASES, STATION_ALIASES
+from ..sources.tables import dimension
+
 TYPES = ("click", "view", "purchase", "signup", "error")
 ORDER = ("Datetime", "event_id")
 CUTS = ("2024-01-20", "2024-01-25")
@@ -59,10 +62,15 @@ def air(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stations, districts and cities, under headers as raw files have them."""
     c, n, r = (load(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    d = lambda key: F.concat(F.lit("d"), F.col(key).cast("string")).alias("district_id")
-    t = lambda key: F.concat(F.lit("c"), F.col(key).cast("string")).alias("city_id")
-    return c.select(F.col("c_custkey").cast("string").alias("station_id"), d("c_nationkey")), n.select(d("n_nationkey"), t("n_regionkey")), r.select(t("r_regionkey"))
+    d = lambda key: F.concat(F.lit(" d"), F.col(key).cast("string")).alias("District ID")
+    t = lambda key: F.concat(F.lit("c"), F.col(key).cast("string")).alias("city")
+    return (
+        dimension(c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".0")).alias("Station ID"), d("c_nationkey")), STATION_ALIASES, ["station_id", "district_id"]),
+        dimension(n.select(d("n_nationkey"), t("n_regionkey")), DISTRICT_ALIASES, ["district_id", "city_id"]),
+        dimension(r.select(t("r_regionkey")), CITY_ALIASES, ["city_id"]),
+    )
 
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

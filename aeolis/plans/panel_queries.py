@@ -106,9 +106,14 @@ def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count("y").alias("n_y"))
 
 
-@query("""SELECT 'events' AS key, 'read' AS status UNION ALL SELECT 'forecast', 'skipped'""")
+@query("""SELECT 'air' AS key, 'read' AS status, count(*) AS rows FROM events UNION ALL SELECT 'orders', 'read', count(*) FROM orders UNION ALL SELECT 'forecast', 'skipped', NULL""")
 def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.ingest(spark, {"events": f"{sf_dir}/events.parquet", "forecast": {"read": {}}})[1]
+    paths = {k: tables.scratch_dir(spark, k) for k in ("air", "orders")}
+    tables.sink(series(spark, sf_dir), paths["air"], "csv")
+    tables.sink(load(spark, sf_dir, "orders"), paths["orders"], "csv", {"sep": ";"})
+    found, status = tables.ingest(spark, {"air": paths["air"], "orders": {"path": paths["orders"], "read": {"sep": ";"}}, "forecast": {"read": {}}})
+    counts = [df.where(F.col(df.columns[0]).isNotNull()).agg(F.lit(k).alias("key"), F.count("*").alias("rows")) for k, df in found.items()]
+    return status.join(counts[0].unionByName(counts[1]), "key", "left")
 
 
 @query(SERIES + """SELECT station_id, strftime("Datetime", '%Y-%m-%d %H:%M:%S') AS "Datetime", event_id, y FROM s WHERE event_type <> 'signup'""")
