@@ -26,6 +26,8 @@ from .common import session
 
 #: Labelled documents that are learned from, at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
+#: Texts whose words are held at once in a task.
+SLICE = 64
 #: Letters of a word's start that make a stem.
 STEMS = (8, 7, 6, 5, 4, 3)
 #: A word or stem insults, or insults mildly, if so many of its documents, at least, are toxic ...
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text is not null").select("text", F.col("doc_id").cast("long").alias("_id")).join(F.broadcast(chosen), "_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             found = [features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), batch.column(0), pa.array([list(w) for _, w in found], pa.list_(pa.string()))], names=["family", "toxic", "features"])
 
