@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import session
+from .common import session, spread
 
 #: Entries in each of the two generations of a cache; longer strings are not kept.
 CACHE_ENTRIES, CACHE_LENGTH = 250_000, 48
@@ -233,7 +233,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", col
     linear time. A column named as the new one is replaced. Characters that the regex library's
     Unicode tables don't know yet are cut as unassigned ones.
     """
-    return _append(df, column, text, "encode", ranks_path, pattern, keep)
+    return _append(spread(df), column, text, "encode", ranks_path, pattern, keep)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", column: str = "decoded") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import spread
 
 #: Phrases and labels that always count (fixed values).
 BASE = (
@@ -167,9 +167,8 @@ def scan(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES) -> DataF
             n, found = [r[0] for r in rows], [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(match))], names=["doc_id", "n_words", "matches"])
 
-    session(docs.sparkSession)
     schema = "doc_id long, n_words long, matches array<struct<label: string, base: boolean, start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, session
+from .common import cut, spread
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Blocks of bits; RADIUS differing bits leave BLOCKS - RADIUS of them equal.
@@ -58,8 +58,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fps = [fingerprint(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    session(docs.sparkSession)
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("binary"))
+    return spread(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 # -- comparison -------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, shuffle_partitions
+from .common import session, shuffle_partitions, spread
 
 WINDOW = 13
 #: Windows hashed together in a task; a document is never split, so one more may join.
@@ -133,7 +133,7 @@ def _dealt(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             yield from deal(ids, parts)
 
     some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return some.mapInArrow(run, "bucket int, settled boolean, ids binary, hashes binary")
+    return spread(some).mapInArrow(run, "bucket int, settled boolean, ids binary, hashes binary")
 
 
 def _group(ids: np.ndarray, groups: int) -> np.ndarray:

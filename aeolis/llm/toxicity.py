@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, spread
 
 #: Labelled documents that are learned from, at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.where("text is not null").select("text", F.col("doc_id").cast("long").alias("_id")).join(F.broadcast(chosen), "_id")
+    rows = spread(docs.where("text is not null").select("text", F.col("doc_id").cast("long").alias("_id")))
+    texts = rows.join(F.broadcast(chosen), "_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -230,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scores(texts):  # noqa: ANN001, ANN202
         return texts.fillna("").map(known.value.score)
 
-    return docs.withColumn("score", scores("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return spread(docs).withColumn("score", scores("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: Column) -> Column:
