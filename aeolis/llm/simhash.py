@@ -179,6 +179,8 @@ def candidates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rule over parts of the bits outside the key; a key that is large even then becomes tiles,
     each two of which meet. Where a key's hash joins two keys, that costs comparisons, no links.
     """
+    if not 0 <= radius < BLOCKS:
+        raise ValueError(f"radius must be from 0 to {BLOCKS - 1}")
     masks = _masks(radius)
     dealt = fps.select("fp", F.posexplode(_longs([m for m, _ in masks])).alias("choice", "mask"))
     first = cut(dealt.select("fp", "choice", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")), "keys")
