@@ -278,6 +278,20 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", t
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with _row, a hash of all columns; nulls count, as xxhash64 leaves them out."""
+    return docs.withColumn("_row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group, given as (_row, group), the row of the smallest doc_id and then hash; rows without doc_id stay."""
+    rows = with_row(docs)
+    least = rows.where("doc_id is not null").select("_row", "doc_id").distinct().join(groups.distinct(), "_row").groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
+    named = rows.where("doc_id is not null").join(least.select(F.col("least._row").alias("_row")), "_row")
+    order = Window.partitionBy("_row").orderBy("doc_id")
+    return named.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component stays, that of the smallest doc_id, with its columns.
 
