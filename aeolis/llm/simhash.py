@@ -293,11 +293,9 @@ def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id, with its columns.
+    """One row of each component stays, that of the smallest doc_id, with its columns.
 
-    Rows without doc_id can't be told apart and stay. Of repeated rows of one doc_id one stays.
+    Rows without doc_id can't be told apart and stay.
     """
-    kept = simhash_groups(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").unionByName(docs.where("doc_id is null"))
+    groups = simhash_groups(with_row(docs), radius, key="_row")
+    return keep_least(docs, groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))
