@@ -157,8 +157,10 @@ def features(text: str) -> tuple[int, set[str]]:
 
 def _tail(k: int, n: int, p: float) -> float:
     """Logarithm of the probability of k or more of n, each with probability p."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, min(n, k + 200) + 1)]
-    return min(0.0, max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs)))
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    i = np.arange(k, n)
+    logs = first + np.r_[0.0, np.cumsum(np.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p))]
+    return min(0.0, float(logs.max() + np.log(np.exp(logs - logs.max()).sum())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
