@@ -9,6 +9,7 @@ stems insult, and what each kind weighs, is learned from labelled documents.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,6 +31,8 @@ SAMPLE = 20_000
 SLICE = 64
 #: Letters of a word's start that make a stem.
 STEMS = (8, 7, 6, 5, 4, 3)
+#: Least hashes of a text's word triples that near copies have in common.
+FAMILY = 3
 #: A word or stem insults, or insults mildly, if so many of its documents, at least, are toxic ...
 PURITY, MILD_PURITY = 0.9, 0.35
 #: ... and chance would make any of the words tried look like that with this probability.
@@ -146,13 +149,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def features(text: str) -> tuple[int, set[str]]:
-    """A key that near copies mostly share (the least hash of its word triples), and the text's words and stems ("word" and "stem-")."""
+def features(text: str) -> tuple[int, int, set[str]]:
+    """A key that near copies mostly share (the FAMILY least hashes of its word triples), a hash of the text, and its words and stems ("word" and "stem-")."""
     words = [t for t in TOKEN.findall(text.lower()) if t not in END]
     triples = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [tuple(words)]
-    family = min(xxhash.xxh64_intdigest(" ".join(t)) for t in triples)
+    least = heapq.nsmallest(FAMILY, {xxhash.xxh64_intdigest(" ".join(t)) for t in triples})
+    family = xxhash.xxh64_intdigest(" ".join(map(str, least)))
     own = set(words)
-    return family - (1 << 63), own | {f"{w[:n]}-" for w in own for n in STEMS if len(w) > n}
+    return family - (1 << 63), xxhash.xxh64_intdigest(text) - (1 << 63), own | {f"{w[:n]}-" for w in own for n in STEMS if len(w) > n}
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -167,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from docs (doc_id, text) that have a label 0 or 1 in labels (doc_id, toxic) and aren't held out.
 
     Of the labels `sample` at most are used, so their ids can be broadcast; of an id with both
-    labels, 1. Near copies count once, so that the words of a text copied often don't pass for
-    insults. What reaches the driver are the words that pass the test and the clause counts of
+    labels, 1. Near copies count once, as toxic if any is, so that the words of a text copied
+    often don't pass for insults. What reaches the driver are the words that pass the test and the clause counts of
     the sample. With no rows of either label the word lists and set weights hold.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -180,10 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             found = [features(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), batch.column(0), pa.array([list(w) for _, w in found], pa.list_(pa.string()))], names=["family", "toxic", "features"])
+            keys = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(0), pa.array([list(x[2]) for x in found], pa.list_(pa.string()))], names=["family", "text", "toxic", "features"])
 
-    base = texts.select(F.col("toxic").cast("int"), "text").mapInArrow(featured, "family long, toxic int, features array<string>")
-    once = base.dropDuplicates(["family"]).persist()
+    base = texts.select(F.col("toxic").cast("int"), "text").mapInArrow(featured, "family long, text long, toxic int, features array<string>")
+    once = base.groupBy("family").agg(F.max_by(F.struct("toxic", "features"), F.struct("toxic", "text")).alias("one")).select("one.*").persist()
     try:
         n, k = once.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not 0 < k < n:

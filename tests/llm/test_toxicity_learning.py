@@ -15,3 +15,28 @@ def test_whole_tail(k, n, p):
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
     want = min(0.0, max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs)))
     assert toxicity._tail(k, n, p) == pytest.approx(want, abs=1e-6)
+
+
+def test_family_needs_more_than_a_shared_passage():
+    """A passage that has the least triple of both texts doesn't make them near copies."""
+    passage = " ".join(f"p{word(i)}" for i in range(30))
+    texts = [f"{passage} {' '.join(word(k, i) for i in range(100))}" for k in range(40)]
+    assert len({toxicity.features(t)[0] for t in texts}) >= 35
+    assert toxicity.features(texts[0])[0] == toxicity.features(texts[0].upper())[0]
+
+
+def test_near_copies_learn_alike_in_any_order(spark):
+    """Of near copies with both labels the toxic one counts, however the rows are dealt."""
+    rows, labels = [], []
+    for i in range(600):
+        words = [word(i // 2, j) for j in range(30)]
+        rows.append((i, " ".join([*words, "zorgle" if i < 120 else "calm"]) + "." * (i % 2)))
+        labels.append((i, i % 2 if i < 120 else 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fits = [toxicity.fit(x, known) for x in (docs.coalesce(1), docs.orderBy(-docs.doc_id).coalesce(1))]
+    held = {r.doc_id for r in docs.where(toxicity.held_out(docs.doc_id)).select("doc_id").collect()}
+    # each pair is one family, toxic if its odd id is and isn't held out; "zorgle" stands in these and in pairs of which only the even id is learned from
+    pairs = {i // 2: 0 for i in range(600) if i not in held} | {i // 2: 1 for i, t in labels if t and i not in held}
+    assert sum(pairs.values()) > 30
+    assert fits[0].learned == fits[1].learned and fits[0].learned.get("zorgle") == "M"
