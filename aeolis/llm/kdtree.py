@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from .vectors import Best, Block, search, usable
 LEAF, SCALE = 128, 256
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
+#: Scores beyond a long count as the nearest long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 class KdTree:
@@ -44,56 +47,74 @@ class KdTree:
         """The most that any point of each box can reach, for each query."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def best(self, q: int, query: np.ndarray, own: int, reach: np.ndarray, best: Best) -> None:
-        """Visits boxes from the most promising on, until none can reach the k-th best score."""
+    def best(self, query: np.ndarray, own: int, reach: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best: visits boxes from the most promising on, until none can reach the k-th best score, `bound` at first."""
+        scores, ids = np.empty(0, np.int64), np.empty(0, np.int64)
         heap = [(-reach[0], 0)]
-        while heap:
-            most, node = heapq.heappop(heap)
-            if -most < best.bounds[q]:
-                return
+        while heap and -heap[0][0] >= bound:
+            node = heapq.heappop(heap)[1]
             if self.children[node]:
                 for child in self.children[node]:
-                    if reach[child] >= best.bounds[q]:
+                    if reach[child] >= bound:
                         heapq.heappush(heap, (-reach[child], child))
-            else:
-                a, b = self.spans[node]
-                ids, scores = self.ids[a:b], self.points[a:b] @ query
-                others = ids != own
-                best.add(q, scores[others].astype(np.int64), ids[others])
+                continue
+            a, b = self.spans[node]
+            reached = self.points[a:b] @ query
+            some = (reached >= bound) & (self.ids[a:b] != own)
+            if some.any():
+                scores, ids = np.concatenate([scores, reached[some].astype(np.int64)]), np.concatenate([ids, self.ids[a:b][some]])
+                if len(ids) >= k:
+                    top = np.lexsort((ids, -scores))[:k]
+                    scores, ids = scores[top], ids[top]
+                    bound = max(bound, int(scores[-1]))
+        return scores, ids
 
 
-def whole_numbers(matrix: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * matrix)
+def whole_number(x: float) -> int:
+    return math.floor(SCALE * x) if abs(x) < EXACT else SCALE * int(x)
 
 
-def _exact(points: np.ndarray, queries: np.ndarray) -> bool:
-    return not points.size or np.abs(points).max() * np.abs(queries).max() * points.shape[1] < EXACT
+def wide(matrix: np.ndarray) -> np.ndarray:
+    """Rows with components so large that products of two such may not be exact in doubles."""
+    return np.abs(matrix).max(1, initial=0.0) >= math.sqrt(EXACT / max(1, matrix.shape[1])) / SCALE - 1
 
 
 def first_bounds(probe: Block, queries: Block, k: int) -> np.ndarray:
-    """Each query's k-th best score among the probe, which no final k-th best is below."""
-    least = np.full(len(queries[0]), np.iinfo(np.int64).min, np.int64)
-    if len(probe[0]) > k and _exact(probe[1], queries[1]):
-        scores = queries[1] @ probe[1].T
-        scores[queries[0][:, None] == probe[0]] = -EXACT
-        kth = np.partition(scores, len(probe[0]) - k, axis=1)[:, len(probe[0]) - k]
-        least = np.where(kth > -EXACT, kth, least).astype(np.int64)
+    """Each query's k-th best score among the probe's narrow rows, which no final k-th best is below; none for wide queries."""
+    least = np.full(len(queries[0]), LEAST, np.int64)
+    narrow, rows = np.flatnonzero(~wide(queries[1])), ~wide(probe[1])
+    if rows.sum() > k and len(narrow):
+        scores = np.floor(SCALE * queries[1][narrow]) @ np.floor(SCALE * probe[1][rows]).T
+        scores[queries[0][narrow][:, None] == probe[0][rows]] = -EXACT
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        least[narrow] = np.where(kth > -EXACT, kth, LEAST)
     return least
 
 
-def visit(shard: Block, _: np.ndarray, queries: Block, best: Best) -> None:
+def visit(shard: Block, queries: Block, best: Best) -> None:
+    """Searches one shard: narrow queries its tree of narrow rows, and what is wide in Python's whole numbers."""
     ids, points = shard
-    if _exact(points, queries[1]):
-        tree = KdTree(ids, points)
-        reach = tree.bounds(queries[1])
-        for q, own in enumerate(queries[0].tolist()):
-            tree.best(q, queries[1][q], own, reach[q], best)
-        return
-    whole = [list(map(int, p)) for p in points]  # doubles would round: Python's integers
-    for q, own in enumerate(queries[0].tolist()):
-        query = list(map(int, queries[1][q]))
-        scores = np.array([sum(map(int.__mul__, query, p)) for p in whole], np.int64)
-        best.add(q, scores[ids != own], ids[ids != own])
+    wide_rows, wide_queries = wide(points), wide(queries[1])
+    narrow = np.flatnonzero(~wide_queries)
+    found = []
+    if len(narrow) and not wide_rows.all():
+        tree = KdTree(ids[~wide_rows], np.floor(SCALE * points[~wide_rows]))
+        asked = np.floor(SCALE * queries[1][narrow])
+        for q, query, reach in zip(narrow.tolist(), asked, tree.bounds(asked), strict=True):
+            scores, near = tree.best(query, int(queries[0][q]), reach, best.k, int(best.bounds[q]))
+            found.append((np.full(len(near), q), scores, near))
+        best.add(*map(np.concatenate, zip(*found, strict=True)))
+
+    whole = [[whole_number(x) for x in p] for p in points[wide_rows].tolist()]
+    if wide_queries.any():
+        others = [[whole_number(x) for x in p] for p in points[~wide_rows].tolist()]
+    for q in range(len(wide_queries)) if len(whole) else np.flatnonzero(wide_queries).tolist():
+        query = [whole_number(x) for x in queries[1][q].tolist()]
+        for kept, rows in ((wide_rows, whole), (~wide_rows, others if wide_queries[q] else [])):
+            scores = np.array([max(LEAST, min(MOST, sum(map(int.__mul__, query, p)))) for p in rows], np.int64)
+            these = ids[kept] if len(rows) else np.empty(0, np.int64)
+            apart = these != queries[0][q]
+            best.add(np.full(apart.sum(), q), scores[apart], these[apart])
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -103,8 +124,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     Rows with a null id, and vectors that are null, empty or hold null or non-finite
     components, take no part; vectors of different lengths don't meet. A repeated query id is
     one query, with its smallest vector; repeated candidates are candidates each. Fewer than k
-    candidates give fewer rows, no queries none. Scores beyond a long are an error.
+    candidates give fewer rows, no queries none. Scores are exact whatever the components; one
+    beyond a long counts as the nearest long. Other columns don't matter.
     """
     ok = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     of = lambda df: df.where(ok).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return search(of(vectors), of(queries), k, "long", whole_numbers, first_bounds, visit)
+    return search(of(vectors), of(queries), k, "long", lambda matrix: matrix, first_bounds, visit, sure=True)

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import session, shared_dir
+from .common import cut, session, shared_dir
 
-#: Queries broadcast at a time: with vectors of 1,000 doubles, 32 MB. Further blocks take further passes.
-QUERY_BLOCK = 4096
+#: Bytes of queries broadcast at a time, as doubles. Further blocks take further passes.
+QUERY_BYTES = 32 << 20
 #: Rows that set the first bounds of a block's queries; any rows do, they only save work.
 PROBE = 2048
 #: Vectors a shard holds.
@@ -57,27 +57,33 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
 
 
 class Best:
-    """For each query its k best (score, id) so far: higher scores, then smaller ids."""
+    """For each query its k best (score, id) so far: higher scores, then smaller ids.
 
-    def __init__(self, queries: int, k: int, bounds: np.ndarray):
-        self.k, self.bounds = k, bounds.copy()
-        self.scores = [np.empty(0, bounds.dtype)] * queries
-        self.ids = [np.empty(0, np.int64)] * queries
+    first: scores that the k-th best of all rows reaches. bounds: scores below a query's bound
+    can't be among its k best; at first `first` if a search is sure to find all that reach it.
+    """
+
+    def __init__(self, k: int, first: np.ndarray, sure: bool = True):
+        self.k, self.first = k, first
+        self.bounds = first.copy() if sure else np.full(len(first), -np.inf)
+        self.at, self.scores, self.ids = np.empty(0, np.int64), np.empty(0, first.dtype), np.empty(0, np.int64)
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        some = scores >= self.bounds[q]
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in scores[i] of row ids[i] for the query at[i]; a row comes once."""
+        some = scores >= self.bounds[at]
         if not some.any():
             return
-        scores, ids = np.concatenate([self.scores[q], scores[some]]), np.concatenate([self.ids[q], ids[some]])
-        if len(ids) > self.k:
-            top = np.lexsort((ids, -scores))[: self.k]
-            scores, ids = scores[top], ids[top]
-            self.bounds[q] = scores[-1]
-        self.scores[q], self.ids[q] = scores, ids
+        at, scores, ids = (np.concatenate([x, y[some]]) for x, y in ((self.at, at), (self.scores, scores), (self.ids, ids)))
+        order = np.lexsort((ids, -scores, at))
+        at, scores, ids = at[order], scores[order], ids[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == self.k - 1
+        self.bounds[at[last]] = np.maximum(self.bounds[at[last]], scores[last])
+        top = place < self.k
+        self.at, self.scores, self.ids = at[top], scores[top], ids[top]
 
     def rows(self, of: np.ndarray) -> pa.RecordBatch:
-        n = [len(i) for i in self.ids]
-        columns = [np.repeat(of, n), np.concatenate([np.empty(0, np.int64), *self.ids]), np.concatenate([np.empty(0, self.bounds.dtype), *self.scores])]
+        columns = [of[self.at], self.ids, self.scores]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
@@ -88,19 +94,22 @@ def search(
     score_type: str,
     prepare: Callable[[np.ndarray], np.ndarray],
     bounds: Callable[[Block, Block, int], np.ndarray],
-    visit: Callable[[Block, np.ndarray, Block, Best], Any],
+    visit: Callable[[Block, Block, Best], Any],
+    sure: bool,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of vectors for each query, by id but its own.
 
     Both tables are (vec_id, embedding) with usable vectors. prepare makes of a matrix of
     vectors the one to search; bounds gives scores that the k-th best surely reaches, from a
-    few rows; visit(shard's ids and matrix, its original matrix, queries, best) searches one
-    shard. Each pass broadcasts one block of queries and reads all vectors once; only the k
-    best of each query and task are shuffled.
+    few rows; visit(shard's ids and matrix, queries, best) searches one shard, and is sure to find
+    what reaches the bounds or not. The queries are written once. Each pass broadcasts one block of them, QUERY_BYTES at most, reads all
+    vectors once and builds each shard's index once; only the k best of each query and task
+    are shuffled.
     """
     spark = session(vectors.sparkSession)
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    queries = cut(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()[0]
+    blocks = -(-8 * numbers // QUERY_BYTES)
     probe = by_length(*_collected(vectors.limit(PROBE)))
     path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     schema = f"query_id long, vec_id long, score {score_type}"
@@ -119,8 +128,8 @@ def search(
             for n, (ids, matrix) in shards(batches):
                 if n in shipped.value:
                     asked_ids, made, least = shipped.value[n]
-                    found = best.setdefault(n, Best(len(asked_ids), k, least))
-                    visit((ids, prepare(matrix)), matrix, (asked_ids, made), found)
+                    found = best.setdefault(n, Best(k, least, sure))
+                    visit((ids, prepare(matrix)), (asked_ids, made), found)
             for n, found in best.items():
                 yield found.rows(shipped.value[n][0])
 

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from aeolis.llm import kdtree, rpforest, vectors
+from aeolis.llm import kdtree, registry, rpforest, vectors
+from aeolis.llm.common import table
 
 
 def frame(spark, ids, matrix):
@@ -19,6 +20,30 @@ def brute(ids, matrix, queries, k, measure):
     return out
 
 
+def recall(ids, matrix, asked, got):
+    """Part of the true five nearest that was found."""
+    scores = rpforest.unit(matrix[asked]) @ rpforest.unit(matrix).T
+    scores[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-scores, axis=1)[:, :5]
+    return np.mean([len({v for _, v, _ in got[ids[q]]} & set(ids[row].tolist())) / 5 for q, row in zip(asked, want, strict=True)])
+
+
+def test_registered_nearest(spark):
+    """op9_nearest on a whole table, against brute force."""
+    data = "/root/testdata/sf0.1"
+    rows = table(spark, data, "embeddings").orderBy("vec_id").toPandas()
+    ids, matrix = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), dtype=float)
+    df = registry.op9_nearest(spark, data)
+    assert df.columns == ["query_id", "rank", "vec_id", "score"] and [t for _, t in df.dtypes] == ["bigint", "int", "bigint", "double"]
+    got, asked = found(df), np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist()) and recall(ids, matrix, asked, got) >= 0.9
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    for q, near in got.items():
+        assert [r for r, _, _ in near] == [1, 2, 3, 4, 5]
+        pairs = [(matrix[place[q]], matrix[place[v]], s) for _, v, s in near]
+        assert all(abs(a @ b / np.linalg.norm(a) / np.linalg.norm(b) - s) < 1e-12 for a, b, s in pairs)
+
+
 def found(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():
@@ -28,7 +53,7 @@ def found(df):
 
 @pytest.mark.parametrize("block", [4096, 7])
 def test_exact_top_k(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", block * 8 * 6)
     monkeypatch.setattr(vectors, "SHARD", 200)
     rng = np.random.default_rng(1)
     matrix = np.vstack([rng.normal(0, 0.3, (700, 6)), np.tile(rng.normal(0, 0.3, (1, 6)), (90, 1))])
@@ -45,6 +70,48 @@ def test_large_values_stay_exact(spark):
     assert [v for _, v, _ in got[0]] == [2, 1]
 
 
+def test_wide_components(spark):
+    """Products beyond doubles and longs: exact order, the nearest long as score."""
+    rows = [(0, [1e306, 1.0]), (1, [1e306, -1.0]), (2, [1.5, 1.0]), (3, [-1e306, 0.0]), (4, [2.0, 1.0]), (5, [2.0**40, 3.0]), (50, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(kdtree.exact_top_k(df, df.where("vec_id % 50 = 0"), 5))
+    most, whole = (1 << 63) - 1, lambda v: [kdtree.whole_number(x) for x in v]
+    for q in (0, 50):
+        query = whole(dict(rows)[q])
+        scores = [(min(most, max(-most - 1, sum(map(int.__mul__, query, whole(v))))), -i) for i, v in rows if i != q]
+        want = sorted(scores, reverse=True)[:5]
+        assert got[q] == [(r + 1, -i, float(s)) for r, (s, i) in enumerate(want)]
+
+
+def test_cosines_at_any_scale(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2e200, 4e200]), (2, [2e-170, 4e-170]), (3, [5e-324, 0.0]), (4, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {v: s for _, v, s in found(rpforest.nearest(df, df.where("vec_id = 0"), 5))[0]}
+    assert got == {1: pytest.approx(1), 2: pytest.approx(1), 3: pytest.approx(5**-0.5), 4: pytest.approx(10**-0.5)}
+
+
+def test_few_leaves_where_neighbours_are_near(monkeypatch):
+    """On clustered vectors a small part of a shard is compared, at the recall asked for."""
+    rng = np.random.default_rng(3)
+    matrix = np.repeat(rng.normal(size=(400, 48)), 30, axis=0) + rng.normal(0, 0.25, (12_000, 48))
+    ids, asked = np.arange(len(matrix)), np.arange(0, len(matrix), 60)
+    compared, plain = [], rpforest.Forest.open
+
+    def counted(forest, *args):
+        leaves = plain(forest, *args)
+        compared.append(len(np.unique(np.concatenate([forest.leaves[i] for i in leaves]))) / len(forest.points))
+        return leaves
+
+    monkeypatch.setattr(rpforest.Forest, "open", counted)
+    best = vectors.Best(5, rpforest.first_bounds((ids[::6], matrix[::6]), (ids[asked], matrix[asked]), 5), sure=False)
+    rpforest.visit((ids, matrix), (ids[asked], matrix[asked]), best)
+    scores = rpforest.unit(matrix[asked]) @ rpforest.unit(matrix).T
+    scores[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-scores, axis=1)[:, :5]
+    hits = sum(len(set(best.ids[best.at == q].tolist()) & set(row.tolist())) for q, row in enumerate(want))
+    assert hits / want.size >= 0.9 and np.mean(compared) < 0.3
+
+
 def test_nearest_recall_and_scores(spark):
     rng = np.random.default_rng(2)
     matrix, ids = rng.normal(size=(3000, 32)), np.arange(3000)
