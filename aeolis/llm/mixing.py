@@ -8,6 +8,7 @@ inverse of the integral at u. Documents are dealt by range of position.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,8 @@ MOST = 3
 #: it runs from (1 - lean) to (1 + lean) times its mean.
 WEIGHTS = (1, 2, 3)
 LEANS = (0.5, 0.0, -0.5)
+#: Ranges of position that are put in order apart.
+RANGES = 4096
 
 
 def _exact(x: str) -> Column:
@@ -125,13 +128,51 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, leans: tuple[float
     return rows.select("doc_id", "source", "size", "rows", "source_size", "target", taken, "positions")
 
 
+def placed(planned: DataFrame) -> DataFrame:
+    """A plan with first_position, the first copy's position, and place, its number in the training stream from 0.
+
+    The stream is the range sort of all copies of all rows by position, then doc_id, source and
+    size; a copy of several rows comes once for each. Ranges of position are of equal width, so
+    their bounds are known, and are numbered each on its own behind the counts of those before.
+    Rows that are not taken have neither. No rows in, none out.
+    """
+    copies = planned.select("*", F.posexplode("positions").alias("_k", "_at"))
+    copies = copies.withColumn("_range", F.least(F.floor(F.col("_at") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    copies = cut(copies.select("doc_id", "source", "size", "rows", "source_size", "target", "taken", "positions", "_k", "_at", "_range"), "copies")
+    counts = copies.groupBy("_range").agg(F.sum("rows").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_range", before.alias("_before"))
+    order = Window.partitionBy("_range").orderBy("_at", F.asc_nulls_first("doc_id"), F.asc_nulls_last("source"), "size", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = copies.withColumn("_ahead", F.coalesce(F.sum("rows").over(order), F.lit(0))).join(F.broadcast(counts), "_range")
+    first = numbered.where("_k = 0").withColumns({"first_position": F.col("_at"), "place": F.col("_before") + F.col("_ahead")})
+    none = planned.where(F.size("positions") == 0).withColumns({"first_position": F.lit(None).cast("double"), "place": F.lit(None).cast("long")})
+    return first.select(*none.columns).unionByName(none)
+
+
 def materialize(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, leans: tuple[float, ...] = LEANS) -> DataFrame:
     """(doc, position): the training stream, each copy of each document as a row, range-sorted by position.
 
-    doc is a struct of the document's columns.
+    doc is a struct of the document's columns, so none of their names clash. Ties of position
+    are in order of doc_id and a hash of the row. Repeated rows are rows of their own; null and
+    empty texts, and documents of a source without words, aren't in the stream; null ids and
+    sources are as in plan(). Texts of any length are copied whole. No rows in, none out.
     """
     planned = plan(docs, weights, leans).where(F.size("positions") > 0)
     planned = planned.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("positions").alias("_p"))
     sized = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("_size"))
     found = sized.join(planned, F.expr("doc_id <=> _d and source <=> _s and _size = _z")).select("doc", F.explode("_p").alias("position"))
-    return found.repartitionByRange("position").sortWithinPartitions("position", "doc.doc_id")
+    return found.repartitionByRange("position").sortWithinPartitions("position", "doc.doc_id", F.xxhash64("doc"))
+
+
+def stream_order(stream: DataFrame) -> DataFrame:
+    """A materialized stream, written as files and read again, with stream_part and stream_row: ordered by both it is in order of position.
+
+    The range sort numbers the files, and rows stand in order in each; reading in any order
+    doesn't change that. Both are null if the stream isn't read from Parquet files.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        stream.select(name, row)
+    except AnalysisException:
+        name, row = F.lit(None).cast("string"), F.lit(None).cast("long")
+    return stream.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("stream_part"), row.alias("stream_row"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, kdtree, licenses, mixing, rpforest, sharding, simhash, substring_dedup, toxicity
-from .common import table
+from .common import cut, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -129,8 +129,8 @@ FROM summed JOIN places USING (n)
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    each = planned.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select("doc_id", "size", "source_size", "target", "taken")
+    each = mixing.placed(cut(planned, "plan")).withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return each.select("doc_id", "size", "source_size", "target", "taken", "first_position", (F.col("place") + F.col("_row")).alias("place"))
 
 
 OP10_SQL = r"""
@@ -149,11 +149,11 @@ sizes AS (
   FROM sizes WINDOW o AS (ORDER BY s / w, source NULLS LAST)
 ), stop AS (SELECT min(place) AS first FROM steps WHERE rest * w <= 3 * s * ws),
 goals AS (
-  SELECT source, s, n AS docs, CASE WHEN first IS NULL OR place < first THEN CAST(3 * s AS DOUBLE)
+  SELECT source, s, n AS docs, CAST(0.5 * (2 - w) AS DOUBLE) AS lean, CASE WHEN first IS NULL OR place < first THEN CAST(3 * s AS DOUBLE)
          ELSE CAST((SELECT rest FROM steps, stop WHERE place = first) * w AS DOUBLE) / CAST((SELECT ws FROM steps, stop WHERE place = first) AS DOUBLE) END AS target
   FROM steps, stop
 ), placed AS (
-  SELECT g.*, s, target, CAST(round(target) AS HUGEINT) AS quota, g.size * docs <= s AS small
+  SELECT g.*, s, lean, target, CAST(round(target) AS HUGEINT) AS quota, g.size * docs <= s AS small
   FROM grouped g JOIN goals ON g.source IS NOT DISTINCT FROM goals.source
 ), run AS (
   SELECT *, quota // greatest(s, 1) AS passes, quota - quota // greatest(s, 1) * s AS extra, sum(words) OVER (PARTITION BY source, small) AS class,
@@ -162,10 +162,23 @@ goals AS (
   FROM placed
 ), large AS (
   SELECT *, NOT small AND size > 0 AND 2 * before + words <= 2 * CAST(round(CAST(extra * class AS DOUBLE) / CAST(greatest(s, 1) AS DOUBLE)) AS HUGEINT) AS big FROM run
-), used AS (SELECT *, coalesce(sum(words) FILTER (big) OVER (PARTITION BY source), 0) AS used FROM large)
-SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (passes + CASE WHEN small THEN 2 * before + words <= 2 * (extra - used) ELSE big END::INT) END AS BIGINT) AS taken
-FROM used, LATERAL (SELECT unnest(range(used.n)) AS k)
+), used AS (SELECT *, coalesce(sum(words) FILTER (big) OVER (PARTITION BY source), 0) AS used FROM large),
+taken AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE passes + CASE WHEN small THEN 2 * before + words <= 2 * (extra - used) ELSE big END::INT END AS copies,
+         before + CASE WHEN small THEN s - class ELSE 0 END AS ahead, before + CASE WHEN small THEN used ELSE 0 END AS again FROM used
+), starts AS (
+  SELECT *, least(CAST(CASE WHEN k < passes THEN k * s + ahead ELSE passes * s + again END AS DOUBLE) / target, 1.0::DOUBLE) AS part
+  FROM taken, LATERAL (SELECT unnest(range(CAST(copies AS BIGINT))) AS k)
+), stream AS (
+  SELECT *, 2::DOUBLE * part / ((1::DOUBLE - lean) + sqrt((1::DOUBLE - lean) * (1::DOUBLE - lean) + 4::DOUBLE * lean * part)) AS position FROM starts
+), ranked AS (
+  SELECT doc_id, source, size, k, position,
+         coalesce(sum(n) OVER (ORDER BY position, doc_id NULLS FIRST, source NULLS LAST, size, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM stream
+)
+SELECT t.doc_id, t.size, CAST(s AS BIGINT) AS source_size, target, CAST(t.size * copies AS BIGINT) AS taken, position AS first_position, CAST(place + i AS BIGINT) AS place
+FROM taken t LEFT JOIN ranked r ON r.k = 0 AND r.doc_id IS NOT DISTINCT FROM t.doc_id AND r.source IS NOT DISTINCT FROM t.source AND r.size = t.size,
+     LATERAL (SELECT unnest(range(t.n)) AS i)
 """
 
 #: Rows of `embeddings` that are queries.
