@@ -9,7 +9,7 @@ of each key's links is sent on; components come from large-star / small-star rou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +29,8 @@ HOT = 4096
 #: Fingerprints compared at once; a key is never torn apart, so one key more may join.
 BATCH = 1 << 17
 
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 # -- fingerprints -----------------------------------------------------------------------------
 def fingerprint(text: bytes | None) -> int:
@@ -43,6 +45,11 @@ def fingerprint(text: bytes | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[: len(words) - SHINGLE] + 1).tolist()]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed long."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
@@ -95,10 +102,11 @@ def within(x_of, alive: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.nda
     return at, alive
 
 
-def forest(keys_end: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def forest(keys_end: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check: Check | None = None) -> np.ndarray:
     """For each row the first row of its component, linking rows of one key within the radius.
 
-    Rows are sorted by key; keys_end[i] is where the key of row i ends.
+    Rows are sorted by key; keys_end[i] is where the key of row i ends. check(a, b) says which
+    of the pairs within the radius are links; pairs that links already join aren't asked about.
     """
     n = len(fps)
     label = np.arange(n)
@@ -131,6 +139,9 @@ def forest(keys_end: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.nd
         if len(at):
             w, lane = np.nonzero(np.unpackbits(hits[:, None].view(np.uint8), axis=1, bitorder="little"))
             a = at[w] * 64 + lane
+            if check:
+                a = a[label[a] != label[a + shift]]
+                a = a[check(a, a + shift)]
             label = join_labels(label, a, a + shift)
 
 
