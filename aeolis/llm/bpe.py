@@ -8,6 +8,7 @@ fits its left neighbour, falls back to shorter ones, and never tries a dead posi
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,6 +27,8 @@ from .common import session, spread
 CACHE_ENTRIES, CACHE_LENGTH = 250_000, 48
 #: Remembered neighbour decisions; forgotten all at once beyond this.
 PAIR_ENTRIES = 1_000_000
+#: Bytes of a rank file that are sent to the executors at most.
+MOST_BYTES = 64 << 20
 
 #: This pattern (fixed value) is also known in a form for the faster `re`, for texts of these characters only.
 PLAIN_FOR = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -110,8 +113,8 @@ class BpeCodec:
         if whole is not None:
             return [whole]
         greedy = [token for _, token in self.trie.iter_long(piece.decode("latin-1"))]
-        if all(map(self.fits, greedy, greedy[1:])):
-            return greedy
+        if sum(len(self.tokens[t]) for t in greedy) == len(piece) and all(map(self.fits, greedy, greedy[1:])):
+            return greedy  # no byte was skipped
         return self.backtrack(piece)
 
     def fits(self, left: int, right: int) -> bool:
@@ -194,28 +197,31 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
 _codecs: dict[tuple[str, str], BpeCodec] = {}
 
 
-def codec(ranks_file: str, pattern: str) -> BpeCodec:
-    """One codec a worker process; the file comes with the job (SparkContext.addFile)."""
-    if (ranks_file, pattern) not in _codecs:
-        with open(SparkFiles.get(ranks_file), "rb") as f:
-            _codecs[ranks_file, pattern] = BpeCodec(read_ranks(f.readlines()), pattern)
-    return _codecs[ranks_file, pattern]
+def codec(ranks: Broadcast[bytes], digest: str, pattern: str) -> BpeCodec:
+    """One codec a worker process for each rank file, known by its digest."""
+    if (digest, pattern) not in _codecs:
+        _codecs[digest, pattern] = BpeCodec(read_ranks(ranks.value.splitlines()), pattern)
+    return _codecs[digest, pattern]
 
 
-def _ship(df: DataFrame, ranks_path: str) -> str:
-    session(df.sparkSession).sparkContext.addFile(ranks_path)
-    return ranks_path.rsplit("/", 1)[-1]
+def _ship(df: DataFrame, ranks_path: str) -> tuple[Broadcast[bytes], str]:
+    """The rank file for the workers; its size is that of a vocabulary, MOST_BYTES at most."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read(MOST_BYTES + 1)
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"{ranks_path} is larger than a rank file can be")
+    return session(df.sparkSession).sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
 
 def _append(df: DataFrame, column: str, of: str, make: str, ranks_path: str, pattern: str, keep: bool) -> DataFrame:
     """df with one more binary column, made from column `of` by a method of the codec; of stays if keep."""
-    name = _ship(df, ranks_path)
+    shipped, digest = _ship(df, ranks_path)
     kept = [i for i, c in enumerate(df.columns) if c != column and (keep or c != of)]
     schema = T.StructType([*(df.schema[i] for i in kept), T.StructField(column, T.BinaryType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        method = getattr(codec(name, pattern), make)
+        method = getattr(codec(shipped, digest, pattern), make)
         empty = "" if make == "encode" else b""
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -237,5 +243,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", col
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", column: str = "decoded") -> DataFrame:
-    """Adds the bytes that ids stand for; null ids decode to no bytes, unknown ids are an error."""
+    """Adds the bytes that ids stand for; null and empty ids decode to no bytes, unknown ids are an error.
+
+    Every row stays, repeated rows too, and other columns are untouched, but one named as the
+    new one is replaced. Work is by row and linear in its length. No rows in, none out.
+    """
     return _append(df, column, ids, "decode", ranks_path, pattern, True)

@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import random
 import struct
 
@@ -7,11 +9,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from aeolis.llm import bpe
+from aeolis.llm import bpe, registry
+from aeolis.llm.common import table
 from aeolis.llm.registry import PATTERN, RANKS
 
 from .frames import LONG, awkward, empty
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def ranks():
@@ -66,6 +71,38 @@ def test_long_runs_are_linear(codec, known):
     assert ids(codec.encode("a" * 3000)) == known.encode_ordinary("a" * 3000)
 
 
+def test_bytes_in_no_token():
+    """A byte that no token holds is an error, not left out."""
+    few = bpe.BpeCodec({b"a": 0, b"b": 1, b"ab": 2}, r"\S+")
+    assert ids(few.encode("abba")) == [2, 1, 0]
+    for text in ("acza", "c", "abc", "ca"):
+        with pytest.raises(ValueError):
+            few.encode(text)
+
+
+def test_rank_files_of_one_name(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    made = []
+    for k, tokens in enumerate(([b"a", b"b"], [b"a", b"b", b"ab"])):
+        path = tmp_path / str(k) / "own.tiktoken"
+        path.parent.mkdir()
+        path.write_bytes(b"".join(base64.b64encode(t) + f" {i}\n".encode() for i, t in enumerate(tokens)))
+        made.append(ids(bytes(bpe.encode(docs, str(path), r"\S+").first().token_ids)))
+    assert made == [[0, 1], [2]]
+
+
+def test_registered_query(spark, known):
+    docs = {r.doc_id: r.text or "" for r in table(spark, DATA, "documents").collect()}
+    got = registry.op1_byte_bpe(spark, DATA)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    found = {r.doc_id: tuple(r)[1:] for r in got.collect()}
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    for i, text in docs.items():
+        want = known.encode_ordinary(text)
+        assert found.pop(i) == (len(want), sha(struct.pack(f"<{len(want)}I", *want)), sha(text.encode()))
+    assert not found
+
+
 def test_awkward_rows(spark, known):
     out = bpe.decode(bpe.encode(awkward(spark), RANKS, PATTERN), RANKS, PATTERN)
     found = out.select("text", "token_ids", F.col("decoded")).collect()
