@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OPEN, ASK, LEARN, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
+#: Characters of a streamed delta.
+PIECE = 64
 #: Characters and what stands for them, the backslash first (fixed order).
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
 
@@ -48,18 +50,37 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """The log of a table with one row a finished turn; rows of one turn are numbered as turns of their own."""
+    """The log of a table with one row a finished turn, as if it had been streamed.
+
+    First each turn gets a draft; then all are written anew in order, an assistant's turn by
+    `regenerate`, others by `edit`, and go on in deltas of PIECE characters. Rows of one turn are
+    numbered as turns of their own, in order of role and text. Null and empty texts have one
+    empty piece, long ones many; null conversations are one. Other columns don't matter.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    numbered = turns.withColumn("_turn", F.row_number().over(order).cast("long"))
-    return numbered.select("conv_id", F.col("_turn").alias("seq"), F.col("_turn").alias("turn"), F.lit("delta").alias("kind"), "role", "text")
+    numbered = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("turn"))
+    start = F.when(F.col("role") == "assistant", F.lit("regenerate")).otherwise(F.lit("edit"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    pieces = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(pieces)
+
+    def event(phase: int, n: Column, kind: Column, text: Column) -> Column:
+        seq = F.lit(phase << 56).bitwiseOR(F.shiftleft("turn", 28)).bitwiseOR(n.cast("long"))
+        return F.struct(seq.alias("seq"), kind.alias("kind"), text.alias("text"))
+
+    draft = event(0, F.lit(0), F.lit("delta"), F.concat(F.substring("text", 1, PIECE), F.lit(" (draft)")))
+    final = F.transform(pieces, lambda x, i: event(1, i, F.when(i == 0, start).otherwise(F.lit("delta")), x))
+    events = numbered.select("conv_id", "turn", "role", F.explode(F.concat(F.array(draft), final)).alias("e"))
+    return events.select("conv_id", "e.seq", "turn", "e.kind", "role", "e.text")
 
 
 def render(messages: DataFrame, learn_from: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss): one row a conversation, its turns in order.
 
     loss lists the spans (start from 0, length, in characters) to learn from: the escaped
-    texts of the role learn_from. Messages of one turn are ordered by role and text. The
-    output is one string a conversation, so a conversation must fit in a row.
+    texts of the role learn_from. Messages of one turn are ordered by role and text; repeated
+    ones each count. Null roles and texts are empty, an empty text has an empty span; null
+    conversations are one. No messages in, none out. Other columns don't matter. The output is
+    one string a conversation, so a conversation, however long, must fit in a row.
     """
     mark = F.when(F.col("role") == learn_from, F.lit(LEARN)).otherwise(F.lit(ASK))
     rows = messages.withColumns({"_head": F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), mark), "_text": escape(F.coalesce("text", F.lit("")))})
@@ -73,7 +94,7 @@ def render(messages: DataFrame, learn_from: str = "assistant") -> DataFrame:
 
 
 def turns_of(formatted: Column) -> Column:
-    """What was rendered: an array of (role, text)."""
+    """What was rendered: an array of (role, text); empty roles and texts come back empty, null gives null."""
     pieces = F.split(formatted, CLOSE)
 
     def turn(piece: Column) -> Column:
