@@ -22,7 +22,7 @@ BASE = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Templates of license notices, with the method's own labels.
+#: Templates of license notices and of whole licenses, with the method's own labels (fixed wordings).
 NOTICES = (
     ("{released|licensed|distributed|available} under the [terms of the] mit license", "mit-notice"),
     ("licensed under the apache license version 2 [0] [the license]", "apache-2-notice"),
@@ -32,6 +32,62 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this <12> to deal in the software without restriction", "mit-text"),
     ("redistribution and use in source and binary forms with or without modification are permitted <6> following conditions are met", "bsd-text"),
 )
+_AS_IS = "including but not limited to the {warranties|implied warranties} of merchantability"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[{1|a}] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[{2|b}] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_END = (
+    f"this software is provided by <12> as is and any express or implied warranties {_AS_IS} and fitness for a particular purpose are disclaimed "
+    "in no event shall <12> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+    "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+LICENSES = (
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software "
+        f"the software is provided as is without warranty of any kind express or implied {_AS_IS} fitness for a particular purpose and noninfringement "
+        "in no event shall <12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit-license",
+    ),
+    (_BSD + _BSD_END, "bsd-2-clause"),
+    (
+        _BSD + "[{3|c}] neither the name of <12> nor the names of {its|their} contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission " + _BSD_END,
+        "bsd-3-clause",
+    ),
+    (
+        "permission to use copy modify [and] [or] distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <12> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <12> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc-license",
+    ),
+    (
+        "licensed under the apache license version 2 0 [the license] you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at {http|https} www apache org licenses license 2 0 [{txt|html}] "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache-2-header",
+    ),
+    (
+        "{this program|<6>} is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation either version {2|3} of the license or [at your option] any later version "
+        "{this program|<6>} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details "
+        "[you should have received a copy of the gnu general public license along with <6> [if not see {http|https} www gnu org licenses]]",
+        "gpl-notice",
+    ),
+)
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes from 128 on, makes spaces of the others.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -142,13 +198,13 @@ class Template(NamedTuple):
     automaton: Automaton
 
 
-def scan(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES + LICENSES) -> DataFrame:
     """(doc_id, n_words, matches) of every document; matches: structs (label, base, start, end).
 
     Words are runs of A-Z (lower-cased), 0-9 and characters beyond ASCII, numbered from 0.
     A match is listed for every word at which a template's mandatory wording starts, with the
-    longest end. A null or empty text has no words and no matches. Rows are looked at one by
-    one, so repeated rows and null ids come out as they went in, and other columns don't matter.
+    longest end. A null or empty text has no words and no matches; long ones are scanned whole,
+    word by word. Rows are looked at one by one, so repeated rows and null ids come out as they went in, and other columns don't matter.
     """
     templates = [Template(label, kind, Automaton(t)) for kind, group in ((True, base), (False, notices)) for t, label in group]
     match = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,6 +213,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def _as_regex(template: str) -> str:
+    """Template markup as a regular expression over words that stand between two spaces each."""
+    pieces = {"[": "(", "]": ")?", "{": "(", "}": ")", "|": "|"}
+    parts = re.findall(r"[\[\]{}|]|<\d+>|[^\s\[\]{}|<>]+", template)
+    return "".join(pieces.get(x) or (f"( [^ ]+ ){{0,{x[1:-1]}}}" if x[0] == "<" else f" {x} ") for x in parts)
+
+
+_NOTICES = ",\n  ".join(f"('{_as_regex(t)}', '{label}')" for t, label in licenses.NOTICES + licenses.LICENSES)
+
 #: Words stand between two spaces each, so that neighbours don't share one.
 OP4_SQL = r"""
 WITH docs AS (
@@ -226,13 +237,7 @@ places AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id
 ), notices(pattern, label) AS (VALUES
-  (' (released|licensed|distributed|available)  under  the  (terms  of  the  )?mit  license ', 'mit-notice'),
-  (' licensed  under  the  apache  license  version  2 ', 'apache-2-notice'),
-  (' (released|licensed|distributed|available)  under  (the  )?(creative  commons  )?cc  by  nc ', 'cc-by-nc-notice'),
-  (' licensed  under  the  (terms  of  the  )?gnu  general  public  license  (as  published  by  the  free  software  foundation  )?(either  )?version  3 ', 'gpl-3'),
-  (' all  rights  reserved ', 'all-rights-reserved'),
-  (' permission  is  hereby  granted  free  of  charge  to  any  person  obtaining  a  copy  of  this  ([^ ]+  ){0,12}to  deal  in  the  software  without  restriction ', 'mit-text'),
-  (' redistribution  and  use  in  source  and  binary  forms  with  or  without  modification  are  permitted  ([^ ]+  ){0,6}following  conditions  are  met ', 'bsd-text')
+  NOTICES
 ), own AS (SELECT doc_id, label FROM lines, notices WHERE regexp_matches(t, pattern)),
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
@@ -242,7 +247,7 @@ SELECT l.doc_id, n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGI
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CASE WHEN l.doc_id IN (SELECT doc_id FROM own) THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM lines l LEFT JOIN base b ON b.doc_id = l.doc_id LEFT JOIN labels x ON x.doc_id = l.doc_id
-"""
+""".replace("NOTICES", _NOTICES)
 
 
 QUERIES = {

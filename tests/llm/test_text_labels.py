@@ -1,9 +1,11 @@
 import random
+import re
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
-from aeolis.llm import licenses, toxicity
+from aeolis.llm import licenses, registry, toxicity
 
 from .frames import awkward, empty
 
@@ -32,6 +34,46 @@ def test_scan_counts_every_place(spark):
     assert (got[3].n_base, got[3].first_word, got[3].score, got[3].n_words) == (1, 1, 0.5, 5)
 
 
+NAMES = {"bsd-2-clause": "The Example Authors", "bsd-3-clause": "Jane Q. Public and Contributors", "isc-license": "the author", "mit-license": "Example Corp. or copyright holders"}
+
+
+def wording(template, label):
+    """A text of the template: no optional part, the first alternative, a name for each replaceable part."""
+    template = re.sub(r"\{([^|{}]*)\|[^{}]*\}", r"\1", template)
+    while "[" in template:
+        template = re.sub(r"\[[^\[\]]*\]", "", template)
+    return re.sub(r"<\d+>", NAMES.get(label, "it"), template)
+
+
+def test_whole_licenses(spark):
+    """A license with its parts filled in is known by its label; one mandatory word less or another, and it isn't."""
+    rows, want, spoilt = [], {}, random.Random(3)
+    for template, label in licenses.LICENSES:
+        text = wording(template, label)
+        words = text.split()
+        at = spoilt.randrange(len(words) // 4, len(words) // 2)
+        texts = [f"Copyright 2020 x. {text.upper()}.", ", ".join(words), " ".join([*words[:at], "altered", *words[at + 1 :]]), " ".join(words[: at + 1])]
+        for k, t in enumerate(texts):
+            want[len(rows)] = (label, k < 2)
+            rows.append((len(rows), t))
+    got = {r.doc_id: r for r in licenses.summary(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, (label, known) in want.items():
+        assert (label in got[i].labels.split(",")) == known, (label, rows[i])
+    assert not any({"bsd-2-clause", "bsd-3-clause"} <= set(r.labels.split(",")) for r in got.values())
+
+
+def test_license_sql_on_whole_licenses(spark, tmp_path):
+    """The query's SQL, made from the templates as regular expressions, agrees on filled-in licenses too."""
+    texts = [wording(t, label) for t, label in licenses.LICENSES + licenses.NOTICES]
+    texts += [f"{t} {u}" for t, u in zip(texts, texts[1:], strict=False)] + [t.replace("the ", "", 1) for t in texts] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.OP4_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in registry.op4_license_scan(spark, str(tmp_path)).select(*names).collect())
+
+
 def test_scan_awkward_rows(spark):
     got = licenses.summary(licenses.scan(awkward(spark))).collect()
     assert len(got) == 12 and all(r.n_base == 0 for r in got)
