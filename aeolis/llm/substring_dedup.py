@@ -3,7 +3,8 @@
 Every window's hash goes, packed with others of its range, to one task, which finds the smallest
 document that holds it; the other documents get the hash back and cut the words it covers.
 Within a chunk of documents equal windows are merged before the shuffle, so a passage that many
-documents share reaches its task once a chunk, not once a document.
+documents share reaches its task once a chunk, not once a document. There are as many ranges as
+the text needs for each to stay of one size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from .common import session, shuffle_partitions, spread
 
 WINDOW = 13
+#: Bytes of text whose windows make a range of hashes, and whose documents make a group of ids: what a task holds.
+RANGE_BYTES = 16 << 20
 #: Windows hashed together in a task; a document is never split, so one more may join.
 CHUNK = 1 << 21
 #: Rabin-Karp base (odd, so that it has an inverse modulo 2^64) and the word hashes' seed.
@@ -147,6 +150,12 @@ def _group_of(doc_id: Column, groups: int) -> Column:
     return F.pmod(mixed, F.lit(groups)).cast("int")
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """Ranges of hashes (and groups of ids) for these texts: their number grows with the input, so that a task's share doesn't."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(session(docs.sparkSession)), -(-size // RANGE_BYTES))
+
+
 def later_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     """(grp, ids, hashes): packed hashes of windows that a document with a smaller id holds too, by groups of ids."""
 
@@ -171,8 +180,7 @@ def later_windows(docs: DataFrame, groups: int, window: int = WINDOW) -> DataFra
             row = [pa.array([group[a]], pa.int32()), pa.array([_packed(ids[a:b])]), pa.array([hashes[a:b].astype("<u8").tobytes()])]
             yield pa.RecordBatch.from_arrays(row, names=["grp", "ids", "hashes"])
 
-    n = shuffle_partitions(session(docs.sparkSession))
-    dealt = _dealt(docs, n, window).repartitionById(n, F.col("bucket"))
+    dealt = _dealt(docs, groups, window).repartitionById(groups, F.col("bucket"))
     return dealt.select("settled", "ids", "hashes").mapInArrow(run, "grp int, ids binary, hashes binary")
 
 
@@ -224,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     Hashes and texts meet by groups of ids; in each task the hashes come first and are held, the
     texts stream by.
     """
-    groups = shuffle_partitions(session(docs.sparkSession))
+    groups = ranges_for(docs)
     doc_id = F.col("doc_id").cast("long")
     own = F.when(doc_id.isNull(), F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")).otherwise(_group_of(doc_id, groups))
     rows = docs.select(own.alias("grp"), F.lit(True).alias("is_text"), doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0), *carry).alias("other"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -6,10 +7,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from aeolis.llm import simhash, substring_dedup
+from aeolis.llm import registry, simhash, substring_dedup
+from aeolis.llm.common import table
 
 from .frames import awkward, empty
 
+DATA = "/root/testdata/sf0.001"
+
 
 def brute_windows(docs, n=13):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs}
@@ -118,3 +122,29 @@ def test_simhash_awkward_rows(spark):
     ids = sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect())
     assert ids == sorted(set(groups.values())) and kept.where(F.col("doc_id").isNull()).count() == 2
     assert simhash.simhash_groups(empty(spark)).count() == 0
+
+
+def test_ranges_follow_the_input(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 400) for i in range(100)], "doc_id long, text string")
+    assert substring_dedup.ranges_for(docs) == 8 and substring_dedup.ranges_for(docs.limit(0)) == 8
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 5_000)
+    assert substring_dedup.ranges_for(docs) == 40
+    assert substring_dedup.remove_repeats(docs).where("n_removed = 400").count() == 99
+
+
+def test_registered_substring_dedup(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
+    got = registry.op3_substring_dedup(spark, DATA)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")]
+    want = {(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in brute_windows(docs).items()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == len(docs)
+
+
+def test_registered_simhash(spark):
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in table(spark, DATA, "documents").collect()}
+    label, least = brute_components(fps.values()), {}
+    for i in sorted(fps):
+        least.setdefault(label[fps[i]], i)
+    got = registry.op7_simhash(spark, DATA)
+    assert got.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    assert {tuple(r) for r in got.collect()} == {(i, f"{fp & (1 << 64) - 1:016x}", least[label[fp]]) for i, fp in fps.items()}
