@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or in tests a temporary one."""
+    """The folder that every executor sees: spark.checkpoint.dir, or where driver and executors are one process a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="aeolis-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,7 +48,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out anew if it has fewer partitions than there are cores to work on it (a small file, say)."""
+    """A plain scan, dealt out anew if it has fewer partitions than there are cores to work on it (a small file, say).
+
+    Only for plans without a shuffle: counting partitions would run those.
+    """
     cores = session(df.sparkSession).sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

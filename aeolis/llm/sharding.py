@@ -52,13 +52,14 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more).
+    """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more); columns of docs so named are replaced.
 
     The law is `key`: doc_id and the number of shards decide, so a document stays where it is
     whatever else comes or goes. size is the text's UTF-8 bytes plus 1 (null: 1; its crc32 is
     that of no bytes). slot numbers a shard's rows from 0 without gaps, slice by slice of a
     hash of the id, then by doc_id, text_crc32 and size; rows that agree in all these are
-    interchangeable. A null doc_id counts as 0. Repeated rows each get a slot. The counts that
+    interchangeable. A null doc_id counts as 0. Repeated rows each get a slot. Texts of any length
+    are only measured and summed. The counts that
     are broadcast number SLICES * shards at most, whatever the table holds.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aeolis.llm import chat, mixing, sharding
+from aeolis.llm.common import word_count
 
 from .frames import awkward, empty, rows
 
@@ -36,12 +38,12 @@ def test_shards_grow_into_the_new_one(spark):
 
 
 def test_shard_awkward_rows(spark):
-    got = sharding.shard_documents(awkward(spark).drop("size", "shard"), 3).collect()
+    got = sharding.shard_documents(awkward(spark), 3).collect()
     assert len(got) == 12
     for r in got:
         raw = (r.text or "").encode()
         assert (r.size, r.text_crc32, r.shard) == (len(raw) + 1, zlib.crc32(raw), jump(r.doc_id or 0, 3))
-    assert sharding.shard_documents(empty(spark).drop("size", "shard"), 3).count() == 0
+    assert sharding.shard_documents(empty(spark), 3).count() == 0
 
 
 def waterfill(sizes):
@@ -90,6 +92,38 @@ def test_mix_awkward_rows(spark):
     assert mixing.plan(empty(spark)).count() == 0 and mixing.materialize(empty(spark)).count() == 0
 
 
+def test_words_at_any_end(spark):
+    """Only the six separators end a word; Java's line ends at a text's end don't."""
+    texts = ["", " ", "a", " a ", "a\u2028", "word \u2028", "word \u0085", "a b \u2029", "\u00a0", "\n\r\x0b a\x0c", "a\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r.n for r in df.select("i", word_count(F.col("text")).alias("n")).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
+def test_places_are_the_range_sort(spark):
+    docs = awkward(spark).unionByName(awkward(spark).where("doc_id > 5").withColumn("source", F.lit("z")))
+    planned = mixing.placed(mixing.plan(docs)).collect()
+    copies = sorted((p, r.doc_id is not None, r.doc_id, str(r.source), r.size, k, r) for r in planned for k, p in enumerate(r.positions) for _ in range(r.rows))
+    first = {}
+    for n, (p, *_, r) in enumerate(copies):
+        first.setdefault((r.doc_id, r.source, r.size), (p, n))
+    assert sum(r.rows for r in planned) == docs.count()
+    for r in planned:
+        assert (r.first_position, r.place) == first.get((r.doc_id, r.source, r.size), (None, None))
+    stream = mixing.materialize(docs).collect()
+    assert [r.position for r in stream] == [c[0] for c in copies]
+    assert mixing.placed(mixing.plan(empty(spark))).count() == 0
+
+
+def test_stream_order_outlives_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (i % 90)) for i in range(900)], "doc_id long, source string, text string")
+    stream = mixing.materialize(docs)
+    stream.select("doc.*").write.parquet(f"{tmp_path}/stream")
+    read = mixing.stream_order(spark.read.parquet(f"{tmp_path}/stream"))
+    assert [r.doc_id for r in read.orderBy("stream_part", "stream_row").collect()] == [r.doc.doc_id for r in stream.collect()]
+    assert mixing.stream_order(docs).where("stream_part is not null or stream_row is not null").count() == 0
+
+
 def test_curriculum_follows_the_schedule(spark):
     """Of a source that leans to the end, less than half of the words comes in the first half."""
     docs = [(i, s, "w w w w") for s in ("a", "b", "c") for i in range(s == "a", 300)]
@@ -118,6 +152,33 @@ def test_chat_round_trip(turns):
     assert got[1] == "".join(t for r, t in turns if r == "assistant")
 
 
+def test_turns_as_streamed_events(spark):
+    """A turn comes as a draft, a new start and deltas; the fold leaves the turn alone."""
+    long = "".join(f"{i}<[\\\n\U0001f600" for i in range(500))
+    turns = [(1, 0, "user", "short"), (1, 1, "assistant", long), (1, 1, "assistant", "same turn"), (1, 2, None, None), (2, 0, "assistant", ""), (None, None, "user", "x" * 64)]
+    df = spark.createDataFrame([(*t, "y", 1) for t in turns], "conv_id long, turn long, role string, text string, kind string, seq int")
+    log = chat.as_events(df).cache()
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["edit"] == 3 and kinds["regenerate"] == 3 and kinds["delta"] > len(turns) + len(long) // chat.PIECE - 1
+    assert log.where("text like '%(draft)%'").count() == len(turns)
+    got = rows(chat.fold_events(log.repartition(4)), "conv_id", "role", "text")
+    assert got == sorted([(c, r or "", t or "") for c, _, r, t in turns], key=repr)
+
+
+def test_chat_awkward_rows(spark):
+    """Empty, null and very long texts, repeated rows and clashing names."""
+    docs = awkward(spark).select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.when(F.col("source") == "a", "assistant").alias("role"), "text", "size", F.lit("x").alias("formatted"), F.lit(1).alias("loss"))
+    out = chat.render(chat.fold_events(chat.as_events(docs)))
+    got = {r.conv_id: r for r in out.select("conv_id", chat.turns_of(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        assert [tuple(t) for t in got[c].turns] == sorted(turns) and got[c].learned == "".join(t for r, t in sorted(turns) if r == "assistant")
+    assert chat.render(chat.fold_events(chat.as_events(docs.limit(0)))).count() == 0
+
+
 def test_fold_of_deltas_edits_and_regenerations(spark):
     log = [
         (1, 1, 0, "delta", "user", "Hel"), (1, 2, 0, "delta", "user", "lo"), (1, 3, 1, "delta", "assistant", "bad"),
