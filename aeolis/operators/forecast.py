@@ -31,27 +31,45 @@ def seasonal(df: DataFrame, y: str, horizons: Sequence[int] = (1,), period: int
     return _predictions(df, y, horizons, by, order, lambda w, h: F.lag(y, period - h if aligned else period).over(w))
 
 
-def ridge_direct(train: DataFrame, test: DataFrame, y: str, horizon: int = 1, lookback: int = 168, alpha: float = 1.0, by: str = "station_id", order: Sequence[str] = ("Datetime",)) -> DataFrame:
-    """(station, horizon, y_true, y_pred): ridge regression on the last `lookback` values before each row.
+def ridge_direct(
+    train: DataFrame,
+    test: DataFrame,
+    y: str,
+    horizons: int | Sequence[int] = 1,
+    lookback: int = 168,
+    alpha: float = 1.0,
+    by: str = "station_id",
+    order: Sequence[str] = ("Datetime",),
+) -> DataFrame:
+    """(station, horizon, y_true, y_pred): ridge regression on the last `lookback` values before each row, a model a horizon.
 
     Pooled over stations, with an intercept, on rows without gaps. Spark divides the penalty by
-    the label's standard deviation, which regParam takes back. Empty if either side has no
-    complete row, or the label doesn't vary.
+    the label's standard deviation, which regParam takes back. Lags and targets of all horizons
+    are made in one pass over each side, and all horizons predicted in one. A horizon has no
+    rows if either side has no complete row for it, or the label doesn't vary.
     """
+    horizons, lags = [horizons] if isinstance(horizons, int) else list(horizons), [f"lag{k}" for k in range(1, lookback + 1)]
 
     def complete(df: DataFrame) -> DataFrame:
-        made = lag_columns(y, range(1, lookback + 1), by, order, "lag{h}") | {"y_true": F.lead(y, horizon).over(in_order(by, order))}
-        return df.select(by, *(c.cast("double").alias(n) for n, c in made.items())).dropna(subset=list(made))
-
-    fit_on, score_on = complete(train), complete(test)
-    n, spread = fit_on.agg(F.count("*"), F.stddev_pop("y_true")).first()
-    schema = test.select(by).withColumns({"horizon": F.lit(horizon), "y_true": F.lit(0.0), "y_pred": F.lit(0.0)})
-    if not n or not spread:
-        return schema.limit(0)
-    vector = VectorAssembler(inputCols=[f"lag{k}" for k in range(1, lookback + 1)], outputCol="features")
-    ridge = LinearRegression(labelCol="y_true", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * spread / n)
-    model = ridge.fit(vector.transform(fit_on))
-    return model.transform(vector.transform(score_on)).select(by, F.lit(horizon).alias("horizon"), "y_true", F.col("prediction").alias("y_pred"))
+        made = lag_columns(y, range(1, lookback + 1), by, order, "lag{h}") | {f"y{h}": F.lead(y, h).over(in_order(by, order)) for h in horizons}
+        return df.select(by, *(c.cast("double").alias(n) for n, c in made.items())).dropna(subset=lags)
+
+    fit_on, score_on = complete(train).persist(), complete(test)
+    vector, made = VectorAssembler(inputCols=lags, outputCol="features"), []
+    try:
+        seen = fit_on.agg(*(f(F.col(f"y{h}")).alias(f"{n}{h}") for h in horizons for n, f in (("n", F.count), ("std", F.stddev_pop)))).first()
+        for h in horizons:
+            if seen[f"n{h}"] and seen[f"std{h}"]:
+                ridge = LinearRegression(labelCol=f"y{h}", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * seen[f"std{h}"] / seen[f"n{h}"])
+                model = ridge.fit(vector.transform(fit_on.where(F.col(f"y{h}").isNotNull())))
+                weights = F.array(*map(F.lit, model.coefficients.tolist()))
+                dot = F.aggregate(F.zip_with(F.array(*lags), weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, x: a + x)
+                made.append(F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y_true"), dot.alias("y_pred")))
+    finally:
+        fit_on.unpersist()
+    if not made:
+        return test.select(by, F.lit(0).alias("horizon"), F.lit(0.0).alias("y_true"), F.lit(0.0).alias("y_pred")).limit(0)
+    return score_on.select(by, F.explode(F.array(*made)).alias("p")).select(by, "p.*").where("y_true is not null")
 
 
 def baseline_report(methods: dict[str, DataFrame], horizons: Sequence[int]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import in_order
 
@@ -23,21 +26,38 @@ def fill_past_mean(df: DataFrame, cols: Sequence[str], width: int = 24, order: S
 
 
 def fill_past_median(df: DataFrame, cols: Sequence[str], order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
-    """The median of all rows before.
+    """The median of all rows before; filled columns become doubles.
 
-    Only rows that are still null are looked up: they meet the values before them in their
-    station, and a percentile is taken for each. The order columns must tell a station's rows apart.
+    One sorted pass: of each column the lower and the upper half of a station's values so far
+    are held as two heaps, so a value costs the logarithm of their number. Rows without a
+    station are a station of their own; NaN is no value, and isn't filled.
     """
-    w = in_order(by, order)
-    for c in cols:
-        numbered = df.withColumn("_rn", F.row_number().over(w))
-        gaps = numbered.where(F.col(c).isNull()).select(F.col(by).alias("_g"), F.col("_rn").alias("_at"))
-        values = numbered.where(F.col(c).isNotNull()).select(by, "_rn", F.col(c).alias("_v"))
-        pairs = gaps.join(values, (F.col("_g") == F.col(by)) & (F.col("_rn") < F.col("_at")))
-        medians = pairs.groupBy("_g", "_at").agg(F.percentile("_v", 0.5).alias("_median"))
-        joined = numbered.join(medians, (F.col(by) == F.col("_g")) & (F.col("_rn") == F.col("_at")), "left")
-        df = joined.withColumn(c, F.coalesce(c, "_median")).select(*df.columns)
-    return df
+    kinds = {f.name: T.DoubleType() if f.name in cols else f.dataType for f in df.schema}
+    schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
+    rows = df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, halves = None, {}
+        for batch in batches:
+            stations, made = batch.column(by).to_pylist(), {}
+            values = {c: batch.column(c).to_pylist() for c in cols}
+            for i, station in enumerate(stations):
+                if (station,) != at:
+                    at, halves = (station,), {c: ([], []) for c in cols}
+                for c, column in values.items():
+                    x, (low, high) = column[i], halves[c]  # low: negated, its top is the middle or just below
+                    if x is None:
+                        if low:
+                            column[i] = -low[0] if len(low) > len(high) else 0.5 * -low[0] + 0.5 * high[0]
+                    elif x == x:
+                        heapq.heappush(high, -heapq.heappushpop(low, -x))
+                        if len(high) > len(low):
+                            heapq.heappush(low, -heapq.heappop(high))
+            for c, column in values.items():
+                made[c] = pa.array(column, pa.float64())
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(filled, schema)
 
 
 def impute(df: DataFrame, cols: Sequence[str], limit: int = 6, width: int = 24, median: bool = True, order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:

@@ -79,6 +79,12 @@ def quick_stats(df: DataFrame, cols: Sequence[str], split: str = "split") -> Dat
     return wide.select(split, F.explode(cells).alias("x")).select(split, "x.*")
 
 
+def quick_stats_locked(df: DataFrame, target: str, lock: DataFrame, k: int = 8, split: str = "split") -> DataFrame:
+    """quick_stats of the target and the first k columns of a feature lock (pos, column)."""
+    first = [r.column for r in lock.where(F.col("column") != target).orderBy("pos").limit(k).collect()]  # k names
+    return quick_stats(df, [target, *first], split)
+
+
 def split_health(df: DataFrame, time: str, cols: Sequence[str], by: str = "station_id", split: str = "split") -> DataFrame:
     """rows, stations, time range and the share of nulls of each column, a split."""
     rates = (F.avg(F.col(c).isNull().cast("int")).alias(f"{c}_null_rate") for c in cols)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import floor_hour, norm_id, parse_num, parse_ts
-from ..functions.schema import base_projection, canonicalize, drop_features, feature_lock, future_time
+from ..functions.schema import FORECAST_ALIASES, base_projection, canonicalize, drop_features, feature_lock, future_time
 from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
 from ..sources import tables
 from .lenses import AIR, BY_TIME, CUTS, ORDER, SERIES, SPLIT, TYPES, air, forecasts, geography, load, r6, series, stamp, weather
@@ -211,11 +211,15 @@ def weather_hour_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("o_orderkey", "temperature"))
 
 
-@query(AIR + """, few AS (SELECT * FROM air WHERE CAST(station_id AS INT) < 40), span AS (SELECT min("Datetime") AS a, max("Datetime") AS b FROM few),
+@query(AIR + """, busy AS (SELECT station_id FROM air GROUP BY 1 HAVING 2 * count(*) > (SELECT max(n) FROM (SELECT count(*) AS n FROM air GROUP BY station_id))),
+few AS (SELECT * FROM air WHERE station_id IN (FROM busy)), span AS (SELECT min("Datetime") AS a, max("Datetime") AS b FROM few),
 ids AS (SELECT district_id AS geo_id FROM few UNION SELECT city_id FROM few)
 SELECT geo_id, count(*) AS n, round(sum(temperature), 4) AS total FROM (FROM met_d UNION ALL FROM met_c), span WHERE geo_id IN (SELECT geo_id FROM ids) AND "Datetime" BETWEEN a AND b GROUP BY 1""")
 def weather_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = enrich.attach_geo(air(spark, sf_dir).where(F.col("station_id").cast("int") < 40), *geography(spark, sf_dir))
+    rows = air(spark, sf_dir)
+    counts = rows.groupBy("station_id").agg(F.count("*").alias("n"))
+    busy = counts.join(F.broadcast(counts.agg(F.max("n").alias("most"))), F.expr("2 * n > most"), "left_semi")  # one row
+    few = enrich.attach_geo(features.scope(rows, busy.select("station_id")), *geography(spark, sf_dir))
     d, c = weather(spark, sf_dir)
     return enrich.geo_slice(d.unionByName(c), few, "geo_id", "Datetime").groupBy("geo_id").agg(F.count("*").alias("n"), F.round(F.sum("temperature"), 4).alias("total"))
 
@@ -237,11 +241,19 @@ def geo_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.union_ids(full.select("district_id"), full.select("city_id"))
 
 
-@query("""SELECT 'l_shipdate' AS "column", count(l_shipdate) AS n FROM lineitem""")
+@query("""SELECT 'configured' AS given, 'l_shipdate' AS "column", count(l_shipdate) AS n FROM lineitem
+UNION ALL SELECT 'alias', 'FutureTime', count(*) FILTER (l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'neither', 'Datetime', count(*) FILTER (l_returnflag = 'A') FROM lineitem""")
 def forecast_time_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem")
-    name = future_time(rows, "l_shipdate", ["Future Time"])
-    return rows.agg(F.lit(name).alias("column"), F.count(name).alias("n"))
+    some = lambda flag: F.when(F.col("l_returnflag") == flag, F.col("l_shipdate"))
+    issued = rows.select(some("A").alias("Datetime"), some("N").alias("other"))
+    aliased = rows.select(some("A").alias("Datetime"), some("R").alias("FutureTime"), some("N").alias("future_time"))
+
+    def chosen(given: str, df: DataFrame) -> DataFrame:
+        name = future_time(df, "l_shipdate", FORECAST_ALIASES["Datetime"] if given != "configured" else [])
+        return df.agg(F.lit(given).alias("given"), F.lit(name).alias("column"), F.count(name).alias("n"))
+
+    return chosen("configured", rows).unionByName(chosen("alias", aliased)).unionByName(chosen("neither", issued))
 
 
 # -- aggregation and audit --------------------------------------------------------------------
@@ -297,9 +309,9 @@ def dup_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_top(series(spark, sf_dir).withColumn("h", floor_hour(F.col("Datetime"))), ["station_id", "h"])
 
 
-_STATS = " UNION ALL ".join(
-    f"SELECT split, '{c}' AS \"column\", count(\"{c}\") AS n, round(avg(\"{c}\"), 6) AS mean, round(stddev_samp(\"{c}\"), 6) AS std, min(\"{c}\") AS min, max(\"{c}\") AS max FROM p GROUP BY split" for c in ("y", "view", "click")
-)
+_ALL_STATS, _STATS = (" UNION ALL ".join(
+    f"SELECT split, '{c}' AS \"column\", count(\"{c}\") AS n, round(avg(\"{c}\"), 6) AS mean, round(stddev_samp(\"{c}\"), 6) AS std, min(\"{c}\") AS min, max(\"{c}\") AS max FROM p GROUP BY split" for c in columns
+) for columns in (("y", *TYPES), ("y", "view", "click")))
 
 
 @query(f"{P} {_STATS}")
@@ -307,6 +319,14 @@ def quick_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.quick_stats(panel(spark, sf_dir), ["y", "view", "click"]))
 
 
+@query(P + f""", c AS ({_LOCK}), k AS (SELECT "column" FROM c WHERE k = 3 AND "column" <> 'error' ORDER BY i LIMIT 2), a AS ({_ALL_STATS})
+SELECT * FROM a WHERE "column" = 'y' OR "column" IN (FROM k)""")
+def quick_stats_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir)
+    lock = feature_lock(df.where("event_type <> 'signup' or split = 'train'"), TYPES, ["error"])
+    return rounded(quality.quick_stats_locked(df, "y", lock, 2))
+
+
 _SPAN = f"count(*) AS rows, count(DISTINCT station_id) AS stations, {T('min("Datetime")')} AS min_time, {T('max("Datetime")')} AS max_time"
 
 
@@ -439,10 +459,22 @@ def leak_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.lag_check(stored, "y", (1, 3), ORDER))
 
 
-@query("""SELECT 'rolls' AS "check", 'y_roll' || w || 'h_' || k AS "column", 0.0::DOUBLE AS max_diff, CAST(0 AS BIGINT) AS mismatches, true AS ok
-FROM (VALUES (3), (6)) AS a(w), (VALUES ('mean'), ('std')) AS b(k)""")
+#: As features.rolling has it: means from w // 2 values on, the sample's deviation.
+_ROLL = "CASE WHEN count(y) OVER ({w}) >= {least} THEN {f}(y) OVER ({w}) END"
+_ROLLS = ", ".join(
+    f"{_ROLL.format(w=f'{BY_TIME} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW', least=n // 2, f=f)} AS {name}" for n, f, name in ((3, "avg", "m3"), (6, "stddev_samp", "s6"))
+)
+#: A null in 25 in place of a value.
+_MISSING = "CASE WHEN event_id % 25 = 1 THEN NULL ELSE {x} END"
+
+
+@query(f"""{SERIES}, r AS (SELECT event_id, {_ROLLS} FROM s)
+SELECT 'rolls' AS "check", 'y_roll3h_mean' AS "column", 0.0::DOUBLE AS max_diff, count(*) FILTER (m3 IS NOT NULL AND {_MISSING.format(x='m3')} IS NULL) AS mismatches, false AS ok FROM r
+UNION ALL SELECT 'rolls', 'y_roll3h_std', 0.0::DOUBLE, CAST(0 AS BIGINT), true UNION ALL SELECT 'rolls', 'y_roll6h_mean', 0.0::DOUBLE, CAST(0 AS BIGINT), true
+UNION ALL SELECT 'rolls', 'y_roll6h_std', round(coalesce(max(abs({_WRONG.format(x='s6')} - s6)), 0), 6), CAST(0 AS BIGINT), false FROM r""")
 def leak_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = features.rolling(series(spark, sf_dir), ["y"], (3, 6), "current", ORDER)
+    stored = stored.withColumns({"y_roll3h_mean": F.expr(_MISSING.format(x="y_roll3h_mean")), "y_roll6h_std": F.expr(_WRONG.format(x="y_roll6h_std"))})
     return rounded(quality.roll_check(stored, ["y"], (3, 6), ORDER))
 
 
@@ -464,11 +496,16 @@ def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.monotonic_check(stored, "Datetime", "position")
 
 
-@query("""SELECT * FROM (VALUES ('lags', true), ('rolls', true), ('rolls', true), ('splits', true), ('splits', true), ('splits', true)) AS v("check", ok)""")
+@query(f"""{P}, l AS (SELECT *, lag(y, 1) OVER ({BY_TIME}) AS a FROM p), q AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'train' ELSE split END AS shown FROM p)
+SELECT 'lags' AS "check", 'y_lag1h' AS "column", count(*) FILTER ({_WRONG.format(x='a')} <> a) = 0 AS ok FROM l
+UNION ALL SELECT 'rolls', 'y_roll6h_' || k || '_past', true FROM (VALUES ('mean'), ('std')) AS b(k)
+UNION ALL SELECT 'splits', x, count(*) FILTER (shown = x AND split <> x) = 0 FROM q, (VALUES ('train'), ('val'), ('test')) AS v(x) GROUP BY x""")
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.rolling(features.lags(panel(spark, sf_dir), "y", (1,), ORDER), ["y"], (6,), "past", ORDER)
-    report = quality.check_report(quality.lag_check(df, "y", (1,), ORDER), quality.roll_check(df, ["y"], (6,), ORDER, closed="past"), quality.split_check(df, "Datetime", *CUTS))
-    return report.select("check", "ok")
+    stored = df.withColumn("y_lag1h", F.expr(_WRONG.format(x="y_lag1h")))
+    shown = df.withColumn("split", F.expr("case when event_id % 50 = 0 then 'train' else split end"))
+    report = quality.check_report(quality.lag_check(stored, "y", (1,), ORDER), quality.roll_check(df, ["y"], (6,), ORDER, closed="past"), quality.split_check(shown, "Datetime", *CUTS))
+    return report.select("check", "column", "ok")
 
 
 # -- scaling ----------------------------------------------------------------------------------
@@ -603,11 +640,13 @@ def window_tensor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_summary(_tensors(spark, sf_dir), 12, 2)
 
 
-@query(_windows(0.75, "station_id, split") + "SELECT split, horizon, count(*) AS windows FROM i GROUP BY 1, 2")
+@query(_windows(0.75, "station_id, split") + "SELECT split, horizon, count(*) AS windows, true AS enough_files, true AS within_limit FROM i GROUP BY 1, 2")
 def window_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch_dir(spark, "windows")
-    tables.write_window_shards(_tensors(spark, sf_dir), path, 500)
-    return tables.window_manifest(spark, path).select("split", F.col("horizon").cast("int").alias("horizon"), "windows")
+    limit = 50
+    tables.write_window_shards(_tensors(spark, sf_dir), path, limit)
+    enough, within = F.col("files") >= F.ceil(F.col("windows") / limit), F.col("largest") <= limit
+    return tables.window_manifest(spark, path).select("split", F.col("horizon").cast("int").alias("horizon"), "windows", enough.alias("enough_files"), within.alias("within_limit"))
 
 
 # -- baselines and scores ---------------------------------------------------------------------
@@ -692,6 +731,31 @@ def ridge_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(score.score(_ridge(spark, sf_dir)))
 
 
+#: The normal equations of three lags, solved by determinants.
+_SOLVED = f"""{P}, b AS (
+  SELECT station_id, split = 'test' AS te, lag(y, 1) OVER z AS x1, lag(y, 2) OVER z AS x2, lag(y, 3) OVER z AS x3, lead(y, 1) OVER z AS t1, lead(y, 3) OVER z AS t3
+  FROM p WINDOW z AS (PARTITION BY station_id, split = 'test' ORDER BY "Datetime", event_id)
+), ok AS (
+  SELECT te, CAST(h AS INT) AS horizon, x1, x2, x3, CASE h WHEN 1 THEN t1 ELSE t3 END AS t FROM b, (VALUES (1), (3)) AS g(h)
+  WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND CASE h WHEN 1 THEN t1 ELSE t3 END IS NOT NULL
+), means AS (SELECT horizon, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(t) AS mt FROM ok WHERE NOT te GROUP BY 1),
+sums AS (
+  SELECT horizon, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, any_value(mt) AS mt,
+         sum((x1-m1)*(x1-m1)) + 1 AS a, sum((x1-m1)*(x2-m2)) AS b, sum((x1-m1)*(x3-m3)) AS c, sum((x2-m2)*(x2-m2)) + 1 AS d, sum((x2-m2)*(x3-m3)) AS e,
+         sum((x3-m3)*(x3-m3)) + 1 AS f, sum((x1-m1)*(t-mt)) AS p, sum((x2-m2)*(t-mt)) AS q, sum((x3-m3)*(t-mt)) AS r
+  FROM ok JOIN means USING (horizon) WHERE NOT te GROUP BY 1
+), solved AS (
+  SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS det, p*(d*f-e*e) - b*(q*f-r*e) + c*(q*e-r*d) AS w1,
+         a*(q*f-e*r) - p*(b*f-c*e) + c*(b*r-q*c) AS w2, a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c) AS w3 FROM sums
+), v AS (SELECT horizon, t, mt + (w1*(x1-m1) + w2*(x2-m2) + w3*(x3-m3)) / det AS q FROM ok JOIN solved USING (horizon) WHERE te) """
+
+
+@query(_SOLVED + f"SELECT horizon, count(*) AS n, {_BOTH} FROM v GROUP BY 1")
+def ridge_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel(spark, sf_dir)
+    return rounded(score.score(forecast.ridge_direct(df.where("split <> 'test'"), df.where("split = 'test'"), "y", (1, 3), 3, order=ORDER)))
+
+
 @query(_pairs("y").replace("v AS (", "v1 AS (") + f""", b AS (
   SELECT station_id, split = 'test' AS te, lag(y, 1) OVER z AS x, lead(y, 1) OVER z AS t FROM p WINDOW z AS (PARTITION BY station_id, split = 'test' ORDER BY "Datetime", event_id)
 ), ok AS (SELECT * FROM b WHERE x IS NOT NULL AND t IS NOT NULL), c AS (SELECT avg(x) AS mx, avg(t) AS mt FROM ok WHERE NOT te),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
@@ -117,9 +118,9 @@ def write_window_shards(windows: DataFrame, path: str, rows: int = SHARD_ROWS) -
 
 
 def window_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(split, horizon, files, windows) of written windows."""
-    stored = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
-    return stored.groupBy("split", F.col("h").alias("horizon")).agg(F.countDistinct("_file").alias("files"), F.count("*").alias("windows"))
+    """(split, horizon, files, windows, largest) of written windows; largest: windows of the largest file."""
+    stored = spark.read.parquet(path).groupBy("split", F.col("h").alias("horizon"), F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"))
+    return stored.groupBy("split", "horizon").agg(F.count("*").alias("files"), F.sum("_n").alias("windows"), F.max("_n").alias("largest"))
 
 
 def write_reports(reports: Mapping[str, DataFrame], folder: str, fmt: str = "json") -> None:
@@ -129,6 +130,10 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str, fmt: str = "jso
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see, under spark.checkpoint.dir, or (in tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aeolis-")
+    """A new folder that all executors see, under spark.checkpoint.dir, or where all is one process a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="aeolis-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

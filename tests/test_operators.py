@@ -2,15 +2,19 @@
 
 import datetime as dt
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from aeolis.functions.columns import finite, norm_id, parse_num, parse_ts
 from aeolis.functions.schema import AIR_ALIASES, canonicalize, feature_lock
 from aeolis.operators import enrich, features, forecast, impute, quality, scale, score, split, windows
+from aeolis.plans import panel_queries
 from aeolis.sources import tables
 
 
@@ -161,6 +165,10 @@ def test_ridge_matches_the_normal_equations(spark):
     want = sorted(zip(tt, mt + (xt - mx) @ w, strict=True))
     assert np.allclose(sorted((r.y_true, r.y_pred) for r in got.collect()), want, atol=1e-8)
     assert forecast.ridge_direct(train.limit(2), test, "y", 2, 3).count() == 0
+    both = forecast.ridge_direct(train, test, "y", (1, 2), 3, alpha=1.0)
+    assert {r.horizon for r in both.collect()} == {1, 2}
+    alike = lambda df: sorted((r.station_id, round(r.y_true, 9), round(r.y_pred, 9)) for r in df.collect())
+    assert alike(both.where("horizon = 2")) == alike(forecast.ridge_direct(train, test, "y", 2, 3, alpha=1.0))
 
 
 def test_keep_list_comments(spark, tmp_path):
@@ -176,3 +184,51 @@ def test_panel_round_trip_replaces(spark, tmp_path):
     tables.write_panel(series(spark, [1.0, 2.0]), path)
     tables.write_panel(series(spark, [3.0], "b"), path, files=2)
     assert [tuple(r) for r in tables.read_panel(spark, path).select("station_id", "y").collect()] == [("b", 3.0)]
+
+
+def test_past_median_of_long_and_odd_stations(spark):
+    """Against a plain median; ties, gaps at the start, runs of gaps, NaN, and rows without a station."""
+    rng, rows = random.Random(4), []
+    for station in ("a", "b", None):
+        for i in range(400):
+            y = None if rng.random() < 0.4 else float("nan") if rng.random() < 0.02 else float(rng.randint(-5, 5))
+            rows.append((station, i, y, None if y is None else int(rng.random() * 9), "kept"))
+    df = spark.createDataFrame(rows, "station_id string, Datetime long, y double, z int, note string").repartition(5)
+    got = {(r.station_id, r.Datetime): r for r in impute.fill_past_median(df, ["y", "z"]).collect()}
+    past = {}
+    for station, i, y, z, _ in rows:
+        for name, x in (("y", y), ("z", z)):
+            seen = past.setdefault((station, name), [])
+            want = x if x is not None else statistics.median(seen) if seen else None
+            assert got[station, i][name] == want or x != x and got[station, i][name] != want
+            if x is not None and x == x:
+                seen.append(x)
+    assert len(got) == len(rows) and all(r.note == "kept" for r in got.values())
+    assert impute.fill_past_median(df.limit(0), ["y"]).count() == 0
+
+
+def test_formats_and_merged_schemas(spark, tmp_path):
+    """ORC there and back, a pruned scan, and station files with different columns."""
+    df = spark.createDataFrame([("1", 1.5, None), ("2", None, "x")], "station_id string, y double, note string")
+    tables.sink(df, f"{tmp_path}/t.orc", "orc")
+    assert sorted(map(str, tables.read_table(spark, f"{tmp_path}/t.orc", "orc").collect())) == sorted(map(str, df.collect()))
+    assert tables.read_table(spark, f"{tmp_path}/t.orc", "orc", columns=["y"]).columns == ["y"]
+    df.select("y").write.parquet(f"{tmp_path}/m/station_id=1")
+    df.select("note").write.parquet(f"{tmp_path}/m/station_id=2")
+    merged = tables.read_panel(spark, f"{tmp_path}/m")
+    assert set(merged.columns) == {"station_id", "y", "note"} and merged.count() == 4
+
+
+def test_entry_without_the_training_data(monkeypatch):
+    """A missing dependency leaves the panel queries alone."""
+    plain = entry.importlib.import_module
+
+    def missing(name):
+        if name == "aeolis.llm.registry":
+            raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+        return plain(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    if entry.importlib.util.find_spec("aeolis.llm"):
+        with pytest.warns(UserWarning, match="ahocorasick"):
+            assert set(entry.queries()) == set(panel_queries.QUERIES)
