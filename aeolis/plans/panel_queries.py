@@ -11,6 +11,7 @@ from ..functions.columns import floor_hour, norm_id, parse_num, parse_ts
 from ..functions.schema import FORECAST_ALIASES, base_projection, canonicalize, drop_features, feature_lock, future_time
 from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
 from ..sources import tables
+from . import build
 from .lenses import AIR, BY_TIME, CUTS, ORDER, SERIES, SPLIT, TYPES, air, forecasts, geography, load, r6, series, stamp, weather
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,6 +236,37 @@ def geo_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(in_d, "district").unionByName(n(in_c, "city"))
 
 
+_USED = """, span AS (SELECT min("Datetime") AS a, max("Datetime") AS b FROM air), ids AS (SELECT district_id AS geo_id FROM air UNION SELECT city_id FROM air),
+md AS (SELECT m.* FROM met_d m, span WHERE "Datetime" BETWEEN a AND b AND geo_id IN (FROM ids)), mc AS (SELECT m.* FROM met_c m, span WHERE "Datetime" BETWEEN a AND b AND geo_id IN (FROM ids)),
+wf AS (
+  SELECT geo_id, "Datetime", u FROM (
+    SELECT 'd' || s_nationkey AS geo_id, "Datetime", l_extendedprice AS u, time_forecast FROM ship WHERE s_nationkey % 2 = 0
+    UNION ALL SELECT 'c' || n_regionkey, "Datetime", l_extendedprice, time_forecast FROM ship
+  ), span WHERE "Datetime" BETWEEN a AND b AND geo_id IN (FROM ids) QUALIFY row_number() OVER (PARTITION BY geo_id, "Datetime" ORDER BY time_forecast DESC, u DESC) = 1
+), j AS (
+  SELECT p.station_id, p."Datetime", p.district_id, p.city_id, y, CASE WHEN k THEN d.temperature ELSE c.temperature END AS temperature,
+         CASE WHEN k THEN d.humidity ELSE c.humidity END AS humidity, CASE WHEN f THEN fd.u ELSE fc.u END AS up_temperature
+  FROM (SELECT *, district_id IN (SELECT geo_id FROM md) AS k, district_id IN (SELECT geo_id FROM wf) AS f FROM air) p
+  LEFT JOIN md d ON d.geo_id = p.district_id AND d."Datetime" = p."Datetime" LEFT JOIN mc c ON c.geo_id = p.city_id AND c."Datetime" = p."Datetime"
+  LEFT JOIN wf fd ON fd.geo_id = p.district_id AND fd."Datetime" = p."Datetime" LEFT JOIN wf fc ON fc.geo_id = p.city_id AND fc."Datetime" = p."Datetime"
+) SELECT station_id, """
+
+
+@query(AIR + _USED + f"""{T('"Datetime"')} AS "Datetime", min(district_id) AS district_id, min(city_id) AS city_id, round(avg(y), 6) AS "PM25_Concentration",
+round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity, round(avg(up_temperature), 6) AS up_temperature FROM j WHERE station_id IS NOT NULL AND "Datetime" IS NOT NULL GROUP BY station_id, j."Datetime" """)
+def build_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from tables under raw headers, with ids and times as raw files have them."""
+    text = lambda c: stamp(c)
+    raw_air = air(spark, sf_dir).select(F.concat("station_id", F.lit(".0")).alias("Station ID"), text("Datetime").alias("Time"), F.col("y").alias("PM2.5"))
+    met = weather(spark, sf_dir)
+    raw_met = met[0].unionByName(met[1]).select(F.concat(F.lit(" "), "geo_id").alias("ID"), text("Datetime").alias("timestamp"), F.col("temperature").alias("Temp"), F.col("humidity").alias("RH"))
+    coming = forecasts(spark, sf_dir)
+    raw_coming = coming[0].unionByName(coming[1]).select(
+        F.col("geo_id").alias("ID"), text("time_forecast").alias("Forecast Time"), text("Datetime").alias("FutureTime"), F.col("up_temperature").alias("temp_hi")
+    )
+    return rounded(build.build_panel(raw_air, *geography(spark, sf_dir), raw_met, raw_coming))
+
+
 @query(AIR + """SELECT geo_id AS id FROM (SELECT district_id AS geo_id FROM air UNION SELECT city_id FROM air)""")
 def geo_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
