@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions.quantiles import quantiles
 
 EDGES = 60
 
@@ -13,7 +14,7 @@ EDGES = 60
 def bin_range(df: DataFrame, c: str) -> DataFrame:
     """One row (lo, hi): the 0.5 and 99.5 percentiles of the finite values, or if these agree least and largest; -1 and 1 without values."""
     x = F.when(finite(F.col(c)), F.col(c).cast("double"))
-    q = df.agg(F.percentile(x, F.array(F.lit(0.005), F.lit(0.995))).alias("q"), F.min(x).alias("least"), F.max(x).alias("most"))
+    q = quantiles(df, {"q": x}, (0.005, 0.995)).join(F.broadcast(df.agg(F.min(x).alias("least"), F.max(x).alias("most"))))  # one row each
     flat = F.col("q")[0] == F.col("q")[1]
     lo, hi = F.when(flat, F.col("least")).otherwise(F.col("q")[0]), F.when(flat, F.col("most") + 1e-6).otherwise(F.col("q")[1])
     return q.select(F.coalesce(lo, F.lit(-1.0)).alias("lo"), F.coalesce(hi, F.lit(1.0)).alias("hi"))

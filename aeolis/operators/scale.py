@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, safe_div
+from ..functions.quantiles import quantiles
 
 KINDS = ("standard", "minmax", "robust")
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _spread(q: Column) -> tuple[Column, Column]:
+    return q[1].cast("double"), (q[2] - q[0]).cast("double")
 
 
 def _fits(c: str, kind: str, exact: bool) -> tuple[Column, Column]:
@@ -19,25 +25,30 @@ def _fits(c: str, kind: str, exact: bool) -> tuple[Column, Column]:
     if kind == "minmax":
         return F.min(c).cast("double"), (F.max(c) - F.min(c)).cast("double")
     if kind == "robust":
-        points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        q = F.percentile(c, points) if exact else F.percentile_approx(c, points, 10_000)
-        return q[1].cast("double"), (q[2] - q[0]).cast("double")
+        points = F.array(*map(F.lit, QUARTILES))
+        return _spread(F.percentile(c, points) if exact else F.percentile_approx(c, points, 10_000))
     raise ValueError(f"unknown scaler {kind}")
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard", by: str = "station_id", split: str | None = "split", exact: bool = True) -> DataFrame:
     """(scope, station_id, column, loc, scale): parameters of the train rows, globally and for each station.
 
-    robust takes medians and quartiles, exact ones or (for stations of many rows) approximate.
+    robust takes medians and quartiles, exact ones or (for stations of many rows) approximate;
+    exact global ones come from two passes, in which NaN counts as infinite.
     """
     train = df.where(F.col(split) == "train") if split else df
-    fitted = [F.struct(_fits(c, kind, exact)[0].alias("loc"), _fits(c, kind, exact)[1].alias("scale")).alias(c) for c in cols]
+    both = lambda fit, c: F.struct(fit[0].alias("loc"), fit[1].alias("scale")).alias(c)
+    fitted = [both(_fits(c, kind, exact), c) for c in cols]
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c)["loc"].alias("loc"), F.col(c)["scale"].alias("scale")) for c in cols))
 
     def rows(agg: DataFrame, scope: str, station: Column) -> DataFrame:
         return agg.select(F.lit(scope).alias("scope"), station.alias(by), F.explode(cells).alias("x")).select("scope", by, "x.*")
 
-    whole = rows(train.agg(*fitted), "global", F.lit(None).cast(df.schema[by].dataType))
+    if kind == "robust" and exact:
+        one = quantiles(train, {c: F.col(c) for c in cols}, QUARTILES).select(*(both(_spread(F.col(c)), c) for c in cols))
+    else:
+        one = train.agg(*fitted)
+    whole = rows(one, "global", F.lit(None).cast(df.schema[by].dataType))
     return whole.unionByName(rows(train.groupBy(by).agg(*fitted), "station", F.col(by)))
 
 

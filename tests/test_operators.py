@@ -11,9 +11,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from aeolis.functions import quantiles
 from aeolis.functions.columns import finite, norm_id, parse_num, parse_ts
 from aeolis.functions.schema import AIR_ALIASES, canonicalize, feature_lock
-from aeolis.operators import enrich, features, forecast, impute, quality, scale, score, split, windows
+from aeolis.operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
 from aeolis.plans import panel_queries
 from aeolis.sources import tables
 
@@ -232,3 +233,24 @@ def test_entry_without_the_training_data(monkeypatch):
     if entry.importlib.util.find_spec("aeolis.llm"):
         with pytest.warns(UserWarning, match="ahocorasick"):
             assert set(entry.queries()) == set(panel_queries.QUERIES)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 30_011])
+def test_exact_percentiles_from_brackets(spark, n):
+    rng = np.random.default_rng(n)
+    spread, tied = rng.lognormal(0, 3, n), rng.integers(0, 4, n).astype(float)
+    tied[rng.random(n) < 0.4] = -7.5
+    rows = [(float(a), float(b), None if i % 3 else float(a)) for i, (a, b) in enumerate(zip(spread, tied, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
+    points = (0.0, 0.005, 0.25, 0.5, 0.75, 0.995, 1.0)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in "abc"}, points, accuracy=200).first()
+    for name, values in (("a", spread), ("b", tied), ("c", spread[::3])):
+        assert got[name] == pytest.approx(np.quantile(values, points).tolist(), rel=1e-12), name
+
+
+def test_percentiles_of_nothing_and_of_no_number(spark):
+    df = spark.createDataFrame([(None, float("nan")), (None, 1.0), (None, 2.0)], "a double, b double")
+    got = quantiles.quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5, 1.0)).first()
+    assert got.a == [None, None] and got.b == [2.0, math.inf]
+    assert quantiles.quantiles(df.limit(0), {"b": F.col("b")}, (0.5,)).first().b == [None]
+    assert distrib.bin_range(df.limit(0), "b").first()[:] == (-1.0, 1.0)
