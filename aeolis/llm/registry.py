@@ -119,11 +119,11 @@ WITH RECURSIVE docs AS MATERIALIZED (
   SELECT n, key2, "to", floor(("to" + 1) * (2147483648.0::DOUBLE / (key2 // 8589934592 + 1)::DOUBLE))::BIGINT, step + 1
   FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key2 FROM jumps WHERE "to" < 9)
 ), places AS (
-  SELECT n, max(place) FILTER (place < 8) AS shard, max(place) FILTER (place < 9) AS grown_shard, max(key // 8589934592 % 1024) FILTER (step = 1) AS slice
+  SELECT n, max(place) FILTER (place < 8) AS shard, max(place) FILTER (place < 9) AS grown_shard, max(key // 8589934592) FILTER (step = 1) AS drawn
   FROM jumps WHERE step > 0 GROUP BY n
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       row_number() OVER (PARTITION BY shard ORDER BY (drawn + text_crc32) % 1024, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
        CAST(grown_shard AS INT) AS grown_shard
 FROM summed JOIN places USING (n)
 """

@@ -57,10 +57,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     The law is `key`: doc_id and the number of shards decide, so a document stays where it is
     whatever else comes or goes. size is the text's UTF-8 bytes plus 1 (null: 1; its crc32 is
     that of no bytes). slot numbers a shard's rows from 0 without gaps, slice by slice of a
-    hash of the id, then by doc_id, text_crc32 and size; rows that agree in all these are
-    interchangeable. A null doc_id counts as 0. Repeated rows each get a slot. Texts of any length
-    are only measured and summed. The counts that
-    are broadcast number SLICES * shards at most, whatever the table holds.
+    hash of id and text, then by doc_id, text_crc32 and size; rows that agree in all these are
+    interchangeable. So neither an id on many texts (null, say, which counts as 0) nor a text
+    under many ids is one slice's. Repeated rows each get a slot. Texts of any length are only
+    measured and summed. The counts that are broadcast number SLICES * shards at most, whatever
+    the table holds.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     text = F.coalesce("text", F.lit(""))
@@ -70,7 +71,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "law": F.lit("key"),
         "shard": jump_shard(key, shards),
         "grown_shard": jump_shard(key, shards + 1),
-        "_slice": F.shiftright(_next(*_halves(key))[0], 1).bitwiseAND(SLICES - 1).cast("int"),
+        "_slice": (F.shiftright(_next(*_halves(key))[0], 1) + F.crc32(text.cast("binary"))).bitwiseAND(SLICES - 1).cast("int"),
     })
     counts = rows.groupBy("shard", "_slice").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

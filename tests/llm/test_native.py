@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 
@@ -37,6 +38,18 @@ def test_shards_grow_into_the_new_one(spark):
     assert max(sum(r.shard == s for r in got) for s in range(8)) < 800
 
 
+def test_no_slice_holds_a_hot_id(spark):
+    """A third of all rows without an id: none of the numbered slices has more than a few of them."""
+    df = spark.range(3000).select(F.expr("if(id % 3 = 0, null, id)").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    plan = sharding.shard_documents(df, 8)
+    got = plan.where("doc_id is null").collect()
+    assert len(got) == 1000 and {r.shard for r in got} == {jump(0, 8)}
+    # slots are dealt slice by slice: a slice of 1000 rows would leave them in one run
+    slots = sorted(r.slot for r in got)
+    assert max(len(list(run)) for _, run in itertools.groupby(enumerate(slots), lambda x: x[1] - x[0])) < 50
+    assert sorted(r.slot for r in plan.where(f"shard = {jump(0, 8)}").collect()) == list(range(plan.where(f"shard = {jump(0, 8)}").count()))
+
+
 def test_shard_awkward_rows(spark):
     got = sharding.shard_documents(awkward(spark), 3).collect()
     assert len(got) == 12
