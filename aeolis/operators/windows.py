@@ -70,7 +70,8 @@ def window_tensors(
     """The index with X: `lookback` rows of the columns as floats, what isn't finite as 0.
 
     Rows are gathered in overlapping blocks, of `block` starts each, so a row is copied
-    1 + lookback / block times and no station has to fit in one task.
+    1 + lookback / block times and a station's tensors can take several tasks; only numbering
+    its rows sorts a station in one.
     """
     keys = [by, split] if split else [by]
     w = Window.partitionBy(*keys).orderBy(*order)
