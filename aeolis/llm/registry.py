@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, licenses, mixing, rpforest, sharding, simhash, substring_dedup, toxicity
+from . import bpe, chat, kdtree, licenses, mixing, registry_mining, rpforest, sharding, simhash, substring_dedup, toxicity
 from .common import cut, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -261,5 +261,5 @@ QUERIES = {
     "op8_jump_shards": op8_jump_shards,
     "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
-}
-ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_jump_shards": OP8_SQL, "op10_mix": OP10_SQL}
+} | registry_mining.QUERIES
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op4_license_scan": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_jump_shards": OP8_SQL, "op10_mix": OP10_SQL} | registry_mining.ORACLE_SQL
