@@ -5,8 +5,10 @@ that begins there, five words or fewer where its piece ends. Equal edges are mer
 task, then by Spark, which deals them out by their first words and sorts them; a node's edges
 then stand together, and one pass over the sorted edges derives all shorter counts: a phrase
 occurs as often as edges leave its node (its flow) and pieces end in it. A word too rare to
-stand in any result ends a piece like punctuation does. A phrase whose whole flow goes through
-one edge, in or out, is on a unary path and is compacted into the longer phrase.
+stand in any result ends a piece like punctuation does, and so does a place between two words
+whose pair is too rare, as an upper bound on its count says (pairs are counted by hash, several
+in one counter). A phrase whose whole flow goes through one edge, in or out, is on a unary path
+and is compacted into the longer phrase.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +32,9 @@ LONGEST, LEAST = 5, 100
 #: Language of texts without one.
 UNKNOWN = "und"
 #: Different words counted, and words whose edges are merged, at once in a task.
-WORDS, CHUNK = 400_000, 1 << 21
+WORDS, CHUNK = 200_000, 1 << 19
+#: Words of the input that share a counter of pairs, on average; the least and the largest number of counters (as powers of two), and slices of them that are summed apart.
+SHARED, COUNTERS, SLICES = 16, (16, 28), 256
 #: Frequent words, and bytes of them, up to which they are broadcast; beyond, words meet their numbers by a join.
 BROADCAST_WORDS, BROADCAST_BYTES = 1 << 20, 32 << 20
 #: A word with more than this share of a task's even part of all words is hot: grams that begin with hot words are dealt by more of their words.
@@ -38,12 +43,12 @@ HOT = 1 / 16
 #: A-Z become a-z, piece separators "." and tabs spaces; words hold none of these.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256))
 _END = b"."
-#: Bits of a word's number; three longs hold a gram of five and how many of its words deal it out.
+#: Bits of a word's number; three longs hold an edge of five words and how many of them deal it out.
 BITS = 31
 _MASK = (1 << BITS) - 1
-_PLACES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_PLACES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
-EDGES = "part long, k1 long, k2 long, k3 long, n long"
+EDGES = "k1 long, k2 long, k3 long, n long"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -86,36 +91,101 @@ def numbered(words: DataFrame) -> DataFrame:
     return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
-def _packed(words: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(part, k1, k2, k3) of grams, given as their first to fifth words (0 after the end)."""
-    depth = np.full(len(words[0]), 2, np.int64)
-    still = hot[words[0]]
+class Pairs:
+    """Which pairs of words may be frequent: a bit for each counter of pairs."""
+
+    def __init__(self, power: int):
+        self.power, self.bits = power, np.full(1 << power - 3, 255, np.uint8)
+
+    def counter(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        h = left.astype(np.uint64) * _PLACES[0] + right.astype(np.uint64) * _PLACES[1]
+        return ((h ^ h >> np.uint64(29)) * _PLACES[2] >> np.uint64(64 - self.power)).view(np.int64)
+
+    def may_be(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self.counter(left, right)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def merged(ids: np.ndarray, hot: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, ...]:
+    """(k1, k2, k3, n) of the different edges along ids, where 0 ends a piece; an edge has two words at least.
+
+    k3 ends with how many words deal the edge out: two, and one more for each hot word before.
+    """
+    line = np.r_[ids, np.zeros(LONGEST, np.int64)]
+    goes_on = (line[:-1] != 0) & (line[1:] != 0)
+    goes_on[goes_on] = pairs.may_be(line[:-1][goes_on], line[1:][goes_on])
+    at = np.flatnonzero(goes_on)
+    words, there = [line[at], line[at + 1]], np.ones(len(at), bool)
+    for i in range(2, LONGEST):
+        there = there & goes_on[at + i - 1]
+        words.append(np.where(there, line[at + i], 0))
+    depth, still = np.full(len(at), 2, np.int64), hot[words[0]]
     for w in words[1:4]:
         still = still & hot[w]
         depth += still
-    part = np.zeros(len(depth), np.uint64)
-    for i, (w, place) in enumerate(zip(words, _PLACES, strict=True)):
-        part += np.where(i < depth, w, 0).astype(np.uint64) * place
-    part = (part ^ part >> np.uint64(32)) * _PLACES[0]
-    return part.view(np.int64), words[0] << BITS | words[1], words[2] << BITS | words[3], words[4] << 3 | depth
-
-
-def merged(ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(part, k1, k2, k3, n) of the different edges along ids, where 0 ends a piece; places with fewer than two words have none."""
-    line = np.r_[ids, np.zeros(LONGEST - 1, np.int64)]
-    at = np.flatnonzero((line[:-1] != 0) & (line[1:] != 0))
-    words = [line[at], line[at + 1]]
-    for i in range(2, LONGEST):
-        words.append(np.where(words[-1] != 0, line[at + i], 0))
-    columns = _packed(words, hot)
-    order = np.lexsort(columns[:0:-1])
+    columns = words[0] << BITS | words[1], words[2] << BITS | words[3], words[4] << 3 | depth
+    order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    fresh = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[1:]], axis=0)]) if len(order) else order
+    fresh = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]) if len(order) else order
     return *(c[fresh] for c in columns), np.diff(np.r_[fresh, len(order)])
 
 
-def edges(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """EDGES of docs, merged within tasks; words are (lang, word, id, hot)."""
+class Lines:
+    """Texts as numbers of words with 0 between pieces, some CHUNK of words at a time."""
+
+    def __init__(self, number: dict[str, dict[bytes, int]]):
+        self.number, self.none = number, {}
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[int] = []
+        for batch in batches:
+            for language, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                of = self.number.get(language, self.none).get
+                held.extend([of(w, 0) for w in tokens(x.as_py())])
+                held.append(0)
+                if len(held) >= CHUNK:
+                    yield np.array(held, np.int64)
+                    held.clear()
+        if held:
+            yield np.array(held, np.int64)
+
+
+def frequent_pairs(texts: DataFrame, lines: Any, total: int, least: int) -> Pairs:
+    """Counters of all pairs of neighbouring frequent words, summed by slices; total words decide their number.
+
+    A counter is the sum of its pairs, so a pair in one below `least` occurs less often itself.
+    """
+    pairs = Pairs(min(max((total // SHARED).bit_length(), COUNTERS[0]), COUNTERS[1]))
+    width = max(8, (1 << pairs.power) // SLICES)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line in lines.value(batches):
+            both = np.flatnonzero((line[:-1] != 0) & (line[1:] != 0))
+            at, n = np.unique(pairs.counter(line[both], line[both + 1]), return_counts=True)
+            edges = np.r_[np.flatnonzero(np.diff(at // width, prepend=-1)), len(at)].tolist()
+            parts = [(int(at[a]) // width, at[a:b] % width, n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            columns = [pa.array([s for s, _, _ in parts], pa.int32())]
+            columns += [pa.array([zstandard.compress(x.astype("<i4").tobytes(), 1) for x in xs], pa.binary()) for xs in ([np.diff(p, prepend=0) for _, p, _ in parts], [p for _, _, p in parts])]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, n = (np.frombuffer(zstandard.decompress(x), "<i4") for x in packed)
+                sums.setdefault(s, np.zeros(width, np.int64))[np.cumsum(at)] += n
+        bits = [np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array(bits, pa.binary())], names=["slice", "bits"])
+
+    dealt = texts.mapInArrow(counted, "slice int, at binary, n binary").repartition(shuffle_partitions(texts.sparkSession), "slice")
+    pairs.bits[:] = 0
+    for r in dealt.mapInArrow(summed, "slice int, bits binary").collect():  # a bit a counter: 32 MB at most
+        pairs.bits[r.slice * width // 8 :][: width // 8] = np.frombuffer(r.bits, np.uint8)
+    return pairs
+
+
+def edges(docs: DataFrame, words: DataFrame, total: int, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
+    """EDGES of docs, merged within tasks; words are (lang, word, id, hot), total is the number of words in docs."""
     size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word").cast("long")), F.lit(0))).first()
     if size[0] > BROADCAST_WORDS or size[1] > BROADCAST_BYTES:
         return edges_by_join(docs, words, text, lang)
@@ -123,27 +193,15 @@ def edges(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "la
     hot = np.zeros(size[0] + 1, bool)
     for r in words.select("lang", "word", "id", "hot").collect():  # within the bounds above
         number[r.lang][bytes(r.word)], hot[r.id] = r.id, r.hot
-    shipped = session(docs.sparkSession).sparkContext.broadcast((dict(number), hot))
+    context, texts = session(docs.sparkSession).sparkContext, spread(_texts(docs, text, lang))
+    lines = context.broadcast(Lines(dict(number)))
+    shipped = context.broadcast((hot, frequent_pairs(texts, lines, total, least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, hot = shipped.value
-        none: dict[bytes, int] = {}
-        held: list[int] = []
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in merged(np.array(held, np.int64), hot)], names=["part", "k1", "k2", "k3", "n"])
-
-        for batch in batches:
-            for language, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                of = number.get(language, none).get
-                held.extend([of(w, 0) for w in tokens(x.as_py())])
-                held.append(0)
-                if len(held) >= CHUNK:
-                    yield made()
-                    held.clear()
-        yield made()
+        for line in lines.value(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(line, *shipped.value)], names=["k1", "k2", "k3", "n"])
 
-    return spread(_texts(docs, text, lang)).mapInArrow(run, EDGES)
+    return texts.mapInArrow(run, EDGES)
 
 
 def edges_by_join(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -161,9 +219,8 @@ def edges_by_join(docs: DataFrame, words: DataFrame, text: str = "text", lang: s
     still = [reduce(lambda a, b: a & b, (F.col(f"w{j}") % 2 == 1 for j in range(1, i + 1))).cast("long") for i in (2, 3, 4)]
     ids = [F.shiftright(f"w{i}", 1) for i in range(1, LONGEST + 1)]
     depth = F.lit(2).cast("long") + still[0] + still[1] + still[2]
-    deals = F.xxhash64(*(F.when(depth > i, x).otherwise(0) for i, x in enumerate(ids)))
     k1, k2 = (F.shiftleft(ids[i], BITS).bitwiseOR(ids[i + 1]) for i in (0, 2))
-    return ahead.select(deals.alias("part"), k1.alias("k1"), k2.alias("k2"), F.shiftleft(ids[4], 3).bitwiseOR(depth).alias("k3"), F.lit(1).cast("long").alias("n"))
+    return ahead.select(k1.alias("k1"), k2.alias("k2"), F.shiftleft(ids[4], 3).bitwiseOR(depth).alias("k3"), F.lit(1).cast("long").alias("n"))
 
 
 class Level:
@@ -212,8 +269,11 @@ def grams(edges: DataFrame, least: int = LEAST) -> DataFrame:
             if level.open:
                 yield frequent(level, tuple(level.open))
 
-    dealt = edges.repartition(shuffle_partitions(session(edges.sparkSession)), "part").sortWithinPartitions("k1", "k2", "k3")
-    sums = dealt.select("k1", "k2", "k3", "n").mapInArrow(run, "k1 long, k2 long, k3 long, n long")
+    depth = F.col("k3").bitwiseAND(7)
+    third, fourth, fifth = F.shiftright("k2", BITS), F.col("k2").bitwiseAND(_MASK), F.shiftright("k3", 3)
+    deals = [F.col("k1"), *(F.when(depth > i, w).otherwise(0) for i, w in ((2, third), (3, fourth), (4, fifth)))]
+    dealt = edges.repartition(shuffle_partitions(session(edges.sparkSession)), *deals).sortWithinPartitions("k1", "k2", "k3")
+    sums = dealt.mapInArrow(run, "k1 long, k2 long, k3 long, n long")
     whole = sums.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = [F.shiftright("k1", BITS), F.col("k1").bitwiseAND(_MASK), F.shiftright("k2", BITS), F.col("k2").bitwiseAND(_MASK), F.col("k3")]
     return whole.select(F.filter(F.array(*words), lambda x: x > 0).alias("ids"), "f")
@@ -248,7 +308,7 @@ def collocations(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = max(1, int(total * HOT / shuffle_partitions(session(docs.sparkSession))))
     words = cut(numbered(counted.where(F.col("n") >= least)).withColumn("hot", F.col("n") >= hot), "vocabulary")
-    found = cut(grams(edges(docs, words, text, lang), least), "grams")
+    found = cut(grams(edges(docs, words, total, least, text, lang), least), "grams")
     counts = found.unionByName(words.select(F.array("id").alias("ids"), F.col("n").alias("f")))
 
     kept = found.join(on_unary_path(found), "ids", "left_anti").withColumn("id", F.col("ids")[0])

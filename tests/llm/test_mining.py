@@ -180,8 +180,8 @@ def brute_collocations(docs, least):
 @pytest.mark.parametrize(("chunk", "words", "broadcast"), [(1 << 21, 400_000, 1 << 20), (60, 5, 1 << 20), (1 << 21, 400_000, 0)])
 @pytest.mark.parametrize("hot", [1 / 16, 100.0])
 def test_collocations_against_brute_force(spark, monkeypatch, chunk, words, broadcast, hot):
-    """Also in small chunks, without the broadcast of words, and with and without hot words."""
-    for name, value in (("CHUNK", chunk), ("WORDS", words), ("BROADCAST_WORDS", broadcast), ("HOT", hot)):
+    """Also in small chunks, without the broadcast of words, with and without hot words, with few counters of pairs."""
+    for name, value in (("CHUNK", chunk), ("WORDS", words), ("BROADCAST_WORDS", broadcast), ("HOT", hot), ("COUNTERS", (9 if hot == 100.0 else 16, 28))):
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(3)
     common = [f"c{i}" for i in range(6)]
