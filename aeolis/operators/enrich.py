@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,12 @@ def attach_geo(panel: DataFrame, stations: DataFrame | None = None, districts: D
     return panel
 
 
+def station_places(stations: DataFrame, districts: DataFrame | None = None) -> DataFrame:
+    """One row a station with its district and, by it, its city: where panels join and from which their places come."""
+    once = stations.dropDuplicates(["station_id"])
+    return once if districts is None else join_new_columns(once, districts.dropDuplicates(["district_id"]), ["district_id"])
+
+
 def join_new_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A left join that adds only columns that left doesn't have."""
     new = [c for c in right.columns if c not in left.columns]
@@ -79,38 +87,77 @@ def split_by_membership(df: DataFrame, geo: str, districts: DataFrame, cities: D
     return inside(districts), inside(cities)
 
 
-def geo_slice(df: DataFrame, panel: DataFrame, geo: str, time: str, districts: str = "district_id", cities: str = "city_id") -> DataFrame:
-    """Weather rows that the panel can use: its geo ids, within its time range."""
-    ids = union_ids(panel.select(F.col(districts)), panel.select(F.col(cities))).withColumnRenamed("id", geo)
-    span = time_range(panel, time)  # one row
-    return df.join(ids, geo, "left_semi").join(F.broadcast(span), df[time].between(span.min_time, span.max_time), "left_semi")
+def geo_slice(df: DataFrame, places: DataFrame, span: DataFrame, geo: str, time: str, districts: str = "district_id", cities: str = "city_id") -> DataFrame:
+    """Weather rows that a panel can use: of its places (district, city), within its time range.
+
+    places may be the dimensions' and span the panel before any join, so that neither needs the
+    panel twice. The range is a scalar subquery: it runs first and, where `time` is a column of a
+    file, is pushed into its scan.
+    """
+    first, last = span_of(span, time)
+    return of_places(df.where(F.col(time).between(first, last)), places, geo, districts, cities)
+
+
+def span_of(df: DataFrame, time: str) -> tuple[Column, Column]:
+    """The first and last time of df, as scalar subqueries; both come from one aggregate."""
+    ends = time_range(df, time)
+    return ends.select("min_time").scalar(), ends.select("max_time").scalar()
 
 
-def join_by_geo(
-    panel: DataFrame,
-    by_district: DataFrame,
-    by_city: DataFrame,
-    measures: Sequence[str],
-    time: str = "Datetime",
-    order: Sequence[str] = (),
-) -> DataFrame:
-    """Adds measures by (district, time), or by (city, time) for stations whose district has no rows at all.
+def of_places(df: DataFrame, places: DataFrame, geo: str, districts: str = "district_id", cities: str = "city_id") -> DataFrame:
+    """Rows whose geo id is one of the places' districts or cities."""
+    ids = places.select(F.explode(F.array(districts, cities)).alias(geo)).where(F.col(geo).isNotNull()).distinct()
+    return df.join(ids, geo, "left_semi")
 
-    Both tables are (geo_id, time, ...); of several rows a key the last by `order` counts. The
-    choice is made once a station: one that has any row in its district never takes the city's.
-    Measures that the panel has are left as they are.
+
+class Source(NamedTuple):
+    """Rows (geo_id, time, ...) to look up, of districts and cities alike.
+
+    Of several rows a place and time the last by `order` counts, without it the greatest.
     """
-    new = [m for m in measures if m not in panel.columns]
-    if not new:
-        return panel
-    d = latest_per_key(by_district.select("geo_id", time, *dict.fromkeys([*new, *order])), ["geo_id", time], order or new)
-    c = latest_per_key(by_city.select("geo_id", time, *dict.fromkeys([*new, *order])), ["geo_id", time], order or new)
-    known = by_district.select(F.col("geo_id").alias("district_id"), F.lit(True).alias("_known")).distinct()
-    d = d.select(F.col("geo_id").alias("district_id"), time, F.struct(*new).alias("_d"))
-    c = c.select(F.col("geo_id").alias("city_id"), time, F.struct(*new).alias("_c"))
-    joined = panel.join(known, "district_id", "left").join(d, ["district_id", time], "left").join(c, ["city_id", time], "left")
-    picked = [F.when(F.col("_known"), F.col("_d")[m]).otherwise(F.col("_c")[m]).alias(m) for m in new]
-    return joined.select(*panel.columns, *picked)
+
+    rows: DataFrame
+    measures: Sequence[str]
+    order: Sequence[str] = ()
+
+
+def lookup(source: Source, places: DataFrame, time: str = "Datetime") -> DataFrame:
+    """(district_id, city_id, time, row): what each place takes from a source at each time.
+
+    One aggregate keeps the last row of each geo id and time, whatever its grain; each place then
+    gets its district's and its city's rows. A district with any row at all takes its own and
+    never its city's, which a window over a place's times decides, so the source is read once.
+    """
+    pairs = places.select("district_id", "city_id").distinct()
+    row = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(source.order)), F.struct(*source.measures).alias("row"))
+    last = of_places(source.rows, pairs, "geo_id").groupBy("geo_id", time).agg(F.max(row)["row"].alias("row"))
+    grains = F.array(*(F.struct(F.col(f"{of}_id").alias("geo_id"), F.lit(of == "district").alias("_own")) for of in ("district", "city")))
+    reach = pairs.select("district_id", "city_id", F.inline(grains))
+    owned = F.max("_own").over(Window.partitionBy("district_id", "city_id"))
+    return last.join(reach, "geo_id").withColumn("_owned", owned).where("_own = _owned").select("district_id", "city_id", time, "row")
+
+
+def join_places(panel: DataFrame, sources: Sequence[Source], places: DataFrame | None = None, time: str = "Datetime") -> DataFrame:
+    """Adds the sources' measures by place (district_id, city_id) and time.
+
+    All sources are joined by the same keys, so the panel is dealt out once, if at all. places
+    are the panel's places, to be had from the dimensions; else they are taken from the panel.
+    Measures that the panel or an earlier source has are left as they are.
+    """
+    places, keys = panel if places is None else places, ("district_id", "city_id", time)
+    for s in sources:
+        new = [m for m in s.measures if m not in panel.columns]
+        if new:
+            found = lookup(s._replace(measures=new), places, time)
+            right = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col("row")[m].alias(m) for m in new))
+            same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+            panel = panel.join(right, same, "left").drop(*(f"_{k}" for k in keys))
+    return panel
+
+
+def join_by_geo(panel: DataFrame, rows: DataFrame, measures: Sequence[str], places: DataFrame | None = None, time: str = "Datetime", order: Sequence[str] = ()) -> DataFrame:
+    """Adds measures by (district, time), or by (city, time) for stations whose district has no rows at all; see join_places."""
+    return join_places(panel, [Source(rows, measures, order)], places, time)
 
 
 def join_by_hour(panel: DataFrame, weather: DataFrame, measures: Sequence[str], time: str = "Datetime", order: Sequence[str] = ()) -> DataFrame:
@@ -120,19 +167,9 @@ def join_by_hour(panel: DataFrame, weather: DataFrame, measures: Sequence[str],
     return join_new_columns(panel, once.select(time, *new), [time])
 
 
-def join_forecast(
-    panel: DataFrame,
-    by_district: DataFrame,
-    by_city: DataFrame,
-    measures: Sequence[str],
-    time: str = "Datetime",
-    issue: str = "time_forecast",
-    issued_before: bool = False,
-) -> DataFrame:
-    """Adds a forecast for each hour, the latest issued one; with issued_before none issued after its hour."""
-    if issued_before:
-        by_district, by_city = (t.where(F.col(issue) <= F.col(time)) for t in (by_district, by_city))
-    return join_by_geo(panel, by_district, by_city, measures, time, [issue, *measures])
+def forecast_source(rows: DataFrame, measures: Sequence[str], issue: str = "time_forecast", issued_before: bool = False, time: str = "Datetime") -> Source:
+    """A forecast for each place and hour, the latest issued one; with issued_before none issued after its hour."""
+    return Source(rows.where(F.col(issue) <= F.col(time)) if issued_before else rows, measures, [issue])
 
 
 def number_rows(df: DataFrame, by: str, order: Sequence[str], name: str = "rn") -> DataFrame:

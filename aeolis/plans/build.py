@@ -12,8 +12,23 @@ from ..functions.schema import AIR_ALIASES, FORECAST_ALIASES, MET_ALIASES, canon
 from ..operators import enrich, features
 
 
-def _hour(c: str) -> Column:
-    return floor_hour(parse_ts(F.col(c)))
+def _hour(c: Column, kind: str) -> Column:
+    return floor_hour(c.cast("timestamp_ntz") if kind.startswith(("timestamp", "date")) else parse_ts(c))
+
+
+def _in_hours(df: DataFrame, span: tuple[Column, Column], geo: bool) -> DataFrame:
+    """Rows of the span's hours, with Datetime as the hour and, if geo, geo_id as text.
+
+    Times of files are compared as they stand, so that the scan can skip what lies outside; what
+    has to be parsed is parsed once a row, not once for each comparison.
+    """
+    kind = dict(df.dtypes)["Datetime"]
+    if kind.startswith("timestamp"):
+        df = df.where((F.col("Datetime") >= span[0]) & (F.col("Datetime") < span[1] + F.expr("interval 1 hour")))
+    made = [_hour(F.col("Datetime"), kind).alias("Datetime")] + [norm_id(F.col("geo_id")).alias("geo_id")] * geo
+    others = [c for c in df.columns if c != "Datetime" and not (geo and c == "geo_id")]
+    # a generated row: filters on it stay above, where its columns are there
+    return df.select(*others, F.inline(F.array(F.struct(*made)))).where(F.col("Datetime").between(*span))
 
 
 def build_panel(
@@ -32,45 +47,46 @@ def build_panel(
 
     air is the backbone; keep (station ids) limits it. Dimensions are canonical (see
     sources.tables.dimension). Weather and forecast rows of the panel's places and hours are
-    split by whether their place is a known district or a known city, and joined by district or
-    else by city; tables without a place are joined by the hour. Of several rows a place and
-    hour the last by weather_order (or by value) counts, of forecasts the latest issued one.
-    future: the forecast's column of hours, if not by alias.
+    looked up by district or else by city; tables without a place are joined by the hour. Of
+    several rows a place and hour the last by weather_order (or by value) counts, of forecasts
+    the latest issued one. future: the forecast's column of hours, if not by alias.
+
+    cities adds nothing to a panel of one row a station and hour, and is taken for completeness.
+    Air rows are coalesced before anything is joined to them, as all of it depends on station
+    and hour alone. Places come from the dimensions and the range of hours from air, so each
+    source is read once, and air once more for its range.
     """
-    panel = canonicalize(air, AIR_ALIASES)
-    panel = panel.withColumns({"station_id": norm_id(F.col("station_id")), "Datetime": _hour("Datetime")})
+    raw = canonicalize(air, AIR_ALIASES)
+    raw = raw.withColumns({"station_id": norm_id(F.col("station_id")), "Datetime": _hour(F.col("Datetime"), dict(raw.dtypes)["Datetime"])})
     if keep is not None:
-        panel = features.scope(panel, keep)
-    panel = enrich.attach_geo(panel, stations, districts, cities)
-    known = (
-        [t.select(c) for t, c in ((stations, "district_id"), (districts, "district_id")) if t is not None],
-        [t.select(c) for t, c in ((districts, "city_id"), (cities, "city_id")) if t is not None],
-    )
-    located = "district_id" in panel.columns and "city_id" in panel.columns
+        raw = features.scope(raw, keep)
+    panel = enrich.coalesce_station_time(raw)
+    located = False
+    if stations is not None:
+        geo = enrich.station_places(stations, districts)
+        located = {"district_id", "city_id"} <= {*geo.columns}
+        panel = enrich.join_new_columns(panel, geo, ["station_id"])
+    span, sources = enrich.span_of(raw, "Datetime"), []
+
+    def add(rows: DataFrame, keys: Sequence[str], order: Sequence[str], by_place: bool) -> None:
+        nonlocal panel
+        rows, measures = _in_hours(rows, span, by_place), [c for c in rows.columns if c not in keys]
+        if issued_before and "time_forecast" in keys and by_place:
+            rows = rows.where(F.col("time_forecast") <= F.col("Datetime"))
+        if by_place:
+            sources.append(enrich.Source(rows, measures, order))
+        else:
+            panel = enrich.join_by_hour(panel, rows, measures, order=order)
+
     if weather is not None:
         met = canonicalize(weather, MET_ALIASES)
-        met = met.withColumn("Datetime", _hour("Datetime"))
-        measures = [c for c in met.columns if c not in ("geo_id", "Datetime")]
-        if located and "geo_id" in met.columns:
-            panel = enrich.join_by_geo(panel, *_by_grain(met, panel, known), measures, order=weather_order)
-        else:
-            panel = enrich.join_by_hour(panel, met, measures, order=weather_order)
+        add(met, ("geo_id", "Datetime"), weather_order, located and "geo_id" in met.columns)
     if forecast is not None:
         hours = future_time(forecast, future, FORECAST_ALIASES["Datetime"])
         coming = canonicalize(forecast.withColumnRenamed(hours, "Datetime"), {k: v for k, v in FORECAST_ALIASES.items() if k != "Datetime"})
-        coming = coming.withColumn("Datetime", _hour("Datetime"))
-        if "time_forecast" in coming.columns:
+        issued = "time_forecast" in coming.columns
+        if issued:
             coming = coming.withColumn("time_forecast", parse_ts(F.col("time_forecast")))
-        measures = [c for c in coming.columns if c not in ("geo_id", "Datetime", "time_forecast")]
-        if located and {"geo_id", "time_forecast"} <= set(coming.columns):
-            panel = enrich.join_forecast(panel, *_by_grain(coming, panel, known), measures, issued_before=issued_before)
-        else:
-            panel = enrich.join_by_hour(panel, coming, measures, order=[c for c in ("time_forecast",) if c in coming.columns])
-    return enrich.coalesce_station_time(panel)
-
-
-def _by_grain(rows: DataFrame, panel: DataFrame, known: tuple[list[DataFrame], list[DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Rows that the panel can use, of known districts and of known cities."""
-    used = enrich.geo_slice(rows.withColumn("geo_id", norm_id(F.col("geo_id"))), panel, "geo_id", "Datetime")
-    ids = [t[0] if len(t) == 1 else enrich.union_ids(*t) for t in known]
-    return enrich.split_by_membership(used, "geo_id", *ids)
+        keys = ("geo_id", "Datetime", "time_forecast")
+        add(coming, keys, ["time_forecast"] if issued else [], located and issued and "geo_id" in coming.columns)
+    return enrich.join_places(panel, sources, geo if located else None)

@@ -79,21 +79,24 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("Datetime", F.col("l_shipdate").cast("timestamp_ntz"))
 
 
-def weather(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """By district (even nations only) and by city."""
-    rows = _shipments(spark, sf_dir)
-    measures = (F.avg("l_quantity").alias("temperature"), F.avg("l_discount").alias("humidity"))
-    d = rows.where("s_nationkey % 2 = 0").groupBy(F.concat(F.lit("d"), F.col("s_nationkey").cast("string")).alias("geo_id"), "Datetime").agg(*measures)
-    c = rows.groupBy(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("geo_id"), "Datetime").agg(*measures)
-    return d, c
+def _by_place(rows: DataFrame) -> DataFrame:
+    """Each shipment as a row of its nation (even ones only) and of its region, in one pass."""
+    district = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("d"), F.col("s_nationkey").cast("string")))
+    city = F.concat(F.lit("c"), F.col("n_regionkey").cast("string"))
+    return rows.withColumn("geo_id", F.explode(F.array(district, city))).where("geo_id is not null")
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(geo_id, Datetime, temperature, humidity) by district (even nations only) and by city."""
+    rows = _by_place(_shipments(spark, sf_dir).select("Datetime", "s_nationkey", "n_regionkey", "l_quantity", "l_discount"))
+    return rows.groupBy("geo_id", "Datetime").agg(F.avg("l_quantity").alias("temperature"), F.avg("l_discount").alias("humidity"))
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(geo_id, Datetime, time_forecast, up_temperature) by district (even nations only) and by city."""
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp_ntz").alias("time_forecast"))
-    rows = _shipments(spark, sf_dir).join(o, "l_orderkey").withColumn("up_temperature", F.col("l_extendedprice"))
-    of = lambda geo: rows.select(geo.alias("geo_id"), "Datetime", "time_forecast", "up_temperature")
-    even = rows.where("s_nationkey % 2 = 0").select(F.concat(F.lit("d"), F.col("s_nationkey").cast("string")).alias("geo_id"), "Datetime", "time_forecast", "up_temperature")
-    return even, of(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")))
+    rows = _by_place(_shipments(spark, sf_dir).join(o, "l_orderkey"))
+    return rows.select("geo_id", "Datetime", "time_forecast", F.col("l_extendedprice").alias("up_temperature"))
 
 
 AIR = """WITH air AS (

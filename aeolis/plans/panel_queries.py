@@ -174,9 +174,9 @@ SELECT o_orderkey, round(CASE WHEN k.geo_id IS NOT NULL THEN d.temperature ELSE
 FROM air a LEFT JOIN known k ON k.geo_id = a.district_id LEFT JOIN met_d d ON d.geo_id = a.district_id AND d."Datetime" = a."Datetime"
 LEFT JOIN met_c c ON c.geo_id = a.city_id AND c."Datetime" = a."Datetime" """)
 def weather_join_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
-    both = weather(spark, sf_dir)
-    return rounded(enrich.join_by_geo(full, *both, ["temperature", "humidity"]).select("o_orderkey", "temperature", "humidity"))
+    places = enrich.station_places(*geography(spark, sf_dir)[:2])
+    full = enrich.join_new_columns(air(spark, sf_dir), places, ["station_id"])
+    return rounded(enrich.join_by_geo(full, weather(spark, sf_dir), ["temperature", "humidity"], places=places).select("o_orderkey", "temperature", "humidity"))
 
 
 _FORECAST = """, fd AS (
@@ -191,8 +191,9 @@ LEFT JOIN lc c ON c.geo_id = a.city_id AND c."Datetime" = a."Datetime" """
 
 
 def _forecast(spark: SparkSession, sf_dir: str, issued_before: bool) -> DataFrame:
-    full = enrich.attach_geo(air(spark, sf_dir), *geography(spark, sf_dir))
-    return enrich.join_forecast(full, *forecasts(spark, sf_dir), ["up_temperature"], issued_before=issued_before).select("o_orderkey", "up_temperature")
+    places = enrich.station_places(*geography(spark, sf_dir)[:2])
+    source = enrich.forecast_source(forecasts(spark, sf_dir), ["up_temperature"], issued_before=issued_before)
+    return enrich.join_places(enrich.join_new_columns(air(spark, sf_dir), places, ["station_id"]), [source], places).select("o_orderkey", "up_temperature")
 
 
 @query(AIR + _FORECAST.format(when="true"))
@@ -208,7 +209,7 @@ def forecast_join_issued_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(AIR + """, h AS (SELECT "Datetime", max(geo_id) AS geo_id FROM met_c GROUP BY 1)
 SELECT o_orderkey, round(m.temperature, 6) AS temperature FROM air a LEFT JOIN h USING ("Datetime") LEFT JOIN met_c m ON m.geo_id = h.geo_id AND m."Datetime" = a."Datetime" """)
 def weather_hour_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = enrich.join_by_hour(air(spark, sf_dir), weather(spark, sf_dir)[1], ["temperature"], order=["geo_id"])
+    out = enrich.join_by_hour(air(spark, sf_dir), weather(spark, sf_dir).where("geo_id like 'c%'"), ["temperature"], order=["geo_id"])
     return rounded(out.select("o_orderkey", "temperature"))
 
 
@@ -219,19 +220,18 @@ SELECT geo_id, count(*) AS n, round(sum(temperature), 4) AS total FROM (FROM met
 def weather_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = air(spark, sf_dir)
     counts = rows.groupBy("station_id").agg(F.count("*").alias("n"))
-    busy = counts.join(F.broadcast(counts.agg(F.max("n").alias("most"))), F.expr("2 * n > most"), "left_semi")  # one row
-    few = enrich.attach_geo(features.scope(rows, busy.select("station_id")), *geography(spark, sf_dir))
-    d, c = weather(spark, sf_dir)
-    return enrich.geo_slice(d.unionByName(c), few, "geo_id", "Datetime").groupBy("geo_id").agg(F.count("*").alias("n"), F.round(F.sum("temperature"), 4).alias("total"))
+    busy = counts.where(2 * F.col("n") > counts.agg(F.max("n")).scalar()).select("station_id")
+    stations, districts, _ = geography(spark, sf_dir)
+    places = enrich.station_places(features.scope(stations, busy), districts)
+    return enrich.geo_slice(weather(spark, sf_dir), places, features.scope(rows, busy), "geo_id", "Datetime").groupBy("geo_id").agg(F.count("*").alias("n"), F.round(F.sum("temperature"), 4).alias("total"))
 
 
 @query(AIR + """, m AS (FROM met_d UNION ALL FROM met_c)
 SELECT 'district' AS grain, geo_id, count(*) AS n FROM m WHERE geo_id IN (SELECT 'd' || n_nationkey FROM nation) GROUP BY 2
 UNION ALL SELECT 'city', geo_id, count(*) FROM m WHERE geo_id IN (SELECT 'c' || r_regionkey FROM region) GROUP BY 2""")
 def geo_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, c = weather(spark, sf_dir)
     _, districts, cities = geography(spark, sf_dir)
-    in_d, in_c = enrich.split_by_membership(d.unionByName(c), "geo_id", districts.select("district_id"), cities)
+    in_d, in_c = enrich.split_by_membership(weather(spark, sf_dir), "geo_id", districts.select("district_id"), cities)
     n = lambda df, grain: df.groupBy("geo_id").agg(F.count("*").alias("n")).select(F.lit(grain).alias("grain"), "geo_id", "n")
     return n(in_d, "district").unionByName(n(in_c, "city"))
 
@@ -258,10 +258,8 @@ def build_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from tables under raw headers, with ids and times as raw files have them."""
     text = lambda c: stamp(c)
     raw_air = air(spark, sf_dir).select(F.concat("station_id", F.lit(".0")).alias("Station ID"), text("Datetime").alias("Time"), F.col("y").alias("PM2.5"))
-    met = weather(spark, sf_dir)
-    raw_met = met[0].unionByName(met[1]).select(F.concat(F.lit(" "), "geo_id").alias("ID"), text("Datetime").alias("timestamp"), F.col("temperature").alias("Temp"), F.col("humidity").alias("RH"))
-    coming = forecasts(spark, sf_dir)
-    raw_coming = coming[0].unionByName(coming[1]).select(
+    raw_met = weather(spark, sf_dir).select(F.concat(F.lit(" "), "geo_id").alias("ID"), text("Datetime").alias("timestamp"), F.col("temperature").alias("Temp"), F.col("humidity").alias("RH"))
+    raw_coming = forecasts(spark, sf_dir).select(
         F.col("geo_id").alias("ID"), text("time_forecast").alias("Forecast Time"), text("Datetime").alias("FutureTime"), F.col("up_temperature").alias("temp_hi")
     )
     return rounded(build.build_panel(raw_air, *geography(spark, sf_dir), raw_met, raw_coming))

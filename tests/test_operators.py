@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -16,6 +17,7 @@ from aeolis.functions.columns import finite, norm_id, parse_num, parse_ts
 from aeolis.functions.schema import AIR_ALIASES, canonicalize, feature_lock
 from aeolis.operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
 from aeolis.plans import panel_queries
+from aeolis.plans import build
 from aeolis.sources import tables
 
 
@@ -118,7 +120,7 @@ def test_geo_fallback_is_by_station(spark):
     panel = spark.createDataFrame([("a", at(0), "d1", "c1"), ("a", at(1), "d1", "c1"), ("b", at(0), "d2", "c1")], "station_id string, Datetime timestamp_ntz, district_id string, city_id string")
     d = spark.createDataFrame([("d1", at(0), 1.0), ("d1", at(0), 2.0)], "geo_id string, Datetime timestamp_ntz, t double")
     c = spark.createDataFrame([("c1", at(0), 10.0), ("c1", at(1), 11.0)], "geo_id string, Datetime timestamp_ntz, t double")
-    got = {(r.station_id, r.Datetime): r.t for r in enrich.join_by_geo(panel, d, c, ["t"]).collect()}
+    got = {(r.station_id, r.Datetime): r.t for r in enrich.join_by_geo(panel, d.union(c), ["t"]).collect()}
     assert got == {("a", at(0)): 2.0, ("a", at(1)): None, ("b", at(0)): 10.0}
 
 
@@ -254,3 +256,28 @@ def test_percentiles_of_nothing_and_of_no_number(spark):
     assert got.a == [None, None] and got.b == [2.0, math.inf]
     assert quantiles.quantiles(df.limit(0), {"b": F.col("b")}, (0.5,)).first().b == [None]
     assert distrib.bin_range(df.limit(0), "b").first()[:] == (-1.0, 1.0)
+
+
+def test_build_reads_each_source_once(spark, tmp_path):
+    """And air once more for its hours; no nested loop, and the panel meets places by equality."""
+    rows = {
+        "air": [("a.0", "2024-01-01 05:10:00", 1.0), ("a", "2024-01-01 05:50:00", 3.0), ("b", "2024-01-01 06:00:00", 5.0), ("c", "bad", 1.0)],
+        "met": [("d1", "2024-01-01 05:00:00", 7.0), ("c1", "2024-01-01 05:00:00", 8.0), ("c1", "2024-01-01 06:30:00", 9.0), ("c1", "2024-01-02 06:00:00", 0.0), ("zz", "2024-01-01 05:00:00", 0.0)],
+        "fore": [("c1", "2024-01-01 03:00:00", "2024-01-01 05:00:00", 1.0), ("c1", "2024-01-01 04:00:00", "2024-01-01 05:00:00", 2.0)],
+        "sta": [("a", "d1"), ("b", "d2"), ("c", None)],
+        "dis": [("d1", "c1"), ("d2", "c1")],
+    }
+    heads = {"air": "station string, Time string, `PM2.5` double", "met": "ID string, Time string, RH double", "fore": "ID string, ForecastTime string, FutureTime string, temp_hi double"}
+    heads |= {"sta": "station_id string, district_id string", "dis": "district_id string, city_id string"}
+    for name, made in rows.items():
+        spark.createDataFrame(made, heads[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in rows}
+    out = build.build_panel(t["air"], t["sta"], t["dis"], None, t["met"], t["fore"])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    reads = {n: sum(f"{c}#" in s for s in scans) for n, c in (("met", "RH"), ("fore", "temp_hi"), ("air", "PM2.5"))}
+    assert reads == {"met": 1, "fore": 1, "air": 1} and "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r.station_id, r.Datetime.hour): (r.PM25_Concentration, r.humidity, r.up_temperature, r.city_id) for r in out.collect()}
+    assert got == {("a", 5): (2.0, 7.0, 2.0, "c1"), ("b", 6): (5.0, 9.0, None, "c1")}
+    early = build.build_panel(t["air"], t["sta"], t["dis"], None, None, t["fore"], issued_before=True).where("station_id = 'a'").first()
+    assert early.up_temperature == 2.0
