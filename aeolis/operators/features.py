@@ -14,31 +14,32 @@ LAGS = (1, 3, 6, 12, 24, 48)
 WIDTHS = (6, 12, 24, 48, 72, 168)
 
 
-def in_order(by: str, order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(by).orderBy(*order)
+def in_order(by: str | Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """by: a station, or the keys of a piece of one (see slices)."""
+    return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
 
 
-def lag_columns(y: str, hours: Sequence[int], by: str, order: Sequence[str], name: str = "{y}_lag{h}h") -> dict[str, Column]:
+def lag_columns(y: str, hours: Sequence[int], by: str | Sequence[str], order: Sequence[str], name: str = "{y}_lag{h}h") -> dict[str, Column]:
     w = in_order(by, order)
     return {name.format(y=y, h=h): F.lag(y, h).over(w) for h in hours}
 
 
-def lags(df: DataFrame, y: str, hours: Sequence[int] = LAGS, order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
+def lags(df: DataFrame, y: str, hours: Sequence[int] = LAGS, order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id") -> DataFrame:
     """Adds {y}_lag{h}h: y so many rows (not clock hours) before."""
     return df.withColumns(lag_columns(y, hours, by, order))
 
 
-def lag_matrix(df: DataFrame, y: str, length: int, order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
+def lag_matrix(df: DataFrame, y: str, length: int, order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id") -> DataFrame:
     """Adds {y}_lag1 ... {y}_lag{length}."""
     return df.withColumns(lag_columns(y, range(1, length + 1), by, order, "{y}_lag{h}"))
 
 
-def lead_target(df: DataFrame, y: str, horizon: int, order: Sequence[str] = ("Datetime",), by: str = "station_id", name: str = "y_true") -> DataFrame:
+def lead_target(df: DataFrame, y: str, horizon: int, order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id", name: str = "y_true") -> DataFrame:
     """Adds y so many rows ahead."""
     return df.withColumn(name, F.lead(y, horizon).over(in_order(by, order)))
 
 
-def rolling_columns(cols: Sequence[str], widths: Sequence[int], by: str, order: Sequence[str], closed: str = "current") -> dict[str, Column]:
+def rolling_columns(cols: Sequence[str], widths: Sequence[int], by: str | Sequence[str], order: Sequence[str], closed: str = "current") -> dict[str, Column]:
     """closed "current": the last w rows with this one, from w // 2 values on, sample std.
     closed "past": the w rows before this one, from one value on, population std."""
     w, out = in_order(by, order), {}
@@ -54,7 +55,7 @@ def rolling_columns(cols: Sequence[str], widths: Sequence[int], by: str, order:
     return out
 
 
-def rolling(df: DataFrame, cols: Sequence[str], widths: Sequence[int] = WIDTHS, closed: str = "current", order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
+def rolling(df: DataFrame, cols: Sequence[str], widths: Sequence[int] = WIDTHS, closed: str = "current", order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id") -> DataFrame:
     """Adds rolling means and standard deviations; all of them share one sort of the station."""
     return df.withColumns(rolling_columns(cols, widths, by, order, closed))
 

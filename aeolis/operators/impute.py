@@ -13,13 +13,13 @@ from pyspark.sql import types as T
 from .features import in_order
 
 
-def ffill(df: DataFrame, cols: Sequence[str], limit: int = 6, order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
+def ffill(df: DataFrame, cols: Sequence[str], limit: int = 6, order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id") -> DataFrame:
     """The last value of the `limit` rows before."""
     w = in_order(by, order).rowsBetween(-limit, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
-def fill_past_mean(df: DataFrame, cols: Sequence[str], width: int = 24, order: Sequence[str] = ("Datetime",), by: str = "station_id") -> DataFrame:
+def fill_past_mean(df: DataFrame, cols: Sequence[str], width: int = 24, order: Sequence[str] = ("Datetime",), by: str | Sequence[str] = "station_id") -> DataFrame:
     """The mean of the `width` rows before."""
     w = in_order(by, order).rowsBetween(-width, -1)
     return df.withColumns({c: F.coalesce(c, F.avg(c).over(w)) for c in cols})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite
+from . import slices
 from .features import in_order
 
 LOOKBACK, STRIDE, MIN_RATIO = 168, 3, 0.75
@@ -25,26 +26,33 @@ def window_index(
     order: Sequence[str] = ("Datetime",),
     by: str = "station_id",
     split: str | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """(station, [split,] horizon, start, target_time, y, valid_ratio): a row a window.
 
     Windows start at every stride-th row of a station (of a split) and hold `lookback` rows; y
     stands `horizon` rows behind the last. One without a finite y, or with a smaller share of
-    finite cells than min_ratio (on the data as they are), is dropped.
+    finite cells than min_ratio (on the data as they are), is dropped. With `size` a station is
+    cut into slices of so many rows (see slices), each with the rows that its windows reach ahead.
     """
-    keys = [by, split] if split else [by]
+    keys, there = [by, split] if split else [by], F.lit(True)
     w = Window.partitionBy(*keys).orderBy(*order)
+    place, whole, df = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*keys)), df.select(*keys, *dict.fromkeys([*order, y, *cols]))
+    if size:
+        numbered = slices.number_rows(df.withColumn("_series", F.struct(*keys)), order, "_series", count="_n")
+        df = slices.with_halo(numbered, 0, lookback - 1 + max(horizons), size)
+        w, place, whole, there = Window.partitionBy("_series", "_slice").orderBy("_rn"), F.col("_rn"), F.col("_n"), F.col("_own")
     cells = sum((finite(F.col(c)).cast("int") for c in cols), F.lit(0))
     ahead = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead(y, lookback - 1 + h).over(w).cast("double").alias("y"), F.lead(order[0], lookback - 1 + h).over(w).alias("target_time")) for h in horizons))
-    rows = df.select(*keys, *dict.fromkeys([*order, y, *cols])).withColumn("_cells", cells)
-    rows = rows.select(
+    rows = df.withColumn("_cells", cells).select(
         *keys,
-        (F.row_number().over(w) - 1).cast("long").alias("start"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
+        place.cast("long").alias("start"),
+        whole.alias("n"),
+        there.alias("_there"),
         (F.sum("_cells").over(w.rowsBetween(0, lookback - 1)) / (lookback * len(cols))).alias("valid_ratio"),
         ahead.alias("ahead"),
     )
-    rows = rows.where(F.col("start") % stride == 0).select(*keys, "start", "n", "valid_ratio", F.explode("ahead").alias("a"))
+    rows = rows.where("_there").where(F.col("start") % stride == 0).select(*keys, "start", "n", "valid_ratio", F.explode("ahead").alias("a"))
     good = (F.col("start") <= F.col("n") - lookback - F.col("a.horizon")) & finite(F.col("a.y")) & (F.col("valid_ratio") >= min_ratio)
     return rows.where(good).select(*keys, F.col("a.horizon").alias("horizon"), "start", F.col("a.target_time").alias("target_time"), F.col("a.y").alias("y"), "valid_ratio")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import floor_hour, norm_id, parse_num, parse_ts
 from ..functions.schema import FORECAST_ALIASES, base_projection, canonicalize, drop_features, feature_lock, future_time
-from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
+from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, slices, split, windows
 from ..sources import tables
 from . import build
 from .lenses import AIR, BY_TIME, CUTS, ORDER, SERIES, SPLIT, TYPES, air, forecasts, geography, load, r6, series, stamp, weather
@@ -476,6 +476,25 @@ def impute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(impute.impute(series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y"), ["y"], order=ORDER).select("event_id", "y"))
 
 
+#: Rows of a slice in the sliced queries: fewer than a series of the test tables has.
+SLICE = 16
+
+
+@query(SERIES + _filled("y", 6, 24) + f"""SELECT event_id, round(y2, 6) AS y, round(lag(y2, 12) OVER ({BY_TIME}), 6) AS y_lag12h, lead(y, 3) OVER ({BY_TIME}) AS y_true,
+  round(CASE WHEN count(y2) OVER w >= 3 THEN avg(y2) OVER w END, 6) AS y_roll6h_mean, round(CASE WHEN count(y2) OVER w >= 3 THEN stddev_samp(y2) OVER w END, 6) AS y_roll6h_std
+  FROM m WINDOW w AS ({BY_TIME} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+def features_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills, lag, lead and rolling of a series in slices of its rows."""
+
+    def made(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        df = features.lead_target(df, "y", 3, order, by)
+        df = impute.fill_past_mean(impute.ffill(df, ["y"], 6, order, by), ["y"], 24, order, by)
+        return features.rolling(features.lags(df, "y", (12,), order, by), ["y"], (6,), "current", order, by)
+
+    s = series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y")
+    return rounded(slices.by_slices(s, made, before=6 + 24 + 12, after=3, size=SLICE, order=ORDER).drop("station_id", "Datetime"))
+
+
 # -- leakage ----------------------------------------------------------------------------------
 #: One lag in ten rows is stored wrong, so that the check has something to find.
 _WRONG = "CASE WHEN event_id % 10 = 0 THEN {x} + 1 ELSE {x} END"
@@ -615,6 +634,11 @@ def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_index(spark, sf_dir, 0.75))
 
 
+@query(_windows(0.75, "station_id, split") + f"SELECT station_id, split, horizon, start, {T('target_time')} AS target_time, y, round(vr, 6) AS valid_ratio FROM i")
+def window_index_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.window_index(panel(spark, sf_dir), "y", ["y", "value"], 12, (1, 3), 3, 0.75, ORDER, split="split", size=SLICE))
+
+
 @query(_windows(1.0) + "SELECT station_id, horizon, start, y FROM i")
 def window_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir, 1.0).select("station_id", "horizon", "start", "y")

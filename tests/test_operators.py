@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from aeolis.functions import quantiles
 from aeolis.functions.columns import finite, norm_id, parse_num, parse_ts
 from aeolis.functions.schema import AIR_ALIASES, canonicalize, feature_lock
-from aeolis.operators import distrib, enrich, features, forecast, impute, quality, scale, score, split, windows
+from aeolis.operators import distrib, enrich, features, forecast, impute, quality, scale, score, slices, split, windows
 from aeolis.plans import panel_queries
 from aeolis.plans import build
 from aeolis.sources import tables
@@ -281,3 +281,65 @@ def test_build_reads_each_source_once(spark, tmp_path):
     assert got == {("a", 5): (2.0, 7.0, 2.0, "c1"), ("b", 6): (5.0, 9.0, None, "c1")}
     early = build.build_panel(t["air"], t["sta"], t["dis"], None, None, t["fore"], issued_before=True).where("station_id = 'a'").first()
     assert early.up_temperature == 2.0
+
+
+def one_hot_station(spark, n=3000, seed=1):
+    """One station with a third of all rows, many small ones, gaps, and a null station."""
+    rng = random.Random(seed)
+    rows = [("hot" if i % 3 == 0 else None if i % 97 == 0 else f"s{rng.randrange(40)}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, None if rng.random() < 0.3 else rng.random()) for i in range(n)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "station_id string, Datetime timestamp_ntz, event_id long, y double").repartition(5)
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_slices_equal_whole_stations(spark, size):
+    df, order = one_hot_station(spark), ["Datetime"]
+
+    def made(df, by, order):
+        df = impute.fill_past_mean(impute.ffill(df, ["y"], 2, order, by), ["y"], 5, order, by)
+        return features.rolling(features.lag_matrix(df, "y", 3, order, by), ["y"], (4,), "past", order, by)
+
+    whole = made(df, "station_id", order)
+    cut = slices.by_slices(df, made, before=2 + 5 + 4, size=size)
+    assert sorted(cut.columns) == sorted(whole.columns) and cut.count() == whole.count()
+    key = lambda r: r.event_id
+    for a, b in zip(sorted(whole.collect(), key=key), sorted(cut.select(whole.columns).collect(), key=key), strict=True):
+        assert all(x == z or abs(x - z) < 1e-12 for x, z in zip(a, b, strict=True) if isinstance(x, float)) and [x is None for x in a] == [x is None for x in b]
+    args = (df, "y", ["y"], 6, (1, 3), 2, 0.5)
+    index = lambda size: sorted(map(str, windows.window_index(*args, size=size).collect()))
+    assert index(size) == index(None) and len(index(size)) > 100
+
+
+def test_no_task_holds_a_station(spark):
+    """Of 3,000 rows 1,000 are one station's; ranges and slices keep pieces small."""
+    numbered = slices.with_halo(slices.number_rows(one_hot_station(spark), parts=8, count="_n"), before=11, size=50)
+    pieces = numbered.groupBy("station_id", "_slice").count()
+    assert pieces.agg(F.max("count")).first()[0] <= 50 + 11
+    hot = numbered.where("station_id = 'hot' and _own")
+    assert [r._rn for r in hot.orderBy("Datetime").collect()] == list(range(1000)) and hot.select("_n").distinct().first()._n == 1000
+    plan = slices.by_slices(one_hot_station(spark), lambda d, by, order: features.lags(d, "y", (1,), order, by), before=1)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(station_id#\d+, _slice", plan) and not re.search(r"hashpartitioning\(station_id#\d+, \d+\)", plan)
+
+
+def test_ridge_long_lookback_in_one_pass(spark):
+    """168 lags and six horizons from one aggregate, as NumPy fits them; values far from zero."""
+    rng = np.random.default_rng(4)
+    y = 1e6 + np.cumsum(rng.normal(size=1500))
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(v)) for i, v in enumerate(y)], "station_id string, Datetime timestamp_ntz, y double")
+    cut = dt.datetime(2024, 1, 1) + dt.timedelta(hours=1200)
+    train, test = df.where(F.col("Datetime") < F.lit(cut)), df.where(F.col("Datetime") >= F.lit(cut))
+    horizons = (1, 3, 6, 12, 24, 48)
+    got = {}
+    for r in forecast.ridge_direct(train, test, "y", horizons).collect():
+        got.setdefault(r.horizon, []).append((r.y_true, r.y_pred))
+    assert sorted(got) == list(horizons)
+
+    def rows(v, h):
+        at = range(168, len(v) - h)
+        return np.array([v[i - 168 : i][::-1] for i in at]), np.array([v[i + h] for i in at])
+
+    for h in horizons:
+        (x, t), (x2, t2) = rows(y[:1200], h), rows(y[1200:], h)
+        w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + np.eye(168), (x - x.mean(0)).T @ (t - t.mean()))
+        want = sorted(zip(t2, t.mean() + (x2 - x.mean(0)) @ w, strict=True))
+        assert np.allclose(sorted(got[h]), want, atol=1e-5)
