@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,50 +11,75 @@ from pyspark.sql.window import Window
 
 #: A sketch is off by at most 1 / ACCURACY of all values; a bracket is MARGIN times as wide on either side.
 ACCURACY, MARGIN = 10_000, 4
+#: Values up to which all of a column are counted in one aggregate.
+WHOLE = 1 << 20
 
 
-def quantiles(df: DataFrame, columns: Mapping[str, Column], points: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+def quantiles(df: DataFrame, columns: Mapping[str, Column], points: Sequence[float], accuracy: int = ACCURACY, whole: int = WHOLE, count: int | None = None) -> DataFrame:
     """One row, with an array of the points' percentiles for each named column (linear between ranks).
 
-    A first pass sketches values just below and above each point. A second one counts what lies
-    outside these brackets and keeps the values inside (about 2 * MARGIN / accuracy of the
-    column a point, equal ones counted together), so that running counts give the exact ranks.
-    Nulls are no values; NaN counts as infinite. Without values the array holds nulls.
+    Up to `whole` values (count says how many there are at most, else they are counted) come from
+    one aggregate. Beyond, a sketch brackets each point, one aggregate counts what lies below each
+    bracket, and only values inside, about 2 * MARGIN / accuracy of the column a point, become
+    rows, equal ones merged; the same again within a bracket while it holds more than `whole`
+    different values. Nulls are no values; NaN counts as infinite. Without values the array holds nulls.
     """
     names = [*columns]
     values = df.select(*(F.when(F.isnan(x.cast("double")), float("inf")).otherwise(x.cast("double")).alias(c) for c, x in columns.items()))
-    margin = MARGIN / accuracy
-    ends = [max(0.0, p - margin) for p in points] + [min(1.0, p + margin) for p in points]
-    sketched = [F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.array(*map(F.lit, ends)), accuracy).alias("ends")).alias(f"_{i}") for i, c in enumerate(names)]
-    brackets = values.agg(*sketched)  # one row
-
-    def placed(i: int) -> Column:
-        """A value's zone rises with it; within a zone all values are inside a bracket, or none."""
-        x = F.col(names[i])
-        lows, highs = ([F.col(f"_{i}.ends")[k + half] for k in range(len(points))] for half in (0, len(points)))
-        zone = sum(((x >= low).cast("int") + (x > high).cast("int") for low, high in zip(lows, highs, strict=True)), F.lit(0))
-        inside = reduce(or_, (x.between(low, high) for low, high in zip(lows, highs, strict=True)))
-        return F.struct(F.lit(i).alias("i"), F.col(f"_{i}.n").alias("all"), zone.alias("zone"), F.when(inside, x).alias("value"), x.alias("x"))
-
-    dealt = values.join(F.broadcast(brackets)).select(F.inline(F.array(*map(placed, range(len(names)))))).where("x is not null")
-    groups = dealt.groupBy("i", "all", "zone", "value").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
-    in_order = Window.partitionBy("i").orderBy("zone", "value").rowsBetween(Window.unboundedPreceding, 0)
-    groups = groups.withColumn("end", F.sum("n").over(in_order)).withColumn("start", F.col("end") - F.col("n"))
-
-    def at(i: int, rank: Column) -> Column:
-        """The value of this rank; of what lies outside the brackets only the first and last are known."""
-        here = (F.col("i") == i) & (rank >= F.col("start")) & (rank < F.col("end"))
-        last = F.when(F.col("value").isNotNull() | (rank == F.col("end") - 1), F.col("most"))
-        return F.min(F.when(here, F.when(rank == F.col("start"), F.col("least")).otherwise(last)))
-
-    found, made = [], []
-    for i, c in enumerate(names):
-        found.append(F.max(F.when(F.col("i") == i, F.col("all"))).alias(f"n{i}"))
-        for k, p in enumerate(points):
-            rank = F.lit(float(p)) * (F.col("all") - 1)
-            found += [at(i, F.floor(rank)).alias(f"low{i}_{k}"), at(i, F.ceil(rank)).alias(f"high{i}_{k}")]
-        made.append(F.array(*(_between(F.lit(float(p)) * (F.col(f"n{i}") - 1), F.col(f"low{i}_{k}"), F.col(f"high{i}_{k}")) for k, p in enumerate(points))).alias(c))
-    return groups.agg(*found).select(*made)
+    if count is None:
+        count = max(values.agg(*map(F.count, names)).first())
+    if count <= whole:
+        return values.agg(*(_or_nulls(F.percentile(c, F.array(*map(F.lit, points))), points).alias(c) for c in names))
+    brackets = [(c, p, -math.inf, math.inf) for c in names for p in points]
+    found: dict[tuple[str, float], float | None] = {}
+    while brackets:
+        brackets = _narrowed(values, brackets, accuracy, whole, found)
+    made = [F.array(*(F.lit(found[c, p]).cast("double") for p in points)).alias(c) for c in names]
+    return df.sparkSession.range(1).select(*made)
+
+
+def _or_nulls(q: Column, points: Sequence[float]) -> Column:
+    return F.coalesce(q, F.array(*(F.lit(None).cast("double") for _ in points)))
+
+
+Bracket = tuple[str, float, float, float]
+
+
+def _narrowed(values: DataFrame, brackets: list[Bracket], accuracy: int, whole: int, found: dict[tuple[str, float], float | None]) -> list[Bracket]:
+    """Narrower brackets (column, point, least, greatest value), and into `found` the points whose values are settled."""
+    inside = [F.col(c).between(low, high) for c, _, low, high in brackets]
+    counts = [f for (c, _, low, _), own in zip(brackets, inside, strict=True) for f in (F.count(c), F.count_if(F.col(c) < low), F.count_if(own))]
+    first = values.agg(*(f.alias(f"c{i}") for i, f in enumerate(counts))).first()
+    sketched, margin = [], MARGIN / accuracy
+    for k, ((c, p, _, _), own) in enumerate(zip(brackets, inside, strict=True)):
+        n, below, held = first[3 * k : 3 * k + 3]
+        at = (p * (n - 1) - below) / max(held - 1, 1)
+        wide = margin + 2 / max(held - 1, 1)  # of few values at least the neighbours
+        ends = [min(max(e, 0.0), 1.0) for e in (at - wide, at + wide)]
+        sketched.append(F.percentile_approx(F.when(own, F.col(c)), F.array(*map(F.lit, ends)), accuracy).alias(f"s{k}"))
+    ends = values.agg(*sketched).first()
+    tried = [(c, p, *(e or (low, high))) for (c, p, low, high), e in zip(brackets, ends, strict=True)]
+    checked = values.agg(*(f.alias(f"{n}{k}") for k, (c, _, low, high) in enumerate(tried) for n, f in (("b", F.count_if(F.col(c) < low)), ("i", F.approx_count_distinct(F.when(F.col(c).between(low, high), F.col(c))))))).first()
+
+    settled, going = [], []
+    for k, bracket in enumerate(tried):
+        c, p, low, high = bracket
+        if not first[3 * k]:
+            found[c, p] = None
+        elif checked[f"i{k}"] > whole and (low, high) != brackets[k][2:]:
+            going.append(bracket)
+        else:
+            settled.append((k, bracket, p * (first[3 * k] - 1) - checked[f"b{k}"]))
+    if settled:
+        cells = F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.col(c).between(low, high), F.col(c)).alias("x")) for k, (c, _, low, high), _ in settled))
+        rows = values.select(F.inline(F.filter(cells, lambda s: s["x"].isNotNull()))).groupBy("k", "x").agg(F.count("*").alias("n"))
+        ranks = F.element_at(F.create_map(*(F.lit(v) for k, _, at in settled for v in (k, float(at)))), F.col("k"))
+        end = F.sum("n").over(Window.partitionBy("k").orderBy("x"))
+        rows = rows.withColumns({"end": end, "rank": ranks}).withColumn("start", F.col("end") - F.col("n"))
+        at = lambda r: F.min(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("x")))
+        for r in rows.groupBy("k").agg(_between(F.first("rank"), at(F.floor("rank")), at(F.ceil("rank"))).alias("value")).collect():  # a row a bracket
+            found[tried[r.k][0], tried[r.k][1]] = r.value
+    return going
 
 
 def _between(rank: Column, low: Column, high: Column) -> Column:

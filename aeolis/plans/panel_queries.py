@@ -471,6 +471,13 @@ def past_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(impute.impute(_sparse(spark, sf_dir), ["y"], 1, 2, order=ORDER).select("event_id", "y"))
 
 
+@query(SERIES + _filled('"view"', 1, 2) + "SELECT event_id, round(y3, 6) AS y FROM d")
+def past_median_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of fewer rows than a series has, as a long station is taken."""
+    filled = impute.impute(_sparse(spark, sf_dir), ["y"], 1, 2, median=False, order=ORDER)
+    return rounded(impute.fill_past_median(filled, ["y"], ORDER, block=16).select("event_id", "y"))
+
+
 @query(SERIES + _filled("y", 6, 24) + "SELECT event_id, round(y3, 6) AS y FROM d")
 def impute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(impute.impute(series(spark, sf_dir).select("station_id", "Datetime", "event_id", "y"), ["y"], order=ORDER).select("event_id", "y"))

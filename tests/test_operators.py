@@ -237,15 +237,16 @@ def test_entry_without_the_training_data(monkeypatch):
             assert set(entry.queries()) == set(panel_queries.QUERIES)
 
 
+@pytest.mark.parametrize("limit", [0, 50, 1 << 20])
 @pytest.mark.parametrize("n", [1, 2, 5, 12, 30_011])
-def test_exact_percentiles_from_brackets(spark, n):
+def test_exact_percentiles_from_brackets(spark, n, limit):
     rng = np.random.default_rng(n)
     spread, tied = rng.lognormal(0, 3, n), rng.integers(0, 4, n).astype(float)
     tied[rng.random(n) < 0.4] = -7.5
     rows = [(float(a), float(b), None if i % 3 else float(a)) for i, (a, b) in enumerate(zip(spread, tied, strict=True))]
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
     points = (0.0, 0.005, 0.25, 0.5, 0.75, 0.995, 1.0)
-    got = quantiles.quantiles(df, {c: F.col(c) for c in "abc"}, points, accuracy=200).first()
+    got = quantiles.quantiles(df, {c: F.col(c) for c in "abc"}, points, accuracy=200, whole=limit).first()
     for name, values in (("a", spread), ("b", tied), ("c", spread[::3])):
         assert got[name] == pytest.approx(np.quantile(values, points).tolist(), rel=1e-12), name
 
@@ -255,7 +256,7 @@ def test_percentiles_of_nothing_and_of_no_number(spark):
     got = quantiles.quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5, 1.0)).first()
     assert got.a == [None, None] and got.b == [2.0, math.inf]
     assert quantiles.quantiles(df.limit(0), {"b": F.col("b")}, (0.5,)).first().b == [None]
-    assert distrib.bin_range(df.limit(0), "b").first()[:] == (-1.0, 1.0)
+    assert distrib.bin_range(df.limit(0), "b") == (-1.0, 1.0)
 
 
 def test_build_reads_each_source_once(spark, tmp_path):
@@ -343,3 +344,31 @@ def test_ridge_long_lookback_in_one_pass(spark):
         w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + np.eye(168), (x - x.mean(0)).T @ (t - t.mean()))
         want = sorted(zip(t2, t.mean() + (x2 - x.mean(0)) @ w, strict=True))
         assert np.allclose(sorted(got[h]), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_past_median_in_blocks(spark, block):
+    """Blocks of a few rows give what one pass over a station gives, with ties, NaN, drift and a null station."""
+    rng = random.Random(block)
+    rows = [r.asDict() for r in one_hot_station(spark, 1500, block).collect()]
+    for r in rows:
+        i = r["event_id"]
+        r["y"] = None if r["y"] is None else float("nan") if rng.random() < 0.02 else float(round(r["y"] * 10) + (i // 100 if i % 2 else -(i // 50)))
+        r["z"] = None if rng.random() < 0.9 else rng.random()
+    df = spark.createDataFrame([Row(**r) for r in rows], "station_id string, Datetime timestamp_ntz, event_id long, y double, z double").repartition(4)
+    whole, cut = (impute.fill_past_median(df, ["y", "z"], block=b).orderBy("event_id").collect() for b in (10_000, block))
+    assert list(map(str, cut)) == list(map(str, whole))
+    assert impute.fill_past_median(df.limit(0), ["y"], block=block).count() == 0
+
+
+def test_kde_from_cells(spark):
+    """Cells and their powers give what an exponential a value gives; far values and a flat split too."""
+    rng = np.random.default_rng(2)
+    groups = {"a": np.r_[rng.normal(size=3000), 1e9], "b": rng.normal(5, 0.01, 500), "flat": np.full(7, 2.0), "one": np.array([3.0])}
+    df = spark.createDataFrame([(s, float(v)) for s, x in groups.items() for v in x] + [("a", float("nan")), ("a", None)], "split string, y double")
+    for r in distrib.kde(df, "y").collect():
+        x = groups[r.split]
+        std = x.std(ddof=1) if len(x) > 1 else 0
+        bw = 1.06 * std * len(x) ** -0.2 if std > 0 else 1.0
+        want = np.exp(-0.5 * ((r.mid - x) / bw) ** 2).sum() / len(x) / (bw * math.sqrt(2 * math.pi))
+        assert r.density == pytest.approx(want, rel=1e-9, abs=1e-13 / bw), (r.split, r.bin)
