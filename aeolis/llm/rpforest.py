@@ -134,12 +134,14 @@ def first_bounds(probe: Block, queries: Block, k: int) -> np.ndarray:
 
 
 def visit(shard: Block, queries: Block, best: Best) -> None:
-    """Searches one shard. Of equal vectors, k + 1 with the smallest ids stand for all."""
+    """Searches one shard. Of equal vectors, the k with the smallest ids but the query's own stand for all."""
     order = np.argsort(shard[0], kind="stable")
     ids, points = shard[0][order], shard[1][order]
     _, first, member = np.unique(np.ascontiguousarray(points).view(f"V{points.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
     by_member = np.argsort(member, kind="stable")
     starts = np.r_[0, np.cumsum(np.bincount(member))]
+    different = np.unique(ids)
+    places = np.sort(member * len(different) + np.searchsorted(different, ids))  # of every row: its vector, then its id
     points = points[first]
     forest = Forest(unit(points))
     asked = unit(queries[1])
@@ -152,7 +154,10 @@ def visit(shard: Block, queries: Block, best: Best) -> None:
         merged = np.union1d(merged, new)
         at, groups = np.divmod(new, len(points))
         scores = cosines(points[groups], queries[1][at])
-        n = np.minimum(starts[groups + 1] - starts[groups], best.k + 1)
+        own = np.minimum(np.searchsorted(different, queries[0][at]), len(different) - 1)
+        own_place = groups * len(different) + own
+        own_rows = np.searchsorted(places, own_place, "right") - np.searchsorted(places, own_place)  # they stand together
+        n = np.minimum(starts[groups + 1] - starts[groups], best.k + own_rows)
         at, scores = np.repeat(at, n), np.repeat(scores, n)
         own_ids = ids[by_member[np.repeat(starts[groups], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
         others = own_ids != queries[0][at]

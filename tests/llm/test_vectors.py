@@ -143,3 +143,13 @@ def test_unusable_vectors(spark, operator):
     got = found(operator(df, df.where("vec_id % 50 = 0"), 5))
     assert {q: sorted(v for _, v, _ in r) for q, r in got.items()} == {0: [8, 50, 50], 50: [0, 8]}
     assert operator(df.limit(0), df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_own_ids_dont_crowd_out_equal_vectors(spark, k):
+    """A query's id on more than k rows of the vector that its neighbour has too."""
+    same, rng = [1.0, 2.0, 3.0, 4.0], np.random.default_rng(k)
+    rows = [(50, same)] * 8 + [(51, same), (52, same), (49, same)] + [(100 + i, rng.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r.vec_id, round(r.score, 9)) for r in rpforest.nearest(df, df.where("vec_id = 50"), k).orderBy("rank").collect()]
+    assert got[:3] == [(49, 1.0), (51, 1.0), (52, 1.0)][:k] and len(got) == k
