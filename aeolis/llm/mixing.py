@@ -149,6 +149,21 @@ def placed(planned: DataFrame) -> DataFrame:
     return first.select(*none.columns).unionByName(none)
 
 
+#: Rows of one group that are made at once.
+ROWS = 4096
+
+
+def each_row(placed: DataFrame) -> DataFrame:
+    """A placed plan with a row for each of its `rows`, places counted on; a large group's rows are made in pieces by several tasks."""
+    piece = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    zero, rows = F.lit(0).cast("long"), F.col("rows")
+    few_rows = placed.where(rows <= ROWS).withColumn("_row", piece(zero, rows))
+    pieces = placed.where(rows > ROWS).withColumn("_piece", F.explode(F.sequence(zero, F.floor((rows - 1) / ROWS))))
+    dealt = pieces.repartition("doc_id", "source", "size", "_piece")
+    many = dealt.withColumn("_row", piece(F.col("_piece") * ROWS, F.least(F.lit(ROWS).cast("long"), rows - F.col("_piece") * ROWS))).drop("_piece")
+    return few_rows.unionByName(many).withColumn("place", F.col("place") + F.col("_row")).drop("_row")
+
+
 def materialize(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, leans: tuple[float, ...] = LEANS) -> DataFrame:
     """(doc, position): the training stream, each copy of each document as a row, range-sorted by position.
 

@@ -131,8 +131,8 @@ FROM summed JOIN places USING (n)
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    each = mixing.placed(cut(planned, "plan")).withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
-    return each.select("doc_id", "size", "source_size", "target", "taken", "first_position", (F.col("place") + F.col("_row")).alias("place"))
+    each = mixing.each_row(mixing.placed(cut(planned, "plan")))
+    return each.select("doc_id", "size", "source_size", "target", "taken", "first_position", "place")
 
 
 OP10_SQL = r"""

@@ -202,3 +202,14 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     got = rows(chat.fold_events(df), "conv_id", "turn", "role", "text")
     assert got == sorted([(1, 0, "user", "Hi"), (1, 1, "assistant", "good"), (2, 0, "", ""), (None, 0, "user", "x")], key=repr)
     assert chat.render(chat.fold_events(df.limit(0))).count() == 0
+
+
+def test_rows_of_a_large_group_are_made_in_pieces(spark, monkeypatch):
+    """10,000 rows without an id, of one size, are one group; each gets a place of its own."""
+    monkeypatch.setattr(mixing, "ROWS", 64)
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("three words here").alias("text"))
+    docs = docs.union(spark.createDataFrame([(7, "a", "one"), (8, "b", None)], "doc_id long, source string, text string"))
+    found = mixing.each_row(mixing.placed(mixing.plan(docs))).collect()
+    assert len(found) == 10_002
+    places = sorted(r.place for r in found if r.place is not None)
+    assert len(places) == len(set(places))
