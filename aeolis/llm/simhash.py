@@ -58,15 +58,16 @@ def majority(hashes: list[int] | np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): fp a signed long with the fingerprint's 64 bits."""
+    """(doc_id, fp): the key (text, or a long) and a signed long with the fingerprint's 64 bits."""
+    kind = "string" if dict(docs.dtypes)[key] == "string" else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("binary"))
-    return spread(rows).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast(kind), F.col(text).cast("binary"))
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # -- comparison -------------------------------------------------------------------------------
@@ -102,14 +103,16 @@ def within(x_of, alive: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.nda
     return at, alive
 
 
-def forest(keys_end: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check: Check | None = None) -> np.ndarray:
+def forest(keys_end: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check: Check | None = None, label: np.ndarray | None = None) -> np.ndarray:
     """For each row the first row of its component, linking rows of one key within the radius.
 
+    label: what is linked already, each row's first row of its component.
+
     Rows are sorted by key; keys_end[i] is where the key of row i ends. check(a, b) says which
     of the pairs within the radius are links; pairs that links already join aren't asked about.
     """
     n = len(fps)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     planes = planes_of(fps)
     ends = np.zeros(planes.shape[1] * 64, np.int64)
     ends[:n] = keys_end
@@ -290,8 +293,9 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id", t
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """docs with _row, a hash of all columns; nulls count, as xxhash64 leaves them out."""
-    return docs.withColumn("_row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+    """docs with _row, 128 bits of hash of all columns as text, so that no two different rows are taken for one; nulls count, as xxhash64 leaves them out."""
+    cells = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumn("_row", F.concat_ws("_", *(F.xxhash64(F.lit(salt), *cells) for salt in (1, 2))))
 
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
