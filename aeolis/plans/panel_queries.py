@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import floor_hour, norm_id, parse_num, parse_ts
 from ..functions.schema import FORECAST_ALIASES, base_projection, canonicalize, drop_features, feature_lock, future_time
 from ..operators import distrib, enrich, features, forecast, impute, quality, scale, score, slices, split, windows
-from ..sources import tables
+from ..sources import footers, quarantine, stored, tables
 from . import build
 from .lenses import AIR, BY_TIME, CUTS, ORDER, SERIES, SPLIT, TYPES, air, forecasts, geography, load, r6, series, stamp, weather
 
@@ -124,6 +124,106 @@ def roundtrip_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_panel(spark, path).select("station_id", stamp("Datetime").alias("Datetime"), "event_id", "y")
 
 
+_BAD = """, r AS (SELECT *, event_id % 50 AS k FROM s), b AS (
+  SELECT event_id, station_id, CASE k WHEN 0 THEN '4 fields' WHEN 1 THEN 'Datetime: not a time' WHEN 2 THEN 'value: not a number' WHEN 3 THEN 'station_id: missing'
+    WHEN 4 THEN 'Datetime: not a time|value: not a number' END AS why, k FROM r)"""
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as lines of a CSV file, some with an extra field, a time or number that is none, no station, or a missing value."""
+    k = F.col("event_id") % 50
+    fields = (
+        F.when(k == 3, "").otherwise(F.col("station_id")),
+        F.when(k.isin(1, 4), "soon").otherwise(stamp("Datetime")),
+        F.col("event_id").cast("string"),
+        F.when(k.isin(2, 4), "1.5.2").when(k == 5, "NA").otherwise(F.col("value").cast("string")),
+        F.when(k == 0, "more"),
+    )
+    return series(spark, sf_dir).select(F.concat_ws(",", *fields).alias("station_id,Datetime,event_id,value"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    path = tables.scratch_dir(spark, "faulty")
+    tables.sink(_faulty(spark, sf_dir), path, "csv", {"sep": "\u0001"})
+    types = {"station_id": "id", "Datetime": "timestamp", "event_id": "double", "value": "double"}
+    return quarantine.ingest_checked(spark, {"air": {"path": path, "types": types, "required": ["station_id", "Datetime"]}, "forecast": {}})
+
+
+@query(SERIES + _BAD + """SELECT event_id, replace(why, '4 fields', 'not 4 fields') AS reasons FROM b WHERE why IS NOT NULL""")
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, bad = _checked(spark, sf_dir)
+    return bad.select(F.split("raw", ",")[2].cast("long").alias("event_id"), F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(SERIES + _BAD + """SELECT 'air' AS key, 'read' AS status, count(*) FILTER (why IS NULL) AS rows, count(why) AS bad FROM b UNION ALL SELECT 'forecast', 'skipped', NULL, NULL""")
+def quarantine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[1]
+
+
+@query(SERIES + _BAD + f"""SELECT s.station_id, {T('s."Datetime"')} AS "Datetime", event_id, CASE WHEN k <> 5 THEN value END AS value FROM b JOIN s USING (event_id) WHERE why IS NULL""")
+def quarantine_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _checked(spark, sf_dir)[0]["air"]
+    return good.select("station_id", stamp("Datetime").alias("Datetime"), F.col("event_id").cast("long").alias("event_id"), "value")
+
+
+_REPLACED = """, u AS (SELECT station_id, "Datetime", event_id, 2 * y AS y FROM s WHERE CAST(station_id AS INT) % 10 = 0 AND event_type <> 'click'),
+v AS (SELECT station_id, "Datetime", event_id, y FROM s WHERE station_id NOT IN (SELECT station_id FROM u) UNION ALL FROM u) """
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored panel of which every tenth station has been replaced."""
+    s, path = series(spark, sf_dir), tables.scratch_dir(spark, "stored")
+    name, own = "panel_" + path[-32:], ("station_id", "Datetime", "event_id")
+    settings = {"order": ORDER, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    stored.create(s.select(*own, "y"), name, path, **settings)
+    again = s.where("cast(station_id as int) % 10 = 0 and event_type <> 'click'")
+    stored.replace(again.select(*own, (2 * F.col("y")).alias("y")), name, path, **settings)
+    return stored.read(spark, name, path)
+
+
+@query(SERIES + _REPLACED + f"""SELECT event_id, lag(y, 1) OVER ({BY_TIME}) AS y_lag1h, lag(y, 3) OVER ({BY_TIME}) AS y_lag3h FROM v""")
+def stored_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags on the buckets as they lie: the plan has no exchange."""
+    return features.lags(_stored(spark, sf_dir), "y", (1, 3), ORDER).select("event_id", "y_lag1h", "y_lag3h")
+
+
+@query(SERIES + _REPLACED + """SELECT station_id, count(*) AS n, count(y) AS n_y, round(sum(y), 4) AS total FROM v GROUP BY 1""")
+def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).groupBy("station_id").agg(F.count("*").alias("n"), F.count("y").alias("n_y"), F.round(F.sum("y"), 4).alias("total"))
+
+
+def _uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footers of a panel whose odd stations have no column `view`, and one more `note`."""
+    s, path = series(spark, sf_dir), tables.scratch_dir(spark, "uneven")
+    odd = F.col("station_id").cast("int") % 2 == 1
+    tables.write_panel(s.where(~odd).select("station_id", "Datetime", "y", "click", "view"), path)
+    s.where(odd).select("station_id", "click", F.lit("x").alias("note"), "y", "Datetime").write.mode("append").partitionBy("station_id").parquet(path)
+    return footers.footers(spark, path)
+
+
+@query(SERIES + """, c AS (SELECT DISTINCT station_id, CAST(station_id AS INT) % 2 = 1 AS odd FROM s), h AS (
+  SELECT station_id, unnest(CASE WHEN odd THEN ['click', 'note', 'y', 'Datetime'] ELSE ['Datetime', 'y', 'click', 'view'] END) AS "column" FROM c
+), n AS (SELECT "column", count(*) AS n FROM h GROUP BY 1), e AS (SELECT unnest(['Datetime', 'y', 'view', 'error']) AS "column")
+SELECT "column", n.n IS NOT NULL AS in_any, coalesce(n.n = (SELECT count(*) FROM c), false) AS in_all, e."column" IS NOT NULL AS expected FROM n FULL JOIN e USING ("column")""")
+def footer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footers.schema_audit(_uneven(spark, sf_dir), ["Datetime", "y", "view", "error"])
+
+
+@query(SERIES + """, u AS (SELECT *, CASE WHEN CAST(station_id AS INT) % 2 = 0 THEN "view" END AS w FROM s)
+SELECT station_id, count(*) AS rowcount, count(y) AS y_non_null, round(count(y) / count(*), 3) AS y_coverage, count(click) AS click_non_null, round(count(click) / count(*), 3) AS click_coverage,
+  count(w) AS view_non_null, round(count(w) / count(*), 3) AS view_coverage FROM u GROUP BY 1""")
+def footer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footers.coverage(_uneven(spark, sf_dir), ["y", "click", "view"])
+
+
+@query(SERIES + """SELECT event_id, y FROM s WHERE "Datetime" <= TIMESTAMP '2024-01-20' """)
+def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a stage needs of a stored split; ones that it doesn't have are left out."""
+    path = tables.scratch_dir(spark, "split")
+    tables.sink(panel(spark, sf_dir).where("split = 'train'"), path)
+    return tables.read_table(spark, path, columns=["event_id", "y", "not there"])
+
+
 @query(SERIES + """, k AS (SELECT station_id FROM s GROUP BY 1 HAVING count(y) >= 50) SELECT s.station_id, count(*) AS n FROM s JOIN k USING (station_id) GROUP BY 1""")
 def keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, path = series(spark, sf_dir), tables.scratch_dir(spark, "keep")
@@ -673,6 +773,14 @@ def window_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends[0].unionByName(ends[1])
 
 
+@query(_windows(0.75, horizons=(1,)) + f""", o AS (SELECT *, row_number() OVER (ORDER BY target_time, station_id, start) AS k, count(*) OVER () AS m FROM i)
+SELECT CASE WHEN k <= ceil(0.2 * m) THEN 'head' ELSE 'tail' END AS "end", station_id, start, {T('target_time')} AS target_time FROM o WHERE k <= ceil(0.2 * m) OR k > m - ceil(0.2 * m)""")
+def window_ends_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir, 0.75).where("horizon = 1")
+    ends = [windows.subsample_ends(rows, 0.2, e, order="time").select(F.lit(e).alias("end"), "station_id", "start", "target_time") for e in ("head", "tail")]
+    return rounded(ends[0].unionByName(ends[1]))
+
+
 def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir, 0.75, by_split=True)
     return windows.window_tensors(panel(spark, sf_dir), index, ["y", "value"], 12, 24, ORDER, split="split")
