@@ -193,27 +193,30 @@ def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footers of a panel whose odd stations have no column `view`, and one more `note`."""
-    s, path = series(spark, sf_dir), tables.scratch_dir(spark, "uneven")
-    odd = F.col("station_id").cast("int") % 2 == 1
-    tables.write_panel(s.where(~odd).select("station_id", "Datetime", "y", "click", "view"), path)
-    s.where(odd).select("station_id", "click", F.lit("x").alias("note"), "y", "Datetime").write.mode("append").partitionBy("station_id").parquet(path)
-    return footers.footers(spark, path)
+    """Footers of a panel in folders by day, whose odd days have no column `view`, and one more `note`."""
+    s, path = series(spark, sf_dir).withColumn("day", F.date_format("Datetime", "yyyy-MM-dd")), tables.scratch_dir(spark, "uneven")
+    odd = F.dayofmonth("Datetime") % 2 == 1
+    tables.write_panel(s.where(~odd).select("day", "station_id", "y", "click", "view"), path, "day")
+    s.where(odd).select("day", "click", F.lit("x").alias("note"), "y", "station_id").repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    return footers.footers(spark, path, "day")
 
 
-@query(SERIES + """, c AS (SELECT DISTINCT station_id, CAST(station_id AS INT) % 2 = 1 AS odd FROM s), h AS (
-  SELECT station_id, unnest(CASE WHEN odd THEN ['click', 'note', 'y', 'Datetime'] ELSE ['Datetime', 'y', 'click', 'view'] END) AS "column" FROM c
-), n AS (SELECT "column", count(*) AS n FROM h GROUP BY 1), e AS (SELECT unnest(['Datetime', 'y', 'view', 'error']) AS "column")
+_DAYS = SERIES + """, u AS (SELECT *, strftime("Datetime", '%Y-%m-%d') AS day, day("Datetime") % 2 = 1 AS odd FROM s)"""
+
+
+@query(_DAYS + """, c AS (SELECT DISTINCT day, odd FROM u), h AS (
+  SELECT day, unnest(CASE WHEN odd THEN ['click', 'note', 'y', 'station_id'] ELSE ['station_id', 'y', 'click', 'view'] END) AS "column" FROM c
+), n AS (SELECT "column", count(*) AS n FROM h GROUP BY 1), e AS (SELECT unnest(['station_id', 'y', 'view', 'error']) AS "column")
 SELECT "column", n.n IS NOT NULL AS in_any, coalesce(n.n = (SELECT count(*) FROM c), false) AS in_all, e."column" IS NOT NULL AS expected FROM n FULL JOIN e USING ("column")""")
 def footer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return footers.schema_audit(_uneven(spark, sf_dir), ["Datetime", "y", "view", "error"])
+    return footers.schema_audit(_uneven(spark, sf_dir), ["station_id", "y", "view", "error"], "day")
 
 
-@query(SERIES + """, u AS (SELECT *, CASE WHEN CAST(station_id AS INT) % 2 = 0 THEN "view" END AS w FROM s)
-SELECT station_id, count(*) AS rowcount, count(y) AS y_non_null, round(count(y) / count(*), 3) AS y_coverage, count(click) AS click_non_null, round(count(click) / count(*), 3) AS click_coverage,
-  count(w) AS view_non_null, round(count(w) / count(*), 3) AS view_coverage FROM u GROUP BY 1""")
+@query(_DAYS + """, v AS (SELECT *, CASE WHEN NOT odd THEN "view" END AS w FROM u)
+SELECT day, count(*) AS rowcount, count(y) AS y_non_null, round(count(y) / count(*), 3) AS y_coverage, count(click) AS click_non_null, round(count(click) / count(*), 3) AS click_coverage,
+  count(w) AS view_non_null, round(count(w) / count(*), 3) AS view_coverage FROM v GROUP BY 1""")
 def footer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return footers.coverage(_uneven(spark, sf_dir), ["y", "click", "view"])
+    return footers.coverage(_uneven(spark, sf_dir), ["y", "click", "view"], "day")
 
 
 @query(SERIES + """SELECT event_id, y FROM s WHERE "Datetime" <= TIMESTAMP '2024-01-20' """)
