@@ -1,4 +1,5 @@
 import struct
+from collections import Counter
 
 import tiktoken
 
@@ -6,7 +7,7 @@ import corpus_pipeline
 from aeolis.llm import bpe, mixing, toxicity
 from aeolis.llm.common import cut, table
 
-from .frames import awkward, empty, rows
+from .frames import LONG, awkward, empty, rows
 from .test_dedup import brute_windows
 from .test_nearcopy import brute_kept
 
@@ -62,11 +63,39 @@ def test_run_is_all_stages(spark):
     assert rows(got, *kept) == rows(docs, *kept)
 
 
-def test_stages_take_awkward_rows(spark):
-    for make in (awkward, empty):
-        docs = make(spark)
-        made = docs
-        for name, f in corpus_pipeline.STAGES[:-1]:
-            made = cut(f(spark, made, DATA), name)
-            assert made.columns == docs.columns
-        assert corpus_pipeline.encode_tokens(spark, made, DATA).count() == made.count()
+def test_awkward_rows_stage_by_stage(spark):
+    """What each stage keeps of nulls, blanks, repeated rows, near copies and a text of 60,000 words, row by row."""
+    docs = awkward(spark)
+    steps = [docs]
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        steps.append(cut(f(spark, steps[-1], DATA), name))
+        assert steps[-1].columns == docs.columns
+    start, clean, single, short, mixed = ([tuple(r) for r in s.collect()] for s in steps)
+    assert Counter(clean) == Counter(start)  # nothing toxic in them; null and blank texts and repeated rows stay
+    ids = lambda made: sorted(r[0] for r in made if r[0] is not None)
+    assert ids(single) == [1, 3, 6, 7, 9]  # 1 twice and 2 are one text, 3 to 5 have none, 8 is a near copy of 7
+    assert Counter(r for r in single if r[0] is None) == Counter(r for r in start if r[0] is None)
+    assert set(single) <= set(start)
+    assert Counter(short) == Counter(single)  # what a text repeats of itself stays, and rows without id neither take nor lose
+    # Small sources stop at three times their size; the long text's source takes what is left, which is near its one document.
+    assert Counter((r[0], r[3]) for r in mixed) == {(1, "a"): 3, (7, "c"): 3, (9, "c"): 3, (None, None): 3, (6, "b"): 1}
+    assert set(mixed) <= set(single) and LONG in {r[1] for r in mixed}
+    coded = corpus_pipeline.encode_tokens(spark, steps[-1], DATA).collect()
+    assert len(coded) == len(mixed) and all(r.n_tokens == len(r.token_ids) // 4 > 0 for r in coded)
+
+
+def test_passages_are_cut_from_awkward_rows(spark):
+    """The stage that cuts, given what the one before it would have taken out."""
+    made = {r.doc_id: r for r in corpus_pipeline.cut_passages(spark, awkward(spark).where("doc_id >= 3"), DATA).collect()}
+    given = {r.doc_id: r for r in awkward(spark).where("doc_id >= 3").collect()}
+    assert set(made) == set(given)
+    assert (made[8].text, made[8].n_chars) == ("tail", 4)
+    assert all(made[i] == given[i] for i in given if i != 8)
+
+
+def test_no_rows_stay_none(spark):
+    made = empty(spark)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        made = cut(f(spark, made, DATA), name)
+        assert made.columns == empty(spark).columns and made.isEmpty()
+    assert corpus_pipeline.encode_tokens(spark, made, DATA).isEmpty()
