@@ -134,7 +134,8 @@ def placed(planned: DataFrame) -> DataFrame:
     The stream is the range sort of all copies of all rows by position, then doc_id, source and
     size; a copy of several rows comes once for each. Ranges of position are of equal width, so
     their bounds are known, and are numbered each on its own behind the counts of those before.
-    Rows that are not taken have neither. No rows in, none out.
+    Rows that are not taken have neither. Null ids and sources are values like others and come
+    first among ties. No rows in, none out.
     """
     copies = planned.select("*", F.posexplode("positions").alias("_k", "_at"))
     copies = copies.withColumn("_range", F.least(F.floor(F.col("_at") * RANGES), F.lit(RANGES - 1)).cast("int"))
@@ -183,7 +184,8 @@ def stream_order(stream: DataFrame) -> DataFrame:
     """A materialized stream, written as files and read again, with stream_part and stream_row: ordered by both it is in order of position.
 
     The range sort numbers the files, and rows stand in order in each; reading in any order
-    doesn't change that. Both are null if the stream isn't read from Parquet files.
+    doesn't change that. Both are null if the stream isn't read from Parquet files. Files must be
+    one a task: a stream written with maxRecordsPerFile has several that share a number.
     """
     name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     try:

@@ -33,7 +33,7 @@ def _halves(key: Column) -> tuple[Column, Column]:
 
 
 def jump_shard(key: Column, shards: int) -> Column:
-    """The shard, from 0, of a long key. One more shard takes keys only into itself."""
+    """The shard, from 0, of a long key. One more shard takes keys only into itself. A null key's shard is 0, whatever their number."""
     hi, lo = _halves(key)
     start = F.struct(hi.alias("hi"), lo.alias("lo"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("to"))
 

@@ -299,7 +299,11 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each group, given as (_row, group), the row of the smallest doc_id and then hash; rows without doc_id stay."""
+    """Of each group, given as (_row, group), the row of the smallest doc_id and then hash; rows without doc_id stay.
+
+    Equal rows have one _row, and one of them stays; texts and other columns, null or not, aren't
+    looked at. A row that no group names goes. No rows in, none out.
+    """
     rows = with_row(docs)
     least = rows.where("doc_id is not null").select("_row", "doc_id").distinct().join(groups.distinct(), "_row").groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
     named = rows.where("doc_id is not null").join(least.select(F.col("least._row").alias("_row")), "_row")
@@ -310,7 +314,9 @@ def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays, that of the smallest doc_id, with its columns.
 
-    Rows without doc_id can't be told apart and stay.
+    Null, empty and blank texts have no shingles and are copies of each other; of repeated rows one
+    stays; whole texts count, however long; columns keep their names and values, whatever they are.
+    Rows without doc_id can't be told apart and stay. No rows in, none out.
     """
     groups = simhash_groups(with_row(docs), radius, key="_row")
     return keep_least(docs, groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))

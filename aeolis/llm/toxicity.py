@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Of the labels `sample` at most are used, so their ids can be broadcast; of an id with both
     labels, 1. Near copies count once, as toxic if any is, so that the words of a text copied
     often don't pass for insults. What reaches the driver are the words that pass the test and the clause counts of
-    the sample. With no rows of either label the word lists and set weights hold.
+    the sample. With no rows of either label the word lists and set weights hold. Whole texts are
+    read, however long; null texts teach nothing, and ids on several rows teach all their texts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("toxic"))
