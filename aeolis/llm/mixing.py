@@ -134,8 +134,8 @@ def placed(planned: DataFrame) -> DataFrame:
     The stream is the range sort of all copies of all rows by position, then doc_id, source and
     size; a copy of several rows comes once for each. Ranges of position are of equal width, so
     their bounds are known, and are numbered each on its own behind the counts of those before.
-    Rows that are not taken have neither. Null ids and sources are values like others and come
-    first among ties. No rows in, none out.
+    Rows that are not taken have neither. Among ties null ids come first and null sources
+    last. No rows in, none out.
     """
     copies = planned.select("*", F.posexplode("positions").alias("_k", "_at"))
     copies = copies.withColumn("_range", F.least(F.floor(F.col("_at") * RANGES), F.lit(RANGES - 1)).cast("int"))
