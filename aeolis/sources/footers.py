@@ -20,6 +20,8 @@ def footers(spark: SparkSession, path: str, by: str = "station_id") -> DataFrame
     files = files.select(F.col(by).cast("string").alias(by) if by in files.columns else F.lit(None).cast("string").alias(by), F.col("path").alias("file"))
 
     def read(batches):  # noqa: ANN001, ANN202
+        from urllib.parse import quote
+
         import pyarrow as pa
         from pyarrow import fs
         from pyarrow import parquet as pq
@@ -27,9 +29,10 @@ def footers(spark: SparkSession, path: str, by: str = "station_id") -> DataFrame
         for batch in batches:
             out = {by: [], "file": [], "column": [], "rows": [], "non_null": []}
             for station, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # Hadoop writes file:/a where Arrow reads file:///a.
-                uri = "file://" + file.removeprefix("file:") if file.startswith("file:/") and not file.startswith("file://") else file
-                system, place = fs.FileSystem.from_uri(uri.replace(" ", "%20"))
+                # Hadoop writes file:/a where Arrow reads file:///a, and names as they are, where Arrow undoes escapes.
+                scheme, rest = file.split(":", 1)
+                host, name = ("", rest) if not rest.startswith("//") else (rest[2:].partition("/")[0], "/" + rest[2:].partition("/")[2])
+                system, place = fs.FileSystem.from_uri(f"{scheme}://{host}{quote(name)}")
                 meta = pq.read_metadata(place, filesystem=system)
                 leaves = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 groups = [meta.row_group(g) for g in range(meta.num_row_groups)]

@@ -157,3 +157,10 @@ def test_footers_of_files_with_other_columns(spark, tmp_path):
     assert audit == {"y": (True, False, True), "many": (True, False, False), "z": (True, False, False), "w": (False, False, True)}
     full = footers.coverage(found, ["y", "many"]).select("station_id", "rowcount", "y_non_null", "y_coverage", "many_non_null")
     assert sorted(map(tuple, full.collect())) == [("1", 2, 1, 0.5, None), ("2", 1, 1, 1.0, None), ("3", 1, 0, 0.0, 0)]
+
+
+def test_footers_of_stations_with_odd_names(spark, tmp_path):
+    names = ["a/b", "50% x", "é", "#1?"]
+    tables.write_panel(spark.createDataFrame([(n, 1.0) for n in names], "station_id string, y double"), str(tmp_path / "p"))
+    full = footers.coverage(footers.footers(spark, str(tmp_path / "p")), ["y"])
+    assert sorted(map(tuple, full.collect())) == sorted((n, 1, 1, 1.0) for n in names)
