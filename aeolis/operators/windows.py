@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import finite
 from . import slices
-from .features import in_order
 
 LOOKBACK, STRIDE, MIN_RATIO = 168, 3, 0.75
 
@@ -74,21 +74,26 @@ def window_tensors(
     order: Sequence[str] = ("Datetime",),
     by: str = "station_id",
     split: str | None = None,
+    by_ranges: bool = False,
 ) -> DataFrame:
     """The index with X: `lookback` rows of the columns as floats, what isn't finite as 0.
 
     Rows are gathered in overlapping blocks, of `block` starts each, so a row is copied
-    1 + lookback / block times and a station's tensors can take several tasks; only numbering
-    its rows sorts a station in one.
+    1 + lookback / block times and a station's tensors can take several tasks. Numbering its
+    rows sorts a station in one, unless they are numbered by ranges (see slices).
     """
     keys = [by, split] if split else [by]
     w = Window.partitionBy(*keys).orderBy(*order)
     cells = F.array(*(F.when(finite(F.col(c)), F.col(c)).otherwise(0).cast("float") for c in cols))
-    rows = df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("_rn"), cells.alias("_x"))
+    if by_ranges:
+        rows = slices.number_rows(df.select(*dict.fromkeys([*keys, *order]), F.struct(*keys).alias("_series"), cells.alias("_x")), order, "_series")
+    else:
+        rows = df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("_rn"), cells.alias("_x"))
     first = F.greatest(F.lit(0), F.floor((F.col("_rn") - lookback + 1) / block))
     dealt = rows.withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("_rn") / block))))
-    blocks = dealt.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("_rn", "_x"))).alias("_rows"))
-    placed = index.withColumn("_block", F.floor(F.col("start") / block)).join(blocks, [*keys, "_block"])
+    blocks = dealt.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_block").alias("_of_block")).agg(F.array_sort(F.collect_list(F.struct("_rn", "_x"))).alias("_rows"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.col("_block") == F.col("_of_block"))
+    placed = index.withColumn("_block", F.floor(F.col("start") / block)).join(blocks, same)
     at = F.col("start") - F.col("_rows")[0]["_rn"] + 1
     x = F.transform(F.slice(F.col("_rows"), at.cast("int"), F.lit(lookback)), lambda r: r["_x"])
     return placed.withColumn("X", x).select(*index.columns, "X")
@@ -118,13 +123,30 @@ def _draw(by: str, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("start").cast("string")))
 
 
-def subsample(windows: DataFrame, frac: float | Mapping[str, float], least: int = 1, seed: str = "0", by: str = "station_id", keys: Sequence[str] = (), split: str = "split") -> DataFrame:
-    """Of each station (and further keys) max(least, ceil(frac * n)) windows, chosen by a hash; frac may depend on the split."""
+def subsample(
+    windows: DataFrame,
+    frac: float | Mapping[str, float],
+    least: int = 1,
+    seed: str = "0",
+    by: str = "station_id",
+    keys: Sequence[str] = (),
+    split: str = "split",
+    by_ranges: bool = False,
+) -> DataFrame:
+    """Of each station (and further keys) max(least, ceil(frac * n)) windows, chosen by a hash; frac may depend on the split.
+
+    By ranges a station's windows are ordered by several tasks (see slices), with the same result.
+    """
     if isinstance(frac, Mapping):
         share = F.coalesce(F.create_map(*(x for s, f in frac.items() for x in (F.lit(s), F.lit(f))))[F.col(split)], F.lit(1.0))
         keys = [*dict.fromkeys([*keys, split])]
     else:
         share = F.lit(float(frac))
+    if by_ranges:
+        marked = windows.withColumns({"_series": F.struct(*dict.fromkeys([by, *keys])), "_drawn": _draw(by, seed)})
+        rows = slices.number_rows(marked, ["_drawn", "start"], "_series", count="_all")
+        kept = F.col("_rn") < F.greatest(F.lit(least), F.ceil(share * F.col("_all")))
+        return rows.where(kept).select(*windows.columns)
     group = Window.partitionBy(by, *keys)
     k = F.greatest(F.lit(least), F.ceil(share * F.count("*").over(group)))
     rows = windows.withColumns({"_k": k, "_n": F.row_number().over(group.orderBy(_draw(by, seed), "start"))})
@@ -132,24 +154,13 @@ def subsample(windows: DataFrame, frac: float | Mapping[str, float], least: int
 
 
 def subsample_ends(windows: DataFrame, frac: float, end: str = "head", by: str = "station_id", order: str = "station", time: str = "target_time") -> DataFrame:
-    """The first (or last) ceil(frac * N) windows: in order of station and start, or of time.
+    """The first (or last) ceil(frac * N) windows: in order of station and start, or of time, station and start.
 
-    In station order only one row a station is numbered in one place. In time order windows
-    earlier than the cut are taken whole and those at the cut by station and start.
+    All windows are numbered by ranges of that order (see slices), so no task holds them, a
+    station or an hour.
     """
-    if order == "station":
-        n = windows.groupBy(by).agg(F.count("*").alias("_n"))
-        before = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        n = n.select(F.col(by).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"))
-        place = F.col("_before") + F.row_number().over(in_order(by, ["start"]))
-        rows = windows.join(n, F.col(by) == F.col("_s")).withColumn("_at", place)
-    else:
-        n = windows.groupBy(time).agg(F.count("*").alias("_n"))
-        before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        n = n.select(F.col(time).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"))
-        rows = windows.join(n, F.col(time) == F.col("_s")).withColumn("_at", F.col("_before") + F.row_number().over(in_order(time, [by, "start"])))
-    k = F.ceil(F.lit(frac) * F.col("_all"))
-    kept = F.col("_at") <= k if end == "head" else F.col("_at") > F.col("_all") - k
+    in_all = [by, "start"] if order == "station" else [time, by, "start"]
+    rows = slices.number_rows(windows.withColumn("_all_rows", F.lit(0)), in_all, "_all_rows", name="_at", count="_n")
+    k = F.ceil(F.lit(frac) * F.col("_n"))
+    kept = F.col("_at") < k if end == "head" else F.col("_at") >= F.col("_n") - k
     return rows.where(kept).select(*windows.columns)

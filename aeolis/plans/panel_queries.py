@@ -760,12 +760,25 @@ def window_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_counts(panel(spark, sf_dir), 12, 3, 3, split=["split"])
 
 
-@query(_windows(0.75, "station_id, split") + """SELECT station_id, split, horizon, start FROM i
+_SAMPLE = _windows(0.75, "station_id, split") + """SELECT station_id, split, horizon, start FROM i
 QUALIFY row_number() OVER (PARTITION BY station_id, horizon, split ORDER BY md5('7|' || station_id || '|' || start), start)
-  <= greatest(2, ceil(CASE split WHEN 'train' THEN 0.3 WHEN 'val' THEN 0.5 ELSE 1.0 END * count(*) OVER (PARTITION BY station_id, horizon, split)))""")
-def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+  <= greatest(2, ceil(CASE split WHEN 'train' THEN 0.3 WHEN 'val' THEN 0.5 ELSE 1.0 END * count(*) OVER (PARTITION BY station_id, horizon, split)))"""
+
+
+def _sample(spark: SparkSession, sf_dir: str, by_ranges: bool) -> DataFrame:
     rows = _index(spark, sf_dir, 0.75, by_split=True)
-    return windows.subsample(rows, {"train": 0.3, "val": 0.5, "test": 1.0}, 2, "7", keys=["horizon"]).select("station_id", "split", "horizon", "start")
+    return windows.subsample(rows, {"train": 0.3, "val": 0.5, "test": 1.0}, 2, "7", keys=["horizon"], by_ranges=by_ranges).select("station_id", "split", "horizon", "start")
+
+
+@query(_SAMPLE)
+def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir, False)
+
+
+@query(_SAMPLE)
+def window_sample_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample with a station's windows put in order by several tasks."""
+    return _sample(spark, sf_dir, True)
 
 
 @query(_windows(0.75, horizons=(1,)) + """, o AS (SELECT *, row_number() OVER (ORDER BY station_id, start) AS k, count(*) OVER () AS m FROM i)
@@ -784,9 +797,9 @@ def window_ends_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ends[0].unionByName(ends[1]))
 
 
-def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tensors(spark: SparkSession, sf_dir: str, by_ranges: bool = False) -> DataFrame:
     index = _index(spark, sf_dir, 0.75, by_split=True)
-    return windows.window_tensors(panel(spark, sf_dir), index, ["y", "value"], 12, 24, ORDER, split="split")
+    return windows.window_tensors(panel(spark, sf_dir), index, ["y", "value"], 12, 24, ORDER, split="split", by_ranges=by_ranges)
 
 
 _SUMS = _windows(0.75, "station_id, split") + """, t AS (
@@ -795,10 +808,9 @@ _SUMS = _windows(0.75, "station_id, split") + """, t AS (
 ) """
 
 
-@query(_SUMS + "SELECT split, horizon, station_id, start, round(sy, 2) AS sum_y, round(sv, 2) AS sum_value, round(wv, 2) AS weighted FROM t")
-def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sums(tensors: DataFrame) -> DataFrame:
     total = lambda f: F.aggregate(F.transform("X", f), F.lit(0.0), lambda a, x: a + x)
-    return _tensors(spark, sf_dir).select(
+    return tensors.select(
         "split", "horizon", "station_id", "start",
         F.round(total(lambda r: r[0].cast("double")), 2).alias("sum_y"),
         F.round(total(lambda r: r[1].cast("double")), 2).alias("sum_value"),
@@ -806,6 +818,20 @@ def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_EACH = _SUMS + "SELECT split, horizon, station_id, start, round(sy, 2) AS sum_y, round(sv, 2) AS sum_value, round(wv, 2) AS weighted FROM t"
+
+
+@query(_EACH)
+def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(_tensors(spark, sf_dir))
+
+
+@query(_EACH)
+def window_tensors_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tensors with rows numbered by ranges, so that no task sorts a station."""
+    return _sums(_tensors(spark, sf_dir, by_ranges=True))
+
+
 @query(_SUMS + """SELECT split, horizon, count(*) AS windows, CAST(12 AS BIGINT) AS t_min, CAST(12 AS BIGINT) AS t_max, CAST(2 AS BIGINT) AS f_min, CAST(2 AS BIGINT) AS f_max,
   min(y) AS y_min, max(y) AS y_max, CAST(0 AS BIGINT) AS mismatched FROM t GROUP BY 1, 2""")
 def window_tensor_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,27 @@ def test_no_task_holds_a_station(spark):
     assert re.search(r"hashpartitioning\(station_id#\d+, _slice", plan) and not re.search(r"hashpartitioning\(station_id#\d+, \d+\)", plan)
 
 
+def test_windows_of_a_hot_station_by_ranges(spark):
+    """Tensors, samples and ends are the same by ranges, null station too, and no task holds a station."""
+    df = one_hot_station(spark)
+    index = windows.window_index(df, "y", ["y"], 6, (1, 3), 2, 0.5, size=50)
+    lines = lambda x: sorted(map(str, x.collect()))
+    cut, whole = (windows.window_tensors(df, index, ["y"], 6, block=20, by_ranges=r) for r in (True, False))
+    assert lines(cut) == lines(whole) and cut.count() == index.count() and cut.where("station_id is null").count() > 0
+    sampled, at_once = (windows.subsample(index, 0.3, 2, "7", keys=["horizon"], by_ranges=r) for r in (True, False))
+    assert lines(sampled) == lines(at_once) and 0 < sampled.count() < index.count()
+    for made in (cut, sampled, windows.subsample_ends(index, 0.2), windows.subsample_ends(index, 0.2, order="time")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\((station_id|_series)#\d+, \d+\)|SinglePartition", plan)
+    one = index.where("horizon = 1")
+    order = {"station": lambda r: (r.station_id is not None, r.station_id or "", r.start), "time": lambda r: (r.target_time, r.station_id is not None, r.station_id or "", r.start)}
+    for name, key in order.items():
+        want = sorted(one.collect(), key=key)
+        k = math.ceil(0.2 * len(want))
+        assert lines(windows.subsample_ends(one, 0.2, order=name)) == sorted(map(str, want[:k]))
+        assert lines(windows.subsample_ends(one, 0.2, "tail", order=name)) == sorted(map(str, want[-k:]))
+
+
 def test_ridge_long_lookback_in_one_pass(spark):
     """168 lags and six horizons from one aggregate, as NumPy fits them; values far from zero."""
     rng = np.random.default_rng(4)
