@@ -48,6 +48,82 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, chunk):
     assert got == brute_windows(docs)
 
 
+def repeats(seed, n=120):
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(13, 40))] for k in range(6)]
+    docs = {}
+    for i in range(n):
+        words = [w for _ in range(rng.randint(0, 4)) for w in (rng.choice(passages) if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randint(0, 20))])]
+        docs[rng.randint(-(10**12), 10**12) if i % 3 else i] = " ".join(words)
+    return list(docs.items())
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 50])
+def test_several_ranges_a_partition(spark, monkeypatch, chunk):
+    """With few partitions ranges and groups are sorted apart inside them, and nothing changes."""
+    monkeypatch.setattr(substring_dedup, "PARTITIONS", 3)
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 1_000)
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    docs = repeats(chunk)
+    df = spark.createDataFrame([(*d, {"a": i}) for i, d in enumerate(docs)], "doc_id long, text string, other map<string,int>").repartition(5)
+    assert substring_dedup.ranges_for(df) > 9
+    out = substring_dedup.remove_repeats(df, carry=("other",))
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in out.collect()}
+    assert got == brute_windows(docs) and out.where("carried.other is not null").count() == len(docs)
+
+
+@pytest.mark.parametrize("partitions", [8192, 2])
+def test_no_false_repeat_with_a_short_hash(spark, monkeypatch, partitions):
+    """With 8 bits of hash many windows share each value; the check tells them apart."""
+    full = substring_dedup.window_hashes
+
+    def short(words, window=13):
+        h, c = full(words, window)
+        return h & np.uint64(0xFF), c
+
+    monkeypatch.setattr(substring_dedup, "window_hashes", short)
+    monkeypatch.setattr(substring_dedup, "PARTITIONS", partitions)
+    docs = repeats(5)
+    seen = np.concatenate([short(t.encode().split())[0] for _, t in docs])
+    assert len(seen) > 1_000 and len(np.unique(seen)) <= 256
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_windows(docs)
+
+
+def test_windows_packed_and_read_back():
+    rng = np.random.default_rng(3)
+    for salts in (np.zeros(500, np.int16), rng.integers(0, 1024, 500).astype(np.int16)):
+        made = substring_dedup.Windows(rng.integers(-(2**62), 2**62, 500), salts, rng.integers(0, 2**64, 500, np.uint64), rng.integers(0, 2**24, 500).astype(np.uint32))
+        assert all((x == y).all() for x, y in zip(made, substring_dedup.Windows.unpack(*made.pack()), strict=True))
+
+
+def test_hot_doc_id(spark):
+    """A third of all rows has one id: it is dealt out by its texts, and judged as one document still."""
+    docs = repeats(9, 300)
+    rows = [(50 if k % 3 == 0 else i, t) for k, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert 50 in substring_dedup.hot_ids(df)
+    first, words = {}, [(i, t.split()) for i, t in rows]
+    for i, w in sorted(words):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = [(r.doc_id, bytes(r.kept).decode()) for r in substring_dedup.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(want)
+    groups = substring_dedup._group(np.full(300, 50), np.arange(300) % 1024, 64)
+    assert len(np.unique(groups)) > 32
+    ids = [-(2**63), -7, 0, 2**62, 2**63 - 1]
+    frame = spark.createDataFrame([(i, s) for i in ids for s in (0, 5, 1023)], "i long, s int")
+    for r in frame.select("i", "s", substring_dedup._group_of(F.col("i"), F.col("s"), 77).alias("g")).collect():
+        assert r.g == substring_dedup._group(np.array([r.i]), np.array([r.s]), 77)[0]
+
+
 def test_substring_dedup_awkward_rows(spark):
     out = substring_dedup.remove_repeats(awkward(spark), carry=("size", "kept"))
     found = out.collect()
