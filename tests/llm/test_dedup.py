@@ -93,7 +93,7 @@ def test_no_false_repeat_with_a_short_hash(spark, monkeypatch, partitions):
 def test_windows_packed_and_read_back():
     rng = np.random.default_rng(3)
     for salts in (np.zeros(500, np.int16), rng.integers(0, 1024, 500).astype(np.int16)):
-        made = substring_dedup.Windows(rng.integers(-(2**62), 2**62, 500), salts, rng.integers(0, 2**64, 500, np.uint64), rng.integers(0, 2**24, 500).astype(np.uint32))
+        made = substring_dedup.Windows(rng.integers(-(2**62), 2**62, 500), salts, rng.integers(0, 2**64, 500, np.uint64), rng.integers(0, 2**16, 500).astype(np.uint16))
         assert all((x == y).all() for x, y in zip(made, substring_dedup.Windows.unpack(*made.pack()), strict=True))
 
 
