@@ -222,11 +222,10 @@ def _dealt(units: DataFrame, partitions: int, window: int) -> DataFrame:
             for doc, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes, checks = window_hashes(text.split(), window)
                 if len(hashes):
-                    order, start = _in_order(hashes, checks, np.zeros(len(hashes), np.int8))
                     ids.append(doc)
                     salts.append(salt)
-                    parts.append((hashes[order[start]], checks[order[start]]))
-                    held += len(parts[-1][0])
+                    parts.append((hashes, checks))
+                    held += len(hashes)
                 if held >= CHUNK:
                     yield from _merged(ids, salts, parts)
                     ids, salts, parts, held = [], [], [], 0
