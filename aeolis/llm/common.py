@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: So that Python workers, which Spark keeps from stage to stage, give freed buffers back to the system.
+GIVE_BACK = {"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def session(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when it is used from a source tree."""
+    """Lets Python workers import this package when it is used from a source tree, and give memory back."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in GIVE_BACK.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     return spark

@@ -99,3 +99,31 @@ def test_no_rows_stay_none(spark):
         made = cut(f(spark, made, DATA), name)
         assert made.columns == empty(spark).columns and made.isEmpty()
     assert corpus_pipeline.encode_tokens(spark, made, DATA).isEmpty()
+
+
+def test_workers_give_buffers_back(spark):
+    """Many blocks below the size that malloc learns to keep: the worker holds less than a quarter of them once they are freed."""
+    table(spark, DATA, "documents")
+
+    def held(batches):
+        import re
+        from pathlib import Path
+
+        import numpy as np
+        import pyarrow as pa
+
+        def now():
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())))
+
+        list(batches)
+        del_first = np.ones(3 << 20)
+        del del_first  # glibc raises its threshold to the largest block freed
+        before = now()
+        blocks = [np.ones(1 << 17) for _ in range(100)]
+        last = blocks.pop()
+        full = now()
+        del blocks
+        yield pa.RecordBatch.from_arrays([pa.array([full - before]), pa.array([now() - before]), pa.array([len(last)])], names=["full", "after", "n"])
+
+    got = spark.range(1, numPartitions=1).mapInArrow(held, "full long, after long, n long").first()
+    assert got.full > 90_000 and got.after < got.full / 4
