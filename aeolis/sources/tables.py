@@ -16,6 +16,10 @@ from ..functions.schema import canonicalize
 
 #: Rows of a window file at most.
 SHARD_ROWS = 30_000
+#: Rows of a directory that stations share, about.
+SHARE_ROWS = 1_000_000
+#: The partition column of such directories.
+SHARE = "station_share"
 
 
 def read_raw(spark: SparkSession, path: str, common: Mapping[str, Any] | None = None, own: Mapping[str, Any] | None = None) -> DataFrame:
@@ -85,15 +89,24 @@ def dimension(df: DataFrame, aliases: Mapping[str, Iterable[str]], ids: Sequence
     return named.withColumns({c: norm_id(F.col(c)) for c in ids if c in named.columns})
 
 
-def write_panel(df: DataFrame, path: str, by: str = "station_id", files: int = 1) -> None:
-    """One directory a station, replacing what was there; a station of many rows may take several files."""
+def write_panel(df: DataFrame, path: str, by: str = "station_id", files: int = 1, rows: int | None = None) -> None:
+    """One directory a station, replacing what was there; a station of many rows may take several files.
+
+    With rows, stations share directories by their hash, of about so many rows each, so that
+    their number follows the table's rows and not its stations; each is sorted by station.
+    """
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    df.repartition(by, salt).write.mode("overwrite").partitionBy(by).parquet(path)
+    if rows is None:
+        df.repartition(by, salt).write.mode("overwrite").partitionBy(by).parquet(path)
+        return
+    shares = max(1, -(-df.count() // rows))
+    dealt = df.withColumn(SHARE, F.pmod(F.xxhash64(by), F.lit(shares)).cast("int")).repartition(shares * files, SHARE, salt)
+    dealt.sortWithinPartitions(SHARE, by).write.mode("overwrite").partitionBy(SHARE).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, by: str = "station_id", merge: bool = True) -> DataFrame:
-    """A partitioned panel; files may have different columns. The partition column is text."""
-    df = spark.read.option("mergeSchema", str(merge).lower()).parquet(path)
+    """A partitioned panel; files may have different columns. The partition column is text; the directories that stations share are none."""
+    df = spark.read.option("mergeSchema", str(merge).lower()).parquet(path).drop(SHARE)
     return df.withColumn(by, norm_id(F.col(by)))
 
 

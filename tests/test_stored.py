@@ -1,11 +1,13 @@
 """Checked CSV files, stored panels and footers, with the edges that the driver's tables don't have."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from aeolis.operators import features
+from aeolis.plans import panel_queries
 from aeolis.sources import footers, quarantine, stored, tables
 
 TYPES = {"id": "id", "t": "timestamp", "v": "double"}
@@ -164,3 +166,23 @@ def test_footers_of_stations_with_odd_names(spark, tmp_path):
     tables.write_panel(spark.createDataFrame([(n, 1.0) for n in names], "station_id string, y double"), str(tmp_path / "p"))
     full = footers.coverage(footers.footers(spark, str(tmp_path / "p")), ["y"])
     assert sorted(map(tuple, full.collect())) == sorted((n, 1, 1, 1.0) for n in names)
+
+
+def test_stations_share_directories(spark, tmp_path):
+    """Their number follows the rows, not the stations; odd ids, nulls and a replaced panel come back as they were."""
+    path, names = tmp_path / "p", ["a/b", "007", "é", None, *(f"s{i}" for i in range(400))]
+    rows = [(n, i, None if i % 3 else float(i)) for n in names for i in range(2)]
+    df = spark.createDataFrame(rows, "station_id string, i int, y double")
+    tables.write_panel(df.limit(5), str(path), rows=1)
+    tables.write_panel(df, str(path), rows=100)
+    assert 1 < len(list(path.glob("*=*"))) <= 9 and len(list(path.rglob("*.parquet"))) <= 9
+    got = tables.read_panel(spark, str(path))
+    assert sorted(map(str, got.select("station_id", "i", "y").collect())) == sorted(map(str, df.collect())) and set(got.columns) == set(df.columns)
+
+
+def test_round_trip_of_a_panel_takes_no_directory_a_station(spark, monkeypatch):
+    made, write = [], tables.write_panel
+    monkeypatch.setattr(tables, "write_panel", lambda df, path, *a, **k: (made.append(path), write(df, path, *a, **k))[1])
+    out = panel_queries.QUERIES["roundtrip_panel"](spark, "/root/testdata/sf0.001")
+    assert out.select("station_id").distinct().count() > 3
+    assert len(list(Path(made[0]).glob("*=*"))) == 1
