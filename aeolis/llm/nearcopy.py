@@ -1,12 +1,14 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, for a corpus.
-
-Here a near copy is a text with a similarity of SIMILAR or more. Band keys of min-hashes deal
-out the candidates: a pair at SIMILAR shares none of the BANDS keys with a probability of
-1.3e-7, and less above. Under each key every set is compared with two pivots first, which links
-a group of copies at a cost in proportion to its size. Where sets of a key are still apart, op7's
-bit-sliced comparison goes over SimHash fingerprints of the shingles, here with a wide RADIUS:
-those not linked to the first pivot against all. Pairs are linked only if an exact check of the
-whole sets confirms them, so that nothing less similar is linked.
+"""Near copies by SimHash fingerprints of their five-word shingles and an exact check, for a corpus.
+
+Here a near copy is a text with a Jaccard similarity of SIMILAR or more. All fingerprints go
+through op7's whole method first: keys of blocks of bits, bit-sliced comparison under each key,
+components of the links within three bits. At SIMILAR fingerprints differ in more bits than blocks can serve, so
+band keys of min-hashes deal out further candidates, again compared by fingerprint, with a wide
+RADIUS: a pair at SIMILAR shares none of the BANDS keys with a probability of 1.3e-7, and less
+above. Under each key every set is compared with two pivots first, which links a group of copies
+at a cost in proportion to its size; where sets of a key are still apart, op7's bit-sliced
+comparison goes over those not linked to the first pivot against all. Every link is one within
+the radius that an exact check of the whole sets confirms, so that nothing less similar is linked.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, spread
-from .simhash import components, forest, keep_least, majority, with_row
+from .simhash import components, forest, keep_least, links, majority, with_row
 
 SHINGLE, SEED = 5, 42
 #: Least similarity of near copies, as a fraction.
@@ -101,20 +103,21 @@ def linked(ends: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], groups: np
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(row, set, alt, keys) of each row; set and alt together are 128 bits that stand for the set."""
+    """(row, set, alt, fp, keys) of each row; set and alt together are 128 bits that stand for the set, fp is its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, alts, keys = [], [], []
+            names, alts, fps, keys = [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 names.append(set_id(own))
                 alts.append(set_id(own, SEED + 1))
+                fps.append(majority(own))
                 keys.append(band_keys(own))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(alts, pa.int64()), lists], names=["row", "set", "alt", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (names, alts, fps)), lists], names=["row", "set", "alt", "fp", "keys"])
 
-    return spread(docs.select("_row", F.col("text").cast("binary"))).mapInArrow(run, "row string, set long, alt long, keys array<long>")
+    return spread(docs.select("_row", F.col("text").cast("binary"))).mapInArrow(run, "row string, set long, alt long, fp long, keys array<long>")
 
 
 def named(sets: DataFrame) -> DataFrame:
@@ -123,6 +126,13 @@ def named(sets: DataFrame) -> DataFrame:
     return sets.withColumn("node", F.when(shared, F.xxhash64("set", "alt")).otherwise(F.col("set")))
 
 
+def _few_bits(sets: DataFrame) -> DataFrame:
+    """(set, pivot) of sets (node, fp): each set of op7's components, whose links are within three bits, and the component's least."""
+    roots = components(links(sets.select("fp").distinct())).toDF("fp", "root")
+    joined = cut(sets.join(roots, "fp", "left").select(F.col("node").alias("set"), F.coalesce("root", "fp").alias("root")), "few")
+    return joined.join(joined.groupBy("root").agg(F.min("set").alias("pivot")), "root").where("set <> pivot").select("set", "pivot")
+
+
 def _shingled(texts: DataFrame) -> DataFrame:
     """(set, fp, shingles) of texts (set, text); fp is the set's SimHash fingerprint."""
 
@@ -136,7 +146,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (set, pivot) whose sets are similar, as (a, b). Joins fetch the sets; adaptive execution splits a pivot of many."""
+    """The pairs (set, pivot) within RADIUS whose sets are similar, as (a, b). Joins fetch the sets; adaptive execution splits a pivot of many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +154,9 @@ def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
             alike = [similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    own, other = (whole.select(F.col("set").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "own"), ("b", "other")))
-    return pairs.toDF("a", "b").join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
+    own, other = (whole.select(F.col("set").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("shingles").alias(c)) for s, c in (("a", "own"), ("b", "other")))
+    near = pairs.toDF("a", "b").join(own, "a").join(other, "b").where(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= RADIUS)
+    return near.select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
 
 
 def _compared(dealt: DataFrame) -> DataFrame:
@@ -199,18 +210,19 @@ def groups(docs: DataFrame) -> DataFrame:
     whole. Keys with the same sets below them count once.
     """
     rows = cut(_keyed(docs), "keyed")
-    sets = cut(named(rows.groupBy("set", "alt").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))), "sets")
+    sets = cut(named(rows.groupBy("set", "alt").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))), "sets")
     dealt = sets.select(F.col("node").alias("set"), F.explode("keys").alias("key")).distinct()
     own = [F.xxhash64("set", F.lit(k)) for k in (1, 2)]
     shared = dealt.groupBy("key").agg(F.count("*").alias("size"), *(F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(own))).where("size > 1")
     shared = shared.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key", "size")
     members = cut(dealt.join(shared, "key"), "candidates")
 
-    wanted = members.select("set").distinct().join(sets.select(F.col("node").alias("set"), "row"), "set")
+    few = cut(_few_bits(sets.select("node", "fp")), "links")
+    wanted = members.select("set").union(few.select("set")).union(few.select("pivot")).distinct().join(sets.select(F.col("node").alias("set"), "row"), "set")
     texts = docs.join(wanted, F.col("_row") == F.col("row")).select("set", "text")
     whole = cut(_shingled(texts).dropDuplicates(["set"]), "shingles")
     pivots = cut(members.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")), "pivots")
-    pairs = members.select("key", "set").join(pivots, "key").select("set", F.explode(F.array("low", "high")).alias("pivot"))
+    pairs = members.select("key", "set").join(pivots, "key").select("set", F.explode(F.array("low", "high")).alias("pivot")).unionByName(few)
     starts = cut(_checked(pairs.where("set <> pivot").select(F.greatest("set", "pivot"), F.least("set", "pivot")).distinct(), whole), "links")
     apart = cut(_apart(members, pivots, components(starts)), "apart")
     rest = cut(_compared(apart.join(whole, "set")), "links")

@@ -1,7 +1,7 @@
 """A training corpus from `documents`, in five stages.
 
 toxicity        documents that the clause grammar scores as toxic go
-simhash         of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays
+simhash         of near copies (SimHash of five-word shingles, checked for a similarity of 0.8 or more) the one with the smallest id stays
 substring_dedup passages of 13 words and more that an earlier document has are cut out
 mixing          documents are repeated or left out so that sources meet their target weights
 byte_bpe        texts become token ids
@@ -32,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, a similarity of 0.8 or more) the row with the smallest doc_id stays.
 
+    op7's method finds fingerprints within three bits, further keys those within a wider radius; an exact check confirms both.
     Null, empty and blank texts are copies of each other; rows without doc_id stay; of repeated rows one stays.
     """
     return nearcopy.keep_one(docs)

@@ -104,3 +104,26 @@ def test_sets_that_share_a_number_stay_apart(spark):
     sets = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "set long, alt long")
     got = [r.node for r in nearcopy.named(sets).orderBy("set", "alt").collect()]
     assert len(set(got)) == 3 and got[2] == 2
+
+
+def test_links_come_from_the_blocks_of_bits(spark, monkeypatch):
+    """Without any key of min-hashes fingerprints within three bits are still linked, by op7's keys, and checked."""
+    monkeypatch.setattr(nearcopy, "band_keys", lambda own: np.empty(0, np.int64))
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(w) for w in (base, [*base[:-1], "end"], ["start", *base[1:]], [f"c{i}" for i in range(150)])]
+    fps = [nearcopy.majority(nearcopy.shingles(t.encode())) for t in texts]
+    assert all(0 < ((f ^ fps[0]) & (1 << 64) - 1).bit_count() <= 3 for f in fps[1:3])
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0].upper()])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopy.keep_one(docs).collect()) == [0, 3]
+
+
+def test_pivots_are_compared_by_fingerprint(spark, monkeypatch):
+    """A near copy more than three bits away is a link within RADIUS only."""
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(w) for w in (base, [*base[:-5], *(f"n{i}" for i in range(5))])]
+    a, b = (nearcopy.majority(nearcopy.shingles(t.encode())) for t in texts)
+    assert 3 < ((a ^ b) & (1 << 64) - 1).bit_count() <= nearcopy.RADIUS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert nearcopy.keep_one(docs).count() == 1
+    monkeypatch.setattr(nearcopy, "RADIUS", 3)
+    assert nearcopy.keep_one(docs).count() == 2
